@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from footfall.functions import angles as an, quaternions as qf
-from footfall.operators import orientation as ori
+from footfall.operators import frames as fr, orientation as ori
 from footfall.registry import fixtures as fx
 from footfall.registry.base import query, r, rounded
 from footfall.registry.fixtures import STREAM_AXIS, sql
@@ -193,3 +193,80 @@ def _(spark, sf):
 def _(spark, sf):
     return rounded(_yaw(spark, sf).groupBy("mission").agg(an.circular_mean(F.col("yaw")).alias("mean_yaw")),
                    ["mission"], ["mean_yaw"])
+
+
+def _compose_sql(source="fx_tf"):
+    """World candidates world, odom; base frame base: hops click and view."""
+    world = product_sql(tuple(f"cq.{c}" for c in OWN), tuple(f"vq.{c}" for c in OWN))
+    pick = ", ".join(
+        f"CASE WHEN cq IS NOT NULL THEN {w} ELSE vq.{c} END {c}" for w, c in zip(world, OWN))
+    return f"""SELECT mission, seq, t, is_static, k, CASE WHEN cq IS NOT NULL THEN 0 ELSE 1 END world_rank,
+      {", ".join(f"CASE WHEN qw < 0 THEN -{c} ELSE {c} END / sqrt(qw**2+qx**2+qy**2+qz**2) {c}" for c in OWN)}
+    FROM (SELECT mission, seq, t, is_static, k, cq, {pick} FROM (
+      SELECT *, last_value(CASE WHEN child = 'odom' THEN q END IGNORE NULLS) OVER o cq,
+        last_value(CASE WHEN child = 'base' THEN q END IGNORE NULLS) OVER o vq,
+        row_number() OVER o k FROM (SELECT *, {{'qw': qw, 'qx': qx, 'qy': qy, 'qz': qz}} q FROM {source})
+      WINDOW o AS (PARTITION BY mission ORDER BY NOT is_static, t, seq)) WHERE vq IS NOT NULL)"""
+
+
+THIN_SQL = """SELECT mission, seq, t, qw, qx, qy, qz, k2, qw lw, qx lx, qy ly, qz lz, true kept FROM numbered WHERE k2 = 1
+    UNION ALL SELECT mission, seq, t, qw, qx, qy, qz, k2, CASE WHEN same THEN lw ELSE qw END, CASE WHEN same THEN lx ELSE qx END,
+      CASE WHEN same THEN ly ELSE qy END, CASE WHEN same THEN lz ELSE qz END, NOT same FROM (
+      SELECT n.*, lw, lx, ly, lz, n.is_static OR (abs(n.qw-lw) <= 1e-6+1e-5*abs(lw) AND abs(n.qx-lx) <= 1e-6+1e-5*abs(lx)
+        AND abs(n.qy-ly) <= 1e-6+1e-5*abs(ly) AND abs(n.qz-lz) <= 1e-6+1e-5*abs(lz)) OR (abs(n.qw+lw) <= 1e-6+1e-5*abs(lw)
+        AND abs(n.qx+lx) <= 1e-6+1e-5*abs(lx) AND abs(n.qy+ly) <= 1e-6+1e-5*abs(ly)
+        AND abs(n.qz+lz) <= 1e-6+1e-5*abs(lz)) same
+      FROM thin JOIN numbered n ON n.mission = thin.mission AND n.k2 = thin.k2 + 1)"""
+NUMBERED = "SELECT *, row_number() OVER (PARTITION BY mission ORDER BY k) k2 FROM composed"
+WORLDS = ["world", "odom"]
+
+
+@query("F11_frame_composition", sql(
+    f"SELECT mission, seq, world_rank, {r(*OWN)} FROM composed", "fx_tf", composed=_compose_sql()))
+def _(spark, sf):
+    out = fr.compose_orientation(fx.transforms(spark, sf), WORLDS, "base", STREAM_AXIS)
+    return rounded(out, [*KEY, "world_rank"], list(OWN))
+
+
+@query("F12_change_thinning", sql(
+    f"SELECT mission, seq, {r(*OWN)} FROM thin WHERE kept", "fx_tf", recursive=True,
+    composed=_compose_sql(), numbered=NUMBERED, thin=THIN_SQL))
+def _(spark, sf):
+    out = fr.compose_orientation(fx.transforms(spark, sf), WORLDS, "base", STREAM_AXIS)
+    return rounded(fr.thin_changes(out, STREAM_AXIS), KEY, list(OWN))
+
+
+# on odd missions the static edge is a moving enu_origin -> imu edge instead: only there the wanted world is reachable
+MIXED_SQL = """SELECT * REPLACE (CASE WHEN child = 'imu' AND mission % 2 = 1 THEN 'enu_origin' ELSE parent END AS parent,
+    is_static AND mission % 2 = 0 AS is_static) FROM fx_tf"""
+TURN_SQL = product_sql(OWN, ("0.0", "(-1.0)", "0.0", "0.0"))  # inverse of a half turn about x
+
+
+@query("F13_orientation_source", sql(
+    f"""SELECT p.mission, p.source_rank, {r('p.t', *[f'p.{c}' for c in OWN])}, """ + ", ".join(
+        f"round(CASE WHEN n.t IS NULL OR p.t - p.bt <= n.t - p.t THEN p.b{c} ELSE n.{c} END, 6) + 0.0 AS {c}_map" for c in OWN)
+    + " FROM (SELECT s.*, b.t bt, " + ", ".join(f"b.{c} b{c}" for c in OWN)
+    + " FROM series s ASOF LEFT JOIN kept b ON s.mission = b.mission AND s.t >= b.t) p "
+    "ASOF LEFT JOIN kept n ON p.mission = n.mission AND p.t <= n.t",
+    "fx_tf", recursive=True, mixed=MIXED_SQL, composed=_compose_sql("mixed"), numbered=NUMBERED, thin=THIN_SQL,
+    kept="SELECT * FROM thin WHERE kept",
+    around_all="SELECT mission, t, seq, row_number() OVER (PARTITION BY mission ORDER BY t, seq) k2, " + ", ".join(
+        f"CASE WHEN qw < 0 THEN -{c} ELSE {c} END {c}" for c in OWN) + ", false is_static FROM (SELECT * FROM (SELECT mission, t, seq, "
+        + ", ".join(f"last_value(CASE WHEN child = 'imu' THEN {c} END IGNORE NULLS) OVER (PARTITION BY mission ORDER BY "
+                    f"NOT is_static, t, seq) {c}" for c in OWN)
+        + " FROM mixed WHERE mission % 2 = 1) WHERE qw IS NOT NULL)",
+    around=THIN_SQL.replace("numbered", "around_all").replace("thin", "around"),
+    turned="SELECT mission, t, " + ", ".join(f"{e} {c}" for e, c in zip(TURN_SQL, OWN)) + " FROM around WHERE kept",
+    series="SELECT mission, t, " + ", ".join(f"CASE WHEN qw < 0 THEN -{c} ELSE {c} END {c}" for c in OWN)
+    + ", 1 source_rank FROM turned UNION ALL SELECT mission, t, qw, qx, qy, qz, 0 FROM kept "
+      "WHERE mission NOT IN (SELECT mission FROM turned)",
+))
+def _(spark, sf):
+    moving = (F.col("mission") % 2 == 1) & (F.col("child") == "imu")
+    mixed = fx.transforms(spark, sf).withColumns({
+        "parent": F.when(moving, F.lit("enu_origin")).otherwise(F.col("parent")),
+        "is_static": F.col("is_static") & (F.col("mission") % 2 == 0),
+    })
+    out = fr.orientation_table(mixed, STREAM_AXIS, "base", "enu_origin", ["world"], "imu",
+                               qf.rotation_constant({"rpy_deg": [180, 0, 0]}))
+    return rounded(out, ["mission", "source_rank"], ["t", *OWN, *[f"{c}_map" for c in OWN]])

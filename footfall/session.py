@@ -34,3 +34,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="footfall-ckpt-"))
+
+
+def materialize(df):
+    """Write an intermediate result to the checkpoint folder and read on from there.
+
+    Used where a result is consumed several times: later stages neither recompute it nor lose it with an executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -94,7 +94,7 @@ def compose_orientation(transforms: DataFrame, worlds: Sequence[str], base: str,
     specs, cells = {}, [(rank, hop) for rank in range(len(worlds)) for hop in range(1, longest + 1)]
     q = F.struct(*[F.col(c) for c in Q])
     for rank, hop in cells:
-        slot = F.get(F.filter("_slots", lambda s, r=rank, h=hop: (s["rank"] == r) & (s["hop"] == h)), F.lit(0))
+        slot = F.get(F.filter("_slots", lambda s: (s["rank"] == rank) & (s["hop"] == hop)), F.lit(0))
         turned = F.when(slot["reversed"], F.struct(*[c.alias(n) for c, n in zip(qf.conjugate(qf.quat()), Q)])).otherwise(q)
         specs[f"_h_{rank}_{hop}"] = o.last_valid(F.when(slot.isNotNull(), turned))
     seen = o.running(tagged, ordered_by, **specs)

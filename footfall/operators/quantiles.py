@@ -40,18 +40,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: Se
     ])
     brackets = brackets.select(*keys, ranks.alias("_ranks"))
     joined = data.join(brackets, list(keys)) if keys else data.crossJoin(F.broadcast(brackets))
-    hits = joined.select(*keys, "_v", F.explode("_ranks").alias("_r")).where(F.col("_v") <= F.col("_r.hi"))
-    # everything below the bracket collapses into one partial count per (group, rank) before the shuffle
+    hits = joined.select(*keys, "_v", F.explode("_ranks").alias("_r")).withColumn(
+        "_side", F.when(F.col("_v") < F.col("_r.lo"), -1).when(F.col("_v") > F.col("_r.hi"), 1).otherwise(0))
+    # what lies outside the bracket collapses into two partial rows per (group, rank) before the shuffle; they keep the
+    # value next to the bracket, which a group of few rows may need as a neighbour
     counted = hits.groupBy(
-        *keys, F.col("_r.slot").alias("_slot"), F.col("_r.rank").alias("_rank"),
-        F.when(F.col("_v") >= F.col("_r.lo"), F.col("_v")).alias("_inside"),
-    ).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys, "_slot").orderBy(F.asc_nulls_first("_inside")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+        *keys, F.col("_r.slot").alias("_slot"), F.col("_r.rank").alias("_rank"), "_side",
+        F.when(F.col("_side") == 0, F.col("_v")).alias("_inside"),
+    ).agg(F.count("*").alias("_c"), F.when(F.col("_side") > 0, F.min("_v")).otherwise(F.max("_v")).alias("_value"))
+    upto = Window.partitionBy(*keys, "_slot").orderBy("_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
-    below = F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_inside")))
-    above = F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_inside")))
+    below = F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_value")))
+    above = F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_value")))
     per_slot = ranked.groupBy(*keys, "_slot").agg(
         (below + (above - below) * (F.max("_rank") - F.floor(F.max("_rank")))).alias("_q")
     )

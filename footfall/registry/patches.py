@@ -9,6 +9,7 @@ from footfall.registry.alignment import DIST_SQL
 from footfall.registry.base import query, r, rounded
 from footfall.registry.fixtures import STREAM_AXIS, sql
 from footfall.registry.metrics import CFG
+from footfall.session import materialize
 
 SIZE, STRIDE = 20.0, 100.0
 SEGMENT_AXIS = Axis(("mission", "segment_id"), "t", fx.CHUNK_SECONDS, ("seq",))
@@ -45,7 +46,7 @@ def _(spark, sf):
 def _walked(spark, sf):
     rows = al.planar_speeds(al.add_distance(fx.motion(spark, sf), STREAM_AXIS)).withColumn("segment_id", F.lit(0))
     rows = me.compute(rows, ["power", "power_mech"], CFG, STREAM_AXIS)
-    return pa.travelled(rows, SEGMENT_AXIS, ["x", "y"])
+    return materialize(pa.travelled(rows, SEGMENT_AXIS, ["x", "y"]))
 
 
 RUN_SQL = f"""SELECT *, sqrt(v_cmd_x**2 + v_cmd_y**2) v_cmd, sqrt(vx**2 + vy**2) v_actual,
@@ -70,10 +71,10 @@ def psql(body, **more):
 
 def _centers(walked):
     """Centres with an id in path order; the few centres of a path are numbered by their distance rank."""
-    found = pa.patch_centers(walked, SEGMENT_AXIS, STRIDE, strides_per_block=4)
+    found = materialize(pa.patch_centers(walked, SEGMENT_AXIS, STRIDE, strides_per_block=4))
     named = found.withColumns({"center_e": F.col("x"), "center_n": F.col("y")})
     line = Axis(("mission", "segment_id"), "center_dist", 1e6)
-    return o.positions(named, line, "patch_id").withColumn("patch_id", F.col("patch_id") + 1)
+    return materialize(o.positions(named, line, "patch_id").withColumn("patch_id", F.col("patch_id") + 1))
 
 
 def _members(spark, sf):

@@ -120,11 +120,10 @@ def best_quarter_turn(df: DataFrame, axis: Axis, heading: str = "heading", media
 
     Recordings with too few moving rows are left out.
     """
+    dx, dy = F.col("dx"), F.col("dy")
+    turns = ((dx, dy), (-dy, dx), (-dx, -dy), (dy, -dx))
     turned = df.select(*axis.keys, axis.order, *axis.ties, heading, "moving", F.inline(F.array(
-        F.struct(F.lit(0).alias("rot"), F.col("dx").alias("rx"), F.col("dy").alias("ry")),
-        F.struct(F.lit(90), -F.col("dy"), F.col("dx")),
-        F.struct(F.lit(180), -F.col("dx"), -F.col("dy")),
-        F.struct(F.lit(270), F.col("dy"), -F.col("dx")))))
+        *[F.struct(F.lit(rot).alias("rot"), x.alias("rx"), y.alias("ry")) for rot, (x, y) in zip(QUARTER_TURNS, turns)])))
     yaw = materialize(turned.withColumn("yaw", F.atan2(F.col("ry") + 0.0, F.col("rx") + 0.0)).drop("rx", "ry"))
     smooth = smooth_angle(yaw, axis.by("rot"), "yaw", median_rows=median_rows, mean_rows=mean_rows)
     scored = smooth.where("moving").groupBy(*axis.keys, "rot").agg(

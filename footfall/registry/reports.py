@@ -79,8 +79,8 @@ def _(spark, sf):
     return rp.resolve_windows(rp.parse_windows(specs), missions)
 
 
-FOCUS_SQL = """SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY mission) some FROM (SELECT *, t_rel BETWEEN {lo} AND {hi} inside FROM (
-    SELECT *, t - min(t) OVER (PARTITION BY mission) t_rel FROM {source}))) WHERE inside OR NOT some"""
+FOCUS_SQL = """SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY mission) any_in FROM (SELECT *, t_rel BETWEEN {lo} AND {hi} inside FROM (
+    SELECT *, t - min(t) OVER (PARTITION BY mission) t_rel FROM {source}))) WHERE inside OR NOT any_in"""
 LO, HI = "864000.0 + mission * 20000.0", "1728000.0 + mission * 20000.0"
 
 
@@ -95,11 +95,11 @@ def _(spark, sf):
 
 
 @query("J7_missing_metrics", sql(
-    """SELECT metric, mission FROM (SELECT mission, unnest(['a', 'b', 'vx']) metric, unnest([count(CASE WHEN v > 48 THEN v END), count(CASE WHEN stream = 'error' AND v > 20 THEN v END), count(v)]) n
+    """SELECT metric, mission FROM (SELECT mission, unnest(['a', 'b', 'vx']) metric, unnest([count(CASE WHEN v > 150 THEN v END), count(CASE WHEN stream = 'error' AND v > 60 THEN v END), count(v)]) n
     FROM fx_stream GROUP BY 1) WHERE n = 0""", "fx_stream"))
 def _(spark, sf):
-    rows = fx.stream(spark, sf).select("mission", F.when(F.col("v") > 48, F.col("v")).alias("a"),
-                                       F.when((F.col("stream") == "error") & (F.col("v") > 20), F.col("v")).alias("b"),
+    rows = fx.stream(spark, sf).select("mission", F.when(F.col("v") > 150, F.col("v")).alias("a"),
+                                       F.when((F.col("stream") == "error") & (F.col("v") > 60), F.col("v")).alias("b"),
                                        F.col("v").alias("vx"), F.lit(None).cast("double").alias("nowhere"))
     return rp.missing_metrics(rows, ["a", "b", "vx", "nowhere"])
 

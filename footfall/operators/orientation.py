@@ -14,6 +14,8 @@ from footfall.operators.ordered import Axis
 
 WORLD_BASE_BLOCK = ("qw_WB", "qx_WB", "qy_WB", "qz_WB")
 PLAIN_BLOCK = ("qw", "qx", "qy", "qz")
+# dot products this small are rounding noise of a right angle
+RIGHT_ANGLE_SLACK = 1e-12
 
 
 def quaternion_blocks(df: DataFrame) -> list[tuple[str, ...]]:
@@ -26,28 +28,31 @@ def average_quaternion(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Mean orientation per group: rows turned to the hemisphere of the first one, averaged, normalised, w >= 0.
 
     The mean of the first block with any complete row is taken. The per-group base row comes from a partial
-    aggregate, so the rows of a group are never gathered.
+    aggregate, so the rows of a group are never gathered. A row at a right angle to the base counts as its side.
     """
     position = F.struct(*order)
-    result = None
-    for block in quaternion_blocks(df):
-        unit = qf.normalize(tuple(F.col(c) for c in block))
-        complete = unit[0].isNotNull() & unit[1].isNotNull() & unit[2].isNotNull() & unit[3].isNotNull()
-        rows = df.where(complete).select(
-            *keys, position.alias("_at"), *[c.alias(f"_{n}") for c, n in zip(unit, "wxyz")])
-        base = rows.groupBy(*keys).agg(F.min_by(F.struct("_w", "_x", "_y", "_z"), "_at").alias("_base"))
-        dot = sum((F.col(f"_{n}") * F.col(f"_base._{n}") for n in "wxyz"), F.lit(0.0))
-        sign = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        mean = rows.join(base, list(keys)).groupBy(*keys).agg(
-            *[F.avg(F.col(f"_{n}") * sign).alias(f"_{n}") for n in "wxyz"])
-        m = tuple(F.col(f"_{n}") for n in "wxyz")
-        unit_mean = qf.canonical(qf.normalize(m))
-        found = mean.where(qf.norm(m) > 0).select(*keys, *[c.alias(n) for c, n in zip(unit_mean, names)])
-        result = found if result is None else result.unionByName(found.join(result, list(keys), "left_anti"))
-    everyone = df.select(*keys).distinct()
-    if result is None:
-        return everyone.withColumns({n: F.lit(None).cast("double") for n in names})
-    return everyone.join(result, list(keys), "left")
+    blocks = quaternion_blocks(df)
+    if not blocks:
+        return df.select(*keys).distinct().withColumns({n: F.lit(None).cast("double") for n in names})
+    unit, rows = "wxyz", df
+    for k, block in enumerate(blocks):
+        q = qf.normalize(tuple(F.col(c) for c in block))
+        complete = q[0].isNotNull() & q[1].isNotNull() & q[2].isNotNull() & q[3].isNotNull()
+        rows = rows.withColumn(f"_q{k}", F.when(complete, F.struct(*[c.alias(n) for c, n in zip(q, unit)])))
+    lean = rows.select(*keys, position.alias("_at"), *[f"_q{k}" for k in range(len(blocks))])
+    base = lean.groupBy(*keys).agg(*[
+        F.min_by(f"_q{k}", F.when(F.col(f"_q{k}").isNotNull(), F.col("_at"))).alias(f"_b{k}") for k in range(len(blocks))])
+    joined, sums = lean.join(base, list(keys)), []
+    for k in range(len(blocks)):
+        dot = sum((F.col(f"_q{k}.{n}") * F.col(f"_b{k}.{n}") for n in unit), F.lit(0.0))
+        sign = F.when(dot < -RIGHT_ANGLE_SLACK, F.lit(-1.0)).otherwise(F.lit(1.0))
+        sums += [F.avg(F.col(f"_q{k}.{n}") * sign).alias(f"_{n}{k}") for n in unit]
+    mean = joined.groupBy(*keys).agg(*sums)
+    options = []
+    for k in range(len(blocks)):
+        m = tuple(F.col(f"_{n}{k}") for n in unit)
+        options.append(F.when(qf.norm(m) > 0, F.struct(*[c.alias(n) for c, n in zip(qf.canonical(qf.normalize(m)), names)])))
+    return mean.withColumn("_m", F.coalesce(*options)).select(*keys, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
 def unwrap(df: DataFrame, axis: Axis, column: str, out: str | None = None, origin: float | None = None) -> DataFrame:

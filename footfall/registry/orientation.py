@@ -129,7 +129,7 @@ def _(spark, sf):
 
 AVG_SQL = """SELECT mission, avg(s*w) mw, avg(s*x) mx, avg(s*y) my, avg(s*z) mz FROM (
     SELECT *, CASE WHEN w*first_value(w) OVER o + x*first_value(x) OVER o + y*first_value(y) OVER o + z*first_value(z) OVER o
-      < 0 THEN -1.0 ELSE 1.0 END s FROM (SELECT mission, seq, t, qw/n w, qx/n x, qy/n y, qz/n z FROM (
+      < -1e-12 THEN -1.0 ELSE 1.0 END s FROM (SELECT mission, seq, t, qw/n w, qx/n x, qy/n y, qz/n z FROM (
       SELECT *, sqrt(qw**2+qx**2+qy**2+qz**2) n FROM tilt)) WINDOW o AS (PARTITION BY mission ORDER BY t, seq)) GROUP BY 1"""
 
 

@@ -213,18 +213,19 @@ def _(spark, sf):
 SPAN = ["t_start", "t_end", "time_span_s", "distance_traveled_m"]
 SPAN_SQL = ("count(*) samples, round(min(t), 4) + 0.0 t_start, round(max(t), 4) + 0.0 t_end, round(max(t) - min(t), 4) + 0.0 time_span_s, "
             "round(max(dist_m) - min(dist_m), 4) + 0.0 distance_traveled_m")
-SIGN = ("SELECT * REPLACE (uw AS qw_WB, uz AS qz_WB), CASE WHEN uw * first_value(uw) OVER o + uz * first_value(uz) OVER o < 0 THEN -1 ELSE 1 END sg "
+SIGN = ("SELECT * REPLACE (uw AS qw_WB, uz AS qz_WB), CASE WHEN uw * first_value(uw) OVER o + uz * first_value(uz) OVER o < -1e-12 THEN -1 ELSE 1 END sg "
         "FROM (SELECT *, qw_WB / n uw, qz_WB / n uz FROM (SELECT *, sqrt(qw_WB * qw_WB + qz_WB * qz_WB) n FROM members)) WINDOW o AS (PARTITION BY mission, patch_id ORDER BY t, seq)")
 BEARING = ("round(CASE WHEN avg(sg*qw_WB) < 0 THEN -1 ELSE 1 END * avg(sg*qw_WB) / sqrt(avg(sg*qw_WB)**2 + avg(sg*qz_WB)**2), 4) + 0.0 bearing_qw, "
            "round(CASE WHEN avg(sg*qw_WB) < 0 THEN -1 ELSE 1 END * avg(sg*qz_WB) / sqrt(avg(sg*qw_WB)**2 + avg(sg*qz_WB)**2), 4) + 0.0 bearing_qz")
 
 
 @query("H13_robot_summary", psql(
-    f"SELECT mission, patch_id, {SPAN_SQL}, {stats_sql('power', 'metric_power', 4)}, {stats_sql('v_actual', 'speed', 4)}, {stats_sql('v_cmd', 'v_cmd', 4)}, "
+    f"SELECT mission, patch_id, {SPAN_SQL}, {stats_sql('power', 'metric_power', 3)}, {stats_sql('v_actual', 'speed', 4)}, {stats_sql('v_cmd', 'v_cmd', 4)}, "
     f"{BEARING} FROM ({SIGN}) GROUP BY 1, 2"))
 def _(spark, sf):
     out = pa.robot_summary(_members(spark, sf), PATCH, ["power"], "t", ("seq",))
-    return rounded(out, [*PATCH, "samples"], [*SPAN, *stat_names("metric_power", "speed", "v_cmd"), "bearing_qw", "bearing_qz"], 4)
+    power = [(F.round(n, 3) + F.lit(0.0)).alias(n) for n in stat_names("metric_power")]
+    return rounded(out, [*PATCH, "samples", *power], [*SPAN, *stat_names("speed", "v_cmd"), "bearing_qw", "bearing_qz"], 4)
 
 
 def wide(mask, pad):

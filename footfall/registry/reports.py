@@ -136,10 +136,10 @@ BEST_SQL = f"""SELECT mission, rot, sqrt(avg(({WRAP.format(a='(heading - s)')})*
 
 
 @query("J9_best_quarter_turn", sql(
-    f"SELECT mission, round(min(rmse), 2) + 0.0 rmse FROM ({BEST_SQL}) GROUP BY 1", "fx_geo"))
+    f"SELECT mission, min_by(rot, {{'e': rmse, 'r': rot}}) rot, round(min(rmse), 4) + 0.0 rmse FROM ({BEST_SQL}) GROUP BY 1", "fx_geo"))
 def _(spark, sf):
     best = rp.best_quarter_turn(materialize(_path(spark, sf)), GEO_AXIS, mean_rows=5)
-    return rounded(best, ["mission"], ["rmse"], 2)
+    return rounded(best, ["mission", "rot"], ["rmse"], 4)
 
 
 @query("J10_difference_histogram", sql(

@@ -93,9 +93,10 @@ def pivot_joints(tall: DataFrame, joints: Sequence[str], keys: Sequence[str] = (
 
     The joint list is a parameter (a robot has a fixed set), so no pass is needed to discover it.
     """
-    wide = []
-    for kind in ("q", "qd", "tau"):
-        for j in joints:
-            known = (F.col("joint") == j) & F.col(kind).isNotNull()
-            wide.append(F.max_by(F.when(known, F.col(kind)), F.when(known, F.struct("seq", kind))).alias(f"{kind}_{j}"))
-    return tall.groupBy(*keys, "t").agg(*wide)
+    # all rows of a time meet in one task, so the second aggregation needs no further shuffle
+    placed = tall.select(*keys, "t", "seq", "joint", "q", "qd", "tau").repartition(*keys, "t")
+    kinds = ("q", "qd", "tau")
+    last = placed.groupBy(*keys, "t", "joint").agg(*[
+        F.max(F.when(F.col(k).isNotNull(), F.struct("seq", F.col(k).alias("v")))).alias(k) for k in kinds])
+    return last.groupBy(*keys, "t").agg(*[
+        F.max(F.when(F.col("joint") == j, F.col(f"{k}.v"))).alias(f"{k}_{j}") for k in kinds for j in joints])

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vf
-from footfall.operators import clusters as cl, raster as ra
+from footfall.operators import clusters as cl, ordered as o, raster as ra
 from footfall.registry import fixtures as fx
 from footfall.registry.base import query, r, rounded
 from footfall.registry.fixtures import GRID_AXIS, sql
 from footfall.registry.raster import PV, points
 
 NORM_SQL = "SELECT id, label, vec, list_transform(vec, lambda x: x / greatest(sqrt(list_sum(list_transform(vec, lambda y: y*y))), 1e-12)) u FROM fx_vec"
-LONG = "SELECT id, generate_subscripts({v}, 1) - 1 AS d, unnest({v}) AS x FROM ({s})"
+LONG = "SELECT id, CAST(generate_subscripts({v}, 1) - 1 AS INTEGER) AS d, unnest({v}) AS x FROM ({s})"
 
 
 def _long(df, keys, vec):
@@ -69,7 +69,7 @@ UP_SQL = """SELECT t.g grid_id, a.k i, b.k j, v.d, sum((CASE WHEN v.i = a.lo THE
 
 
 @query("I4_upsample_grid", sql(
-    "SELECT grid_id, i, j, d, round(x / greatest(sqrt(sum(x*x) OVER (PARTITION BY grid_id, i, j)), 1e-12), 6) + 0.0 x FROM up",
+    "SELECT grid_id, CAST(i AS INTEGER) i, CAST(j AS INTEGER) j, CAST(d AS INTEGER) d, round(x / greatest(sqrt(sum(x*x) OVER (PARTITION BY grid_id, i, j)), 1e-12), 6) + 0.0 x FROM up",
     "fx_vec", taps=TAPS_SQL, up=UP_SQL))
 def _(spark, sf):
     grid = fx.vectors(spark, sf).selectExpr("id DIV 25 AS grid_id", "CAST(id % 25 DIV 5 AS INT) AS i", "CAST(id % 5 AS INT) AS j", "vec")
@@ -164,8 +164,6 @@ EDGE_SQL = """SELECT mission, k, t_h - coalesce(t_h - lag(t_h) OVER w, lead(t_h)
     JOIN edges a ON a.mission = q.mission AND a.k = start_row JOIN edges b ON b.mission = q.mission AND b.k = end_row - 1""",
     "fx_grid", labelled=LABELLED_SQL, edges=EDGE_SQL))
 def _(spark, sf):
-    from footfall.operators import ordered as o
-
     rows = _labelled(spark, sf)
     runs = cl.label_runs(rows, GRID_AXIS, "label")
     edges = o.positions(cl.step_edges(rows, GRID_AXIS, "t_h"), GRID_AXIS, "k").select("mission", "k", "left_edge", "right_edge")

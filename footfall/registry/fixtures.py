@@ -91,7 +91,7 @@ def geo(spark: SparkSession, sf: str) -> DataFrame:
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return lines.select(
         F.col("l_suppkey").alias("mission"),
-        F.row_number().over(order).alias("i"),
+        F.row_number().over(order).cast("long").alias("i"),
         (47.0 + (F.col("l_orderkey") % 1000) * 1e-6).alias("lat"),
         (8.0 + (F.col("l_partkey") % 1000) * 1e-6).alias("lon"),
         F.col("l_quantity").cast("double").alias("v"),

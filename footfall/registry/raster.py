@@ -121,7 +121,7 @@ def _(spark, sf):
     return rounded(ra.replace_columns(motion, fresh, ["mission", "t"]), ["mission", "t"], ["v_cmd_x", "vx"])
 
 
-GRID_SQL = """SELECT 'dem' raster_id, g.r AS "row", g.c AS col, z FROM (SELECT a.i r, b.i c FROM range(48) a(i), range(48) b(i)) g
+GRID_SQL = """SELECT 'dem' raster_id, CAST(g.r AS INTEGER) AS "row", CAST(g.c AS INTEGER) AS col, z FROM (SELECT a.i r, b.i c FROM range(48) a(i), range(48) b(i)) g
     LEFT JOIN fx_cells f ON f."row" = g.r AND f.col = g.c"""
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,17 @@ def build_session(app: str, master: str | None = None, extra: dict[str, str] | N
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per context, so that they import it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_footfall_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='footfall-')}/footfall", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._footfall_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names; only a session without one gets a scratch folder."""
     context = spark.sparkContext

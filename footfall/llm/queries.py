@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import dedup, packing, simhash
+from footfall.llm import dedup, language, packing, simhash
 from footfall.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -46,3 +46,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"), index).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import dedup, language, packing, simhash
+from footfall.llm import dedup, language, packing, simhash, toxicity
 from footfall.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -51,3 +51,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

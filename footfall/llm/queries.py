@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import dedup, knn, language, packing, simhash, toxicity
+from footfall.llm import dedup, knn, language, packing, preference, secret_scan, sharding, simhash, toxicity
 from footfall.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -70,3 +70,58 @@ FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 """)
 def voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op1_secret_scan")
+def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op6_extendible_sharding", f"""
+WITH r AS (
+    SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+    FROM documents),
+l AS (
+    SELECT depth, hash >> (60 - depth) AS bucket, sum(n_bytes) AS total, min(hash) AS low, max(hash) AS high
+    FROM r, range(0, 61) t(depth) GROUP BY ALL),
+f AS (
+    SELECT r.doc_id, r.n_bytes, r.hash, min_by(l.total, l.depth) AS total, min(l.depth) AS depth
+    FROM r, l WHERE l.bucket = r.hash >> (60 - l.depth) AND (l.total <= {SHARD_BYTES} OR l.low = l.high)
+    GROUP BY r.doc_id, r.n_bytes, r.hash)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(hash >> (60 - depth)), depth::INTEGER, '0') END AS shard,
+       depth::INTEGER AS depth, 0::BIGINT AS page, total::BIGINT AS shard_bytes
+FROM f
+""")
+def extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
+
+
+@query("op9_preference_format", """
+WITH t AS (
+    SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT conv_id, max(k) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+x AS (
+    SELECT t.*, e.last, t.k = e.last AS is_last, o.role AS o_role, o.text AS o_text
+    FROM t JOIN e USING (conv_id) JOIN e p ON p.conv_id = xor(e.conv_id, 1)
+    JOIN t o ON o.conv_id = p.conv_id AND o.k = p.last
+    WHERE t.k <= e.last),
+d AS (
+    SELECT *, is_last AND NOT (role = o_role AND text = o_text) AS differs, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
+           '<|' || o_role || '|>' || chr(10) || o_text || '<|end|>' || chr(10) AS o_line
+    FROM x)
+SELECT conv_id, count_if(NOT differs)::INTEGER AS shared_turns,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (NOT differs), '') AS prompt,
+       coalesce(string_agg(line, '') FILTER (differs), '') AS chosen,
+       coalesce(string_agg('14:' || (14 + length(text) + 7), '') FILTER (differs), '') AS chosen_mask,
+       coalesce(string_agg(o_line, '') FILTER (differs), '') AS rejected,
+       coalesce(string_agg('14:' || (14 + length(o_text) + 7), '') FILTER (differs), '') AS rejected_mask
+FROM d GROUP BY conv_id
+""")
+def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.borrowed_replies(table(spark, sf_dir, "conversations")))

@@ -18,11 +18,16 @@ def _digest(texts: pd.Series) -> pd.Series:
     return pd.Series([hashlib.sha256(b.lower()).hexdigest() for b in texts], dtype="str")
 
 
-def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, id, digest) of every row; a null text counts as the empty text. Stored, so that ``row`` stays what it is."""
+def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", whole: bool = False) -> DataFrame:
+    """(row, id, digest) of every row, and all its columns as ``doc`` if ``whole``; a null text counts as the empty text.
+
+    Stored, so that ``row`` stays what it is.
+    """
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), _digest(text).alias("digest")), "digests")
+    doc = [F.struct(*docs.columns).alias("doc")] if whole else []
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"),
+                              _digest(text).alias("digest"), *doc), "digests")
 
 
 class DigestIndex:
@@ -56,26 +61,34 @@ class DigestIndex:
         self._append(fresh)
 
 
-def mark_duplicates(index: DigestIndex, rows: DataFrame) -> DataFrame:
-    """(row, id, digest) to the same rows with keep_id, keep_row, group_size and kept, by what the index holds.
-
-    The sizes are counted first and stored, so that the join back meets plain tables, whose hot keys adaptive execution splits.
-    """
-    sizes = stored(rows.groupBy("digest").agg(F.count("*").alias("group_size")).join(index.rows(), "digest"), "sizes")
-    return rows.join(sizes, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+def _ingest_all(rows: DataFrame, index: DigestIndex) -> None:
+    """Two batches, larger ids first, so that what the index keeps is the largest id of all; rows without an id go with the second."""
+    middle = rows.agg(F.expr("cast(floor(min(id) / 2.0 + max(id) / 2.0) as bigint)").alias("middle")).first()["middle"]
+    late = F.coalesce(F.col("id") > F.lit(middle), F.lit(False))
+    for batch in (rows.filter(late), rows.filter(~late)):
+        index.ingest(batch.select("row", "id", "digest"))
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document, dropped ones too: id, keep_id, group_size, kept, text_sha256.
+    """One row per document, dropped ones too: id, keep_id, group_size, kept, text_sha256. The index is empty or holds earlier rows.
 
-    Equal means identical after lower-casing A-Z. The row with the largest id stays; of repeated rows (same id and text)
-    one stays. Null texts are empty texts. The rows come in two batches, larger ids first, so that what the index keeps is
-    the largest id of all; rows without an id go with the second. An empty table gives an empty result.
+    Equal means identical after lower-casing A-Z. The row with the largest id stays, unless the index knows the text already;
+    of repeated rows (same id and text) one stays. Null texts are empty texts. An empty table gives an empty result.
     """
     rows = digests(docs, id_column, text_column)
-    middle = rows.agg(F.expr("cast(floor(min(id) / 2.0 + max(id) / 2.0) as bigint)").alias("middle")).first()["middle"]
-    late = F.coalesce(F.col("id") > F.lit(middle), F.lit(False))
-    for batch in (rows.filter(late), rows.filter(~late)):
-        index.ingest(batch)
-    return mark_duplicates(index, rows).select(
-        F.col("row"), F.col("id").alias(id_column), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    before = index.rows().select("digest", F.lit(True).alias("old"))
+    known = stored(rows.select("digest").distinct().join(before, "digest"), "known")
+    _ingest_all(rows, index)
+    # sizes are counted first and stored: the join back meets plain tables, whose hot keys adaptive execution splits
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size")).join(index.rows(), "digest").join(known, "digest", "left")
+    marked = rows.join(stored(sizes, "sizes"), "digest")
+    return marked.select(F.col("id").alias(id_column), "keep_id", "group_size",
+                         (F.col("old").isNull() & (F.col("row") == F.col("keep_row"))).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def without_duplicates(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns, for an index that starts empty."""
+    rows = digests(docs, id_column, text_column, whole=True)
+    _ingest_all(rows, index)
+    stay = stored(index.rows().select(F.col("keep_row").alias("row")), "stay")
+    return rows.join(stay, "row", "left_semi").select("doc.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import dedup, knn, language, packing, preference, secret_scan, sharding, simhash, toxicity
+from footfall.llm import dedup, knn, language, mixing, packing, preference, secret_scan, sharding, simhash, toxicity
 from footfall.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -125,3 +125,15 @@ FROM d GROUP BY conv_id
 """)
 def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.borrowed_replies(table(spark, sf_dir, "conversations")))
+
+
+#: Shares of all tokens that each domain shall have.
+MIX = {"high": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+@query("op7_soft_mixing")
+def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated, names = mixing.mix(docs.select("doc_id", "text"), mixing.labelled_rows(docs, labels), MIX)
+    p = {d: F.element_at("p", i + 1) for i, d in enumerate(names)}
+    return rated.select("doc_id", "tokens", *[F.round(p.get(d, F.lit(0.0)), 6).alias(f"p_{d}") for d in MIX], F.round("rate", 6).alias("rate"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import partial
 from itertools import combinations
 
@@ -102,7 +101,18 @@ def near_pairs(prints: DataFrame, families: int = 8, bucket_limit: int = 100) ->
     return pairs.union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carried: Iterable[str] = ()) -> DataFrame:
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of all fingerprints of ``rows`` (id, fp)."""
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = components(near_pairs(nodes.select("fp")))
+    linked = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
+    least = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    moved = linked.join(least, "root").select("fp", "component_id", "root")
+    return stored(nodes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the least id reachable over links.
 
     Null and wordless texts have fingerprint zero and link like any other. Equal fingerprints are one node from here on, so
@@ -111,12 +121,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    rows = stored(docs.select(F.col(id_column).alias("id"), *carried, _fingerprint(text).alias("fp")), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(near_pairs(nodes.select("fp")))
-    linked = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
-    least = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    moved = linked.join(least, "root").select("fp", "component_id")
-    whole = stored(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return rows.join(whole, "fp").select(
-        F.col("id").alias(id_column), *carried, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = stored(docs.select(F.col(id_column).cast("long").alias("id"), _fingerprint(text).alias("fp")), "fingerprints")
+    return rows.join(_classes(rows), "fp").select(
+        F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component with all its columns: the one with the least id (null ids last), of repeated rows the first."""
+    bound_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"),
+                              _fingerprint(text).alias("fp"), F.struct(*docs.columns).alias("doc")), "fingerprints")
+    roots = _classes(rows.select("id", "fp")).select("fp", "root")
+    # first the best row of each fingerprint, then of each component, so that no group comes together
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    prints = stored(rows.groupBy("fp").agg(best), "best")
+    stay = prints.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return rows.join(stored(stay, "stay"), "row", "left_semi").select("doc.*")

@@ -24,6 +24,8 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: Log-likelihood ratio from which a run counts as random: in all, and for each step.
 LEAST_RATIO, LEAST_STEP = 8.0, 0.3
 CODES = 128
+#: Steps that the back-off weighs as much as: a character seen a few times says little about what follows it.
+BACK_OFF = 64.0
 
 
 def _matches(text: Column, pattern: str, hint: Column, group: int = 0) -> Column:
@@ -91,7 +93,7 @@ def train(found: DataFrame) -> list[float] | None:
             second[step % CODES] += n
         total = sum(second)
         share = [(n + 1.0) / (total + 65.0) for n in second]
-        return lambda a, b: math.log((of.get(a * CODES + b, 0) + 8.0 * share[b]) / (after[a] + 8.0))
+        return lambda a, b: math.log((of.get(a * CODES + b, 0) + BACK_OFF * share[b]) / (after[a] + BACK_OFF))
 
     is_random, is_ordinary = model(counts[True]), model(counts[False])
     return [round(is_random(a, b) - is_ordinary(a, b), 4) for a in range(CODES) for b in range(CODES)]

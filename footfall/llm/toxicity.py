@@ -19,7 +19,7 @@ from footfall.llm.common import bound_batches, held_out, sampling_hash, stored
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Channel costs in nats: a stand-in character, a dropped separator, a dropped repeat, a digit or mark kept as it is.
-SWAP, DROP_GAP, DROP_REPEAT, KEEP_MARK = 1.0, 0.5, 1.0, 4.0
+SWAP, DROP_GAP, DROP_REPEAT, KEEP_MARK = 1.0, 0.5, 1.0, 9.0
 #: Longest span decoded in one lattice (a longer one is decoded in parts), and decoded spans remembered by a worker.
 LATTICE, REMEMBERED = 400, 100_000
 #: Labelled rows that the classifier is fitted on, about; traits it may use; toxic rows of the sample that a trait must occur in.
@@ -40,11 +40,11 @@ _L = "a-zà-öø-ÿ"
 _M = re.escape("".join(LEET))
 _ODD = re.compile(
     # a word with stand-ins among its letters
-    rf"(?<![{_L}{_M}])(?:[{_L}]++(?:[0-9@$]|[!|+]++[{_L}])|[{_M}]++[{_L}])[{_L}{_M}]*"
+    rf"(?<![{_L}{_M}])(?:[{_L}]++(?:[0-9@$]|[!|+]++[{_L}])|[{_M}]++[{_L}])[{_L}{_M}]*(?<![!|+])"
     # single characters set apart by one and the same space or mark
     rf"|(?<![{_L}0-9])[{_L}{_M}](?P<gap>[ .\-_*])[{_L}{_M}](?:(?P=gap)[{_L}{_M}])+(?![{_L}0-9])"
     # a letter three times or more
-    rf"|(?<![{_L}])[{_L}]*?(?P<letter>[{_L}])(?P=letter)(?P=letter)[{_L}{_M}]*")
+    rf"|(?<![{_L}])[{_L}]*?(?P<letter>[{_L}])(?P=letter)(?P=letter)[{_L}{_M}]*(?<![!|+])")
 _GAPS = set(" .-_*")
 # ASCII marks become spaces; letters of other scripts stay as bytes
 _WORDS = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -145,7 +145,7 @@ class Model:
 
     costs: np.ndarray
     index: dict[bytes, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-50.0]))
 
     def __post_init__(self):
         self.starts = {t.rstrip(b" ")[:4] for t in self.index}
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     """Character model from all texts of ``docs``; classifier from about ``sample_rows`` rows that ``labels`` (doc_id, toxic) marks.
 
     A document marked more than once counts as toxic if any mark says so; marks that are null are left out. Without labelled
-    rows of both kinds the score is one half everywhere.
+    rows of both kinds nothing is learnt and every score is next to 0.
     """
     spark = docs.sparkSession
     costs = char_model(char_counts(docs))

@@ -18,8 +18,8 @@ from footfall.llm.common import bound_batches, held_out, sampling_hash, stored
 #: What a character may stand for besides itself (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-#: Channel costs in nats: a stand-in character, a dropped separator, a dropped repeat, a digit or mark kept as it is.
-SWAP, DROP_GAP, DROP_REPEAT, KEEP_MARK = 1.0, 0.5, 1.0, 9.0
+#: Channel costs in nats: a stand-in character, a dropped and a kept separator, a dropped repeat, a digit or mark kept as it is.
+SWAP, DROP_GAP, KEEP_GAP, DROP_REPEAT, KEEP_MARK = 1.0, 0.5, 4.0, 1.0, 9.0
 #: Longest span decoded in one lattice (a longer one is decoded in parts), and decoded spans remembered by a worker.
 LATTICE, REMEMBERED = 400, 100_000
 #: Labelled rows that the classifier is fitted on, about; traits it may use; toxic rows of the sample that a trait must occur in.
@@ -94,7 +94,7 @@ class Decoder:
 
     def _options(self, ch: str, before: str) -> list[tuple[str, float]]:
         if ch in _GAPS:
-            return [("", DROP_GAP), (" ", 0.0)]
+            return [("", DROP_GAP), (" ", KEEP_GAP)]
         options = [(c, SWAP) for c in LEET.get(ch, "")]
         options.append((ch, KEEP_MARK if options else 0.0))
         if ch == before:

@@ -91,4 +91,5 @@ def without_duplicates(docs: DataFrame, index: DigestIndex, id_column: str = "do
     rows = digests(docs, id_column, text_column, whole=True)
     _ingest_all(rows, index)
     stay = stored(index.rows().select(F.col("keep_row").alias("row")), "stay")
-    return rows.join(stay, "row", "left_semi").select("doc.*")
+    # both sides are shuffled at every size: the rows that stay grow with the input and are never broadcast
+    return rows.join(stay.hint("merge"), "row", "left_semi").select("doc.*")

@@ -137,4 +137,5 @@ def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_col
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     prints = stored(rows.groupBy("fp").agg(best), "best")
     stay = prints.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.row")
-    return rows.join(stored(stay, "stay"), "row", "left_semi").select("doc.*")
+    # both sides are shuffled at every size: the rows that stay grow with the input and are never broadcast
+    return rows.join(stored(stay, "stay").hint("merge"), "row", "left_semi").select("doc.*")

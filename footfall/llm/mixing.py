@@ -13,6 +13,8 @@ from footfall.llm.common import sampling_hash, stored
 
 #: Hash buckets of words; words of evidence that a text counts for at most, so that memberships of long texts stay soft.
 BUCKETS, EVIDENCE = 1 << 13, 60.0
+#: Labelled rows that the classifier is fitted on, about.
+SAMPLE = 20_000
 #: Steps of the descent at most, steps taken before rates are written, and the miss of a target (share of all tokens) that is good enough.
 STEPS, WRITTEN, TOLERANCE = 120, 10, 1e-3
 
@@ -128,10 +130,16 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "high")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that ``labels`` marks, with their domain; of several marks of one document the worst counts."""
-    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", domain(F.col("_quality"), F.col("_toxic")).alias("domain"))
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> DataFrame:
+    """Documents that ``labels`` marks, with their domain; of several marks of one document the worst counts.
+
+    About ``sample_rows`` of them, chosen by a hash of the id: their ids are few enough to send to every task, so that no text
+    is shuffled for the classifier.
+    """
+    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
+    drawn = marks.filter(sampling_hash(F.col("doc_id")) < min(1.0, sample_rows / max(marks.count(), 1)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return stored(rows.select("text", domain(F.col("_quality"), F.col("_toxic")).alias("domain")), "labelled")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = 8.0,

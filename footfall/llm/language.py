@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from footfall.llm.common import bound_batches, held_out, sampling_hash
 
@@ -118,16 +119,16 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE, text_column: str = "text",
     # equal texts share a hash: they come or stay away together, and one of them is enough
     picked = picked.join(F.broadcast(shares), "label").filter(sampling_hash(F.col("text")) < F.col("share")).dropDuplicates(["label", "text"])
     labels, vectors = [], []
-    schema = StructType([StructField("label", StringType()), StructField("x", StringType())])
+    schema = StructType([StructField("label", StringType()), StructField("x", BinaryType())])
 
     def to_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[[bool(_LETTER.search(t)) for t in batch["text"]]]
-            yield pd.DataFrame({"label": batch["label"], "x": [features(t).astype(np.float16).tobytes().hex() for t in batch["text"]]})
+            yield pd.DataFrame({"label": batch["label"], "x": [zlib.compress(features(t).astype(np.float16).tobytes(), 1) for t in batch["text"]]})
 
     for r in picked.select("label", "text").mapInPandas(to_features, schema).orderBy("label", "x").toLocalIterator():
         labels.append(r["label"])
-        vectors.append(np.frombuffer(bytes.fromhex(r["x"]), dtype=np.float16))
+        vectors.append(np.frombuffer(zlib.decompress(r["x"]), dtype=np.float16))
     if not labels:
         return Model()
     x, y = np.array(vectors).astype(np.float32), np.array(labels)

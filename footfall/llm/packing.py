@@ -19,6 +19,8 @@ from footfall.llm.common import bound_batches, stored
 WINDOW, OPEN, END = 1024, 32, np.array([0], dtype="<u4").tobytes()
 #: Partitions whose leftovers are merged together; known pieces of text kept by a tokenizer.
 MERGED, CACHED = 8, 300_000
+#: New pieces that the tokenizer encodes as one text.
+TOGETHER = 500
 #: Sequence ids: 32 bits count within a partition or merge, the bits above name it, the topmost marks merges.
 SHIFT, MERGE_BIT = 32, 1 << 62
 
@@ -27,17 +29,21 @@ PIECE_SCHEMA = pa.schema([(c, pa.int64()) for c in PIECES])
 LEFT_SCHEMA = pa.schema([*PIECE_SCHEMA, ("part", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
 Piece = tuple[int | None, int, bytes, int]
 
-# a space next to other white space, where a cut could change the tokens
-_IRREGULAR = re.compile(r" (?:(?<=\s )|(?=\s))")
+# a space or line break next to other white space, where a cut could change the tokens
+_IRREGULAR = re.compile(r"[ \n](?:(?<=\s[ \n])|(?=\s))")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_TAIL = ".,;:!?"
+#: How a byte-level vocabulary writes a space (a fixed value).
+_SPACE = "\u0120"
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Texts to ids (little-endian, 4 bytes each), remembering the ids of space-separated pieces.
+    """Texts to ids (little-endian, 4 bytes each), remembering the ids of pieces between spaces and line breaks.
 
-    A byte-level tokenizer starts a new token at every space between two visible characters, so pieces cut there can be
-    encoded alone. Only pieces not met before go through the tokenizer, in one batch.
+    A byte-level tokenizer starts a new token at every space between two visible characters, makes a line break there a token
+    of its own, and parts letters from the marks after them, so pieces cut there can be encoded alone. Only pieces not met
+    before go through the tokenizer, in one batch.
     """
 
     def __init__(self, path: str):
@@ -46,20 +52,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[k for t, k in vocabulary.items() if t.startswith(_SPACE)]] = True
+        # pieces as they are, and pieces after a space (known by what follows it)
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space: many at once in one text, parted where a token opens with a space."""
+        out = []
+        for at in range(0, len(pieces), TOGETHER):
+            part = pieces[at:at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(part):
+                raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+            else:
+                out += self._ids([" " + p for p in part])
+        return out
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+        new = pieces.difference(known)
+        stems = {p: s for p in new if (s := p.rstrip(_TAIL)) != p and s.isalpha()}
+        for kind, wanted, lead in ((known, list({stems.get(p, p) for p in new}.difference(known)), before),
+                                   (self.plain, list({p[len(s):] for p, s in stems.items()}.difference(self.plain)), "")):
+            if lead:
+                simple = [p for p in wanted if p.split() == [p]]
+                kind.update(zip(simple, self._spaced_ids(simple), strict=True))
+                wanted = [p for p in wanted if p.split() != [p]]
+            kind.update(zip(wanted, self._ids([lead + p for p in wanted]), strict=True))
+        known.update({p: known[s] + self.plain[p[len(s):]] for p, s in stems.items()})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [_CUT.split(t) if _IRREGULAR.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        # a piece is known by its text after the space; the first of a text has no space before it
-        heads = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        new = list({p for c in cut for p in c[1:]}.difference(self.known))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        for c, head in zip(cut, heads, strict=True):
-            yield np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, c[1:]))
+        cut = [[_CUT.split(t)] if _IRREGULAR.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        for known in (self.plain, self.spaced):
+            if len(known) > CACHED:
+                known.clear()
+        self._learn(self.plain, {line[0] for c in cut for line in c}, "")
+        self._learn(self.spaced, {p for c in cut for line in c for p in line[1:]}, " ")
+        plain, spaced = self.plain, self.spaced.__getitem__
+        for c in cut:
+            yield self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in c])
 
 
 def _encoder(path: str) -> Encoder:

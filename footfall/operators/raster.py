@@ -160,17 +160,15 @@ def sampled_gradient_slopes(points: DataFrame, cells: DataFrame, georef: DataFra
     return sloped.withColumns({c: F.coalesce(f"_stored_{c}", c) for c in stored}).drop(*[f"_stored_{c}" for c in stored])
 
 
-def track_chip(df: DataFrame, axis: Axis, side_m: float, lat: str = "lat", lon: str = "lon",
-               thin_above: int = 20_000, thin_step: int = 10) -> DataFrame:
-    """Square around the centre of each track's bounding box. Long tracks use every ``thin_step``-th point."""
+def track_chip(df: DataFrame, axis: Axis, side_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Square around the centre of each track's bounding box, for tracks with two known points or more."""
     known = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    numbered = o.running(known, axis, _k=o.row_index(), _n=o.group_count())
-    used = numbered.where((F.col("_n") >= 2) & ((F.col("_n") <= thin_above) | (F.col("_k") % thin_step == 0)))
-    box = project(used, lat, lon, ("_e", "_n_m")).groupBy(*axis.keys).agg(
-        ((F.min("_e") + F.max("_e")) / 2).alias("_ce"), ((F.min("_n_m") + F.max("_n_m")) / 2).alias("_cn"))
+    box = project(known, lat, lon, ("_e", "_n_m")).groupBy(*axis.keys).agg(
+        F.count("*").alias("_n"), ((F.min("_e") + F.max("_e")) / 2).alias("_ce"), ((F.min("_n_m") + F.max("_n_m")) / 2).alias("_cn"))
     half = side_m / 2.0
-    return box.select(*axis.keys, (F.col("_ce") - half).alias("min_e"), (F.col("_cn") - half).alias("min_n"),
-                      (F.col("_ce") + half).alias("max_e"), (F.col("_cn") + half).alias("max_n"))
+    return box.where("_n >= 2").select(
+        *axis.keys, (F.col("_ce") - half).alias("min_e"), (F.col("_cn") - half).alias("min_n"),
+        (F.col("_ce") + half).alias("max_e"), (F.col("_cn") + half).alias("max_n"))
 
 
 def tile_cover(boxes: DataFrame, tile_m: float = 1000.0) -> DataFrame:

@@ -42,7 +42,7 @@ def distance_segments(df: DataFrame, axis: Axis, requests: DataFrame, metrics: M
 
     Distances restart at 0; cumulative metrics do too. ``metrics`` maps each metric to its filter spec.
     """
-    smoothed = filters.apply_chains(df, axis, {m: filters.stages_of(spec) for m, spec in metrics.items()})
+    smoothed = filters.apply_chains(df, axis, metrics)
     long = smoothed.select("mission", axis.order, *axis.ties, "dist_m", F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
     cut = long.join(requests, ["mission", "metric"]).where(
@@ -115,10 +115,11 @@ def path_motion(df: DataFrame, axis: Axis, min_speed: float = 0.0, lat: str = "l
                         (speed >= min_speed).alias("moving"))
 
 
-def best_quarter_turn(df: DataFrame, axis: Axis, heading: str = "heading", median_rows: int = 1, mean_rows: int = 1) -> DataFrame:
+def best_quarter_turn(df: DataFrame, axis: Axis, heading: str = "heading", median_rows: int = 1, mean_rows: int = 1,
+                      least: int = LEAST_MOVING) -> DataFrame:
     """Of four rotations of the path the one whose smoothed direction fits the heading best on moving rows (first on ties).
 
-    Recordings with too few moving rows are left out.
+    Recordings with fewer than ``least`` moving rows have their count and no turn.
     """
     dx, dy = F.col("dx"), F.col("dy")
     turns = ((dx, dy), (-dy, dx), (-dx, -dy), (dy, -dx))
@@ -127,17 +128,23 @@ def best_quarter_turn(df: DataFrame, axis: Axis, heading: str = "heading", media
     yaw = materialize(turned.withColumn("yaw", F.atan2(F.col("ry") + 0.0, F.col("rx") + 0.0)).drop("rx", "ry"))
     smooth = smooth_angle(yaw, axis.by("rot"), "yaw", median_rows=median_rows, mean_rows=mean_rows)
     scored = smooth.where("moving").groupBy(*axis.keys, "rot").agg(
-        circular_rmse(F.col(heading), F.col("yaw")).alias("rmse"), F.count("*").alias("_n")).where(F.col("_n") >= LEAST_MOVING)
-    best = scored.groupBy(*axis.keys).agg(F.min_by(F.struct("rot", "rmse"), F.struct("rmse", "rot")).alias("_b"))
-    return best.select(*axis.keys, "_b.*")
+        circular_rmse(F.col(heading), F.col("yaw")).alias("rmse"), F.count("*").alias("_n"))
+    best = scored.groupBy(*axis.keys).agg(F.max("_n").alias("_n"), F.min(F.struct("rmse", "rot")).alias("_b"))
+    enough = F.col("_n") >= least
+    return df.select(*axis.keys).distinct().join(best, list(axis.keys), "left").select(
+        *axis.keys, F.when(enough, F.col("_b.rot")).alias("rot"), F.when(enough, F.col("_b.rmse")).alias("rmse"),
+        F.coalesce("_n", F.lit(0)).alias("n_moving"))
 
 
-def difference_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Equal-width counts over [-L, L] with L the largest magnitude rounded up to 5; plus mean and deviation."""
+def difference_histogram(df: DataFrame, keys: Sequence[str], value: str, min_bins: int = 20, max_bins: int = 120) -> DataFrame:
+    """Equal-width counts over [-L, L] with L the largest magnitude rounded up to 5; plus mean and deviation.
+
+    There are two bins to a unit, but no fewer than ``min_bins`` and no more than ``max_bins``; every row is counted.
+    """
     known = df.where(F.col(value).isNotNull())
     spans = known.groupBy(*keys).agg(F.max(F.abs(value)).alias("_top"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     spans = spans.withColumn("limit", 5.0 * F.ceil(F.col("_top") / 5.0)).withColumn(
-        "bins", F.greatest(F.lit(20), F.least(F.lit(120), F.floor(2 * F.col("limit")))))
+        "bins", F.greatest(F.lit(min_bins), F.least(F.lit(max_bins), F.floor(2 * F.col("limit")))))
     placed = known.join(spans, list(keys)).withColumn(
         "bin", F.least(F.floor((F.col(value) + F.col("limit")) / (2 * F.col("limit")) * F.col("bins")), F.col("bins") - 1))
     return placed.groupBy(*keys, "limit", "bins", "mean", "std", "bin").agg(F.count("*").alias("n"))
@@ -149,7 +156,7 @@ def rmse_and_bias(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFra
 
 
 def smooth_columns(df: DataFrame, axis: Axis, columns: Sequence[str], window: int) -> DataFrame:
-    return filters.apply_chains(df, axis, {c: [{"type": "moving_average", "window": window}] for c in columns})
+    return filters.apply_chains(df, axis, {c: {"type": "moving_average", "window": window} for c in columns})
 
 
 def time_to_distance(queries: DataFrame, path: DataFrame, axis: Axis, distance: str = "dist_m") -> DataFrame:

@@ -139,7 +139,7 @@ def _(spark, sf):
 @query("B13_id_and_short_name", sql(
     rf"""SELECT doc_id, nullif(lower(regexp_extract(text, '(?i)\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b')), '') AS id,
     upper(coalesce(nullif(regexp_extract(text, '(?i)short\s*name\s*[|:]\s*([^\s|:]+)', 1), ''),
-      nullif(regexp_extract(array_to_string(string_split_regex(text, '\r\n|\n|\r')[1:80], chr(10)), '{ASCII_TOKEN}'), ''))) short_name
+      nullif(regexp_extract(text, '{ASCII_TOKEN}'), ''))) short_name
     FROM (SELECT doc_id, regexp_replace(text, '\x1b\[[0-9;]*m', '', 'g') AS text FROM documents)"""))
 def _(spark, sf):
     return tx.id_and_short_name(fx.table(spark, sf, "documents"), token=ASCII_TOKEN)

@@ -127,19 +127,21 @@ def _(spark, sf):
 TURNED_SQL = f"""SELECT mission, i, heading, path_speed >= 20.0 AS moving, rot, atan2(CASE rot WHEN 0 THEN dy WHEN 90 THEN dx WHEN 180 THEN -dy ELSE -dx END + 0.0,
     CASE rot WHEN 0 THEN dx WHEN 90 THEN -dy WHEN 180 THEN -dx ELSE dy END + 0.0) yaw FROM ({PATH_SQL}), (VALUES (0), (90), (180), (270)) q(rot)"""
 W = "(PARTITION BY mission, rot ORDER BY i)"
-BEST_SQL = f"""SELECT mission, rot, sqrt(avg(({WRAP.format(a='(heading - s)')})**2)) rmse FROM (SELECT *, {WRAP.format(a='m')} s FROM (
+BEST_SQL = f"""SELECT mission, rot, sqrt(avg(({WRAP.format(a='(heading - s)')})**2)) rmse, count(*) n FROM (SELECT *, {WRAP.format(a='m')} s FROM (
     SELECT *, avg(flat) OVER (PARTITION BY mission, rot ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) m FROM (
     SELECT *, yaw + sum(CASE WHEN d IS NULL OR abs(d) < {PI} THEN 0 ELSE (CASE WHEN k = -{PI} AND d > 0 THEN {PI} ELSE k END) - d END)
       OVER (PARTITION BY mission, rot ORDER BY i ROWS UNBOUNDED PRECEDING) flat
     FROM (SELECT *, {WRAP.format(a='d')} k FROM (SELECT *, yaw - lag(yaw) OVER {W} d FROM ({TURNED_SQL}))))))
-    WHERE moving GROUP BY 1, 2 HAVING count(*) >= 10"""
+    WHERE moving GROUP BY 1, 2"""
 
 
 @query("J9_best_quarter_turn", sql(
-    f"SELECT mission, min_by(rot, {{'e': rmse, 'r': rot}}) rot, round(min(rmse), 4) + 0.0 rmse FROM ({BEST_SQL}) GROUP BY 1", "fx_geo"))
+    f"""SELECT mission, CASE WHEN n >= 10 THEN rot END rot, CASE WHEN n >= 10 THEN rmse END rmse, coalesce(n, 0) n_moving
+    FROM (SELECT DISTINCT mission FROM fx_geo) LEFT JOIN (
+    SELECT mission, min_by(rot, {{'e': rmse, 'r': rot}}) rot, round(min(rmse), 4) + 0.0 rmse, max(n) n FROM ({BEST_SQL}) GROUP BY 1) USING (mission)""", "fx_geo"))
 def _(spark, sf):
     best = rp.best_quarter_turn(materialize(_path(spark, sf)), GEO_AXIS, mean_rows=5)
-    return rounded(best, ["mission", "rot"], ["rmse"], 4)
+    return rounded(best, ["mission", "rot", "n_moving"], ["rmse"], 4)
 
 
 @query("J10_difference_histogram", sql(

@@ -10,7 +10,6 @@ ANSI = r"\x1b\[[0-9;]*m"
 UUID = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 SHORT_TOKEN = r"(?U)\b([^\s\|:│]+-[0-9]+)\b"
 SHORT_LABEL = r"(?iU)\bshort\s*name\b\s*(?:[│|:])\s*([^\s\|:│]+)"
-HEAD_LINES = 80
 
 
 def strip_ansi(text: Column) -> Column:
@@ -39,9 +38,8 @@ def mission_names(df: DataFrame, text: str = "text", uuid: str = UUID) -> DataFr
 
 
 def id_and_short_name(df: DataFrame, text: str = "text", token: str = SHORT_TOKEN, label: str = SHORT_LABEL, uuid: str = UUID) -> DataFrame:
-    """First id of a text, and its labelled short name or the first token among the first lines."""
+    """First id of a text, and its labelled short name or else its first token."""
     clean = strip_ansi(F.col(text))
     some = lambda c: F.nullif(c, F.lit(""))
-    head = F.array_join(F.slice(F.split(clean, r"\r\n|\n|\r"), 1, HEAD_LINES), "\n")
     return df.select("doc_id", some(F.lower(F.regexp_extract(clean, uuid, 0))).alias("id"),
-                     F.upper(F.coalesce(some(F.regexp_extract(clean, label, 1)), some(F.regexp_extract(head, token, 0)))).alias("short_name"))
+                     F.upper(F.coalesce(some(F.regexp_extract(clean, label, 1)), some(F.regexp_extract(clean, token, 0)))).alias("short_name"))

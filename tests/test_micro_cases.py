@@ -57,8 +57,8 @@ def test_filter_errors_and_fallback(spark):
     with pytest.raises(ValueError):
         fl.apply_chain(series(spark, [1]), AXIS, "x", {"type": "ema", "alpha": 2})
     table = {"default": "none", "a": {"chain": [{"type": "hampel"}, {"type": "ema", "enabled": False}]}}
-    assert [s["type"] for s in fl.chain_for(table, "a")] == ["hampel"]
-    assert fl.chain_for(table, "b") == [{"type": "none"}]
+    assert [s.kind for s in fl.Catalog(table).chain("a").stages] == [fl.Kind.HAMPEL]
+    assert fl.Catalog(table).chain("b").working() == [] and fl.Catalog(None).chain("b") == fl.Chain()
 
 
 def test_row_sums_and_power_rules(spark):

@@ -64,14 +64,17 @@ def _evidence(values: Column) -> Column:
     return F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.element_at(values, b))
 
 
-def _spread(matrix: list[list[float]]) -> float:
-    """The largest eigenvalue of a small positive matrix, by power iteration."""
-    v = [1.0] * len(matrix)
-    for _ in range(200):
-        w = [sum(a * x for a, x in zip(row, v, strict=True)) for row in matrix]
-        norm = math.sqrt(sum(x * x for x in w)) or 1.0
-        v = [x / norm for x in w]
-    return sum(x * sum(a * y for a, y in zip(row, v, strict=True)) for x, row in zip(v, matrix, strict=True))
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small positive system, by elimination; a trace of the diagonal is added, as domains may coincide."""
+    n = len(right)
+    trace = 1e-9 * sum(matrix[i][i] for i in range(n)) + 1e-12
+    rows = [[*(v + (trace if i == j else 0.0) for j, v in enumerate(row)), right[i]] for i, row in enumerate(matrix)]
+    for i in range(n):
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        for j in range(n):
+            if j != i:
+                rows[j] = [v - rows[j][i] * w for v, w in zip(rows[j], rows[i], strict=True)]
+    return [row[n] for row in rows]
 
 
 def rate(p: Column, steps: list[list[float]], least: float, most: float) -> Column:
@@ -84,7 +87,7 @@ def rate(p: Column, steps: list[list[float]], least: float, most: float) -> Colu
 def descend(members: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, most: float = 8.0,
             grow: bool = False) -> list[list[float]]:
     """Steps of a projected-gradient least-squares fit of the rates of ``members`` (tokens, p): its terms are the misses of the
-    domains' expected token totals.
+    domains' expected token totals, weighted by the inverse of their moments, for which a step of length one always descends.
 
     ``targets`` are shares of all tokens of the result; they are scaled to sum to one over the ``domains`` that the model
     knows. The result has as many tokens as the input, or, with ``grow``, as many as it takes that no domain shrinks. Rates
@@ -105,14 +108,13 @@ def descend(members: DataFrame, domains: list[str], targets: dict[str, float], l
         return steps
     wanted = [w / sum(wanted) for w in wanted]
     size = max([total, *(first[f"s{i}"] / w for i, w in enumerate(wanted) if w)]) if grow else total
-    scale = [max(first[f"m{i}_{i}"], 1e-9 * total) for i in k]
-    length = 1 / _spread([[first[f"m{i}_{j}"] / math.sqrt(scale[i] * scale[j]) for j in k] for i in k])
+    moments = [[first[f"m{i}_{j}"] for j in k] for i in k]
     have, written = [first[f"s{i}"] for i in k], 0
     while len(steps) < STEPS:
         miss = [have[i] - wanted[i] * size for i in k]
         if max(map(abs, miss)) <= TOLERANCE * size:
             break
-        steps.append([length * miss[i] / scale[i] for i in k])
+        steps.append(_solved(moments, miss))
         moved = F.col("rate")
         for step in steps[written:]:
             slope = reduce(lambda a, b: a + b, [p[i] * F.lit(step[i]) for i in k])

@@ -17,6 +17,8 @@ BUCKETS, EVIDENCE = 1 << 13, 60.0
 SAMPLE = 20_000
 #: Steps of the descent at most, steps taken before rates are written, and the miss of a target (share of all tokens) that is good enough.
 STEPS, WRITTEN, TOLERANCE = 120, 10, 1e-3
+#: The descent also ends where a step leaves more than this share of the loss: the limits then allow no better.
+GAIN = 0.98
 
 
 def buckets(text: Column) -> Column:
@@ -109,15 +111,20 @@ def descend(members: DataFrame, domains: list[str], targets: dict[str, float], l
     wanted = [w / sum(wanted) for w in wanted]
     size = max([total, *(first[f"s{i}"] / w for i, w in enumerate(wanted) if w)]) if grow else total
     moments = [[first[f"m{i}_{j}"] for j in k] for i in k]
-    have, written = [first[f"s{i}"] for i in k], 0
+    have, written, before = [first[f"s{i}"] for i in k], 0, math.inf
     while len(steps) < STEPS:
         miss = [have[i] - wanted[i] * size for i in k]
         if max(map(abs, miss)) <= TOLERANCE * size:
             break
-        steps.append(_solved(moments, miss))
+        step = _solved(moments, miss)
+        loss = sum(a * b for a, b in zip(step, miss, strict=True))
+        if loss > GAIN * before:
+            break
+        before = loss
+        steps.append(step)
         moved = F.col("rate")
-        for step in steps[written:]:
-            slope = reduce(lambda a, b: a + b, [p[i] * F.lit(step[i]) for i in k])
+        for taken in steps[written:]:
+            slope = reduce(lambda a, b: a + b, [p[i] * F.lit(taken[i]) for i in k])
             moved = F.greatest(F.lit(least), F.least(F.lit(most), moved - slope))
         if len(steps) - written == WRITTEN:
             members, written = stored(members.withColumn("rate", moved), "rates"), len(steps)

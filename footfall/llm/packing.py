@@ -18,7 +18,7 @@ from footfall.llm.common import bound_batches, stored
 
 WINDOW, OPEN, END = 1024, 32, np.array([0], dtype="<u4").tobytes()
 #: Partitions whose leftovers are merged together; known pieces of text kept by a tokenizer.
-MERGED, CACHED = 8, 300_000
+MERGED, CACHED = 8, 1_000_000
 #: New pieces that the tokenizer encodes as one text.
 TOGETHER = 500
 #: Sequence ids: 32 bits count within a partition or merge, the bits above name it, the topmost marks merges.

@@ -12,13 +12,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from footfall.functions import quaternions as qf
 from footfall.operators import alignment as al, metrics as me, ordered as o, patches as pa, raster as ra
 from footfall.operators.ordered import Axis
 from footfall.operators.orientation import quaternion_blocks
 from footfall.sources.signals import signal_scan
-from footfall.sources.storage import write_metrics, write_patches
+from footfall.sources.storage import manifest, write_metrics, write_patches, write_table
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def sync(signals: Mapping[str, DataFrame], cfg: SyncSettings = SyncSettings()) -
         if f"qw{suffix}" in joined.columns:
             turned = qf.canonical(qf.quat(suffix=suffix))
             joined = joined.withColumns({f"q{c}{suffix}": q for c, q in zip("wxyz", turned)})
-    numeric = [c for c in joined.columns if c not in ("mission", "t", "i")]
+    numeric = [f.name for f in joined.schema if isinstance(f.dataType, NumericType) and f.name not in ("mission", "t", "i")]
     limit = round(cfg.interpolate_s * cfg.hz)
     filled = al.interpolate(joined, axis, numeric, limit, pos="i")
     measured = al.add_distance(al.planar_speeds(filled), axis)
@@ -108,13 +109,22 @@ def patches(table: DataFrame, cfg: Mapping[str, Any], size: float = 5.0, stride:
 
 def run(spark: SparkSession, signals: Mapping[str, DataFrame], out: str, cfg: Mapping[str, Any], metric_names: Sequence[str],
         settings: SyncSettings = SyncSettings(), **patch_options) -> DataFrame:
-    """Write synced, metrics and patch tables under ``out`` and return the patches."""
+    """Write synced, manifest, metrics, slopes and patch tables under ``out`` and return the patches.
+
+    Slopes need a raster (``cells``, ``georef``, ``rasters``), positions and an attitude; without them the stage is left out.
+    """
     hz = int(settings.hz)
     write_metrics(sync(signals, settings), f"{out}/synced", hz, separate=False)
     synced = spark.read.parquet(f"{out}/synced").where(f"kind = 'synced' AND hz = {hz}").drop("kind", "hz")
+    manifest(synced, {"hz": hz, "tolerance_s": settings.tolerance_s, "direction": settings.direction}).write.mode(
+        "overwrite").parquet(f"{out}/manifest")
     axis = Axis(("mission",), "t", settings.chunk_s)
     write_metrics(me.compute(synced, metric_names, cfg, axis), f"{out}/metrics", hz)
     table = spark.read.parquet(f"{out}/metrics").drop("kind", "hz")
+    terrain = {k: patch_options.get(k) for k in ("cells", "georef", "rasters")}
+    if all(v is not None for v in terrain.values()) and {"lat", "lon"} <= set(table.columns) and quaternion_blocks(table):
+        write_table(slopes(table, **terrain), f"{out}/slopes", overwrite=True)
+        table = spark.read.parquet(f"{out}/slopes")
     found, _ = patches(table, cfg, metrics=metric_names, chunk_s=settings.chunk_s, **patch_options)
     write_patches(found, {"hz": hz, **{k: v for k, v in patch_options.items() if isinstance(v, (int, float))}}, f"{out}/patches")
     return spark.read.parquet(f"{out}/patches")

@@ -108,6 +108,16 @@ def _(spark, sf):
     return se.match_patterns(fx.files(spark, sf), PATTERNS).select("doc_id", "name", "pattern_rank")
 
 
+@query("B8_expanded_patterns", sql(
+    """SELECT doc_id, name, CASE WHEN name = 'synced_10Hz.bag' THEN 0 WHEN name = 'synced_10Hz.mcap' THEN 1 WHEN name LIKE '%.bag' THEN 2 ELSE 3 END pattern_rank
+    FROM (SELECT doc_id, replace(name, '.parquet', CASE WHEN doc_id % 3 = 0 THEN '_0.mcap' WHEN doc_id % 3 = 1 THEN '.bag' ELSE '.mcap' END) name FROM fx_files)
+    WHERE name LIKE 'synced@_10Hz%.bag' ESCAPE '@' OR name LIKE 'synced@_10Hz%.mcap' ESCAPE '@'""", "fx_files"))
+def _(spark, sf):
+    ending = F.when(F.col("doc_id") % 3 == 0, "_0.mcap").when(F.col("doc_id") % 3 == 1, ".bag").otherwise(".mcap")
+    files = fx.files(spark, sf).select("doc_id", F.replace("name", F.lit(".parquet"), ending).alias("name"))
+    return se.match_patterns(files, se.expand_patterns(["synced_10Hz.bag"])).select("doc_id", "name", "pattern_rank")
+
+
 @query("B9_present_patterns", sql(
     "SELECT pattern, coalesce(bool_or(regexp_matches(name, rx)), false) AS present FROM fx_files, (VALUES ('synced_10Hz*.parquet', '^synced_10Hz.*\\.parquet$'), "
     "('synced_?Hz.parquet', '^synced_.Hz\\.parquet$'), ('*_metrics.parquet', '^.*_metrics\\.parquet$'), ('*.tif', '^.*\\.tif$')) p(pattern, rx) GROUP BY 1", "fx_files"))

@@ -141,6 +141,12 @@ def _(spark, sf):
     return fx.messages(spark, sf).select("mission", "seq", ms.event_time_ns(F.col("stamp_ns"), F.col("log_ns")).alias("ns"))
 
 
+@query("A10_stamp_fallbacks", sql(
+    "SELECT mission, count(*) messages, count(*) - count(CASE WHEN stamp_ns > 0 THEN 1 END) fallbacks FROM fx_msgs GROUP BY 1", "fx_msgs"))
+def _(spark, sf):
+    return ms.stamp_fallbacks(fx.messages(spark, sf))
+
+
 TOTALS_SQL = "SELECT mission, count(*) n, round(sum(v), 4) + 0.0 total FROM fx_stream GROUP BY 1"
 
 

@@ -26,9 +26,12 @@ def unresolved(resolved: DataFrame) -> DataFrame:
 
 
 def requested_missions(lines: DataFrame, aliases: DataFrame, missions: DataFrame) -> DataFrame:
-    """Listed keys without blanks and # comments, resolved, one row per id keeping the first; ``lines``: pos, line."""
+    """Listed keys without blanks and # comments, resolved, one row per id keeping the first; ``lines``: pos, line.
+    A list without keys asks for every mission, all at position 0."""
     text = F.trim("line")
     wanted = lines.select("pos", text.alias("key")).where((text != "") & ~text.startswith("#"))
+    if wanted.isEmpty():
+        wanted = missions.select(F.lit(0).alias("pos"), F.col("id").alias("key"))
     found = resolve(wanted.select("key").distinct(), aliases, missions).where("id IS NOT NULL")
     placed = wanted.join(found, "key")
     return placed.groupBy("id").agg(F.min_by(F.struct("key", "folder", "display"), "pos").alias("_f"), F.min("pos").alias("pos")

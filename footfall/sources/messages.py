@@ -11,9 +11,15 @@ from pyspark.sql import types as T
 from footfall.sources.signals import missing_as_null
 
 
-def event_time_ns(stamp: Column, log: Column) -> Column:
-    """Header stamp when set, else the time of recording."""
-    return F.coalesce(F.when(stamp > 0, stamp), log)
+def event_time_ns(stamp: Column, log: Column, by_log: bool = False) -> Column:
+    """Header stamp when set, else the time of recording; ``by_log`` always takes the latter."""
+    return log if by_log else F.coalesce(F.when(stamp > 0, stamp), log)
+
+
+def stamp_fallbacks(df: DataFrame, keys: Sequence[str] = ("mission",)) -> DataFrame:
+    """Messages per recording, and how many of them lack a header stamp."""
+    unset = ~F.coalesce(F.col("stamp_ns") > 0, F.lit(False))
+    return df.groupBy(*keys).agg(F.count("*").alias("messages"), F.count_if(unset).alias("fallbacks"))
 
 
 def parse_payload(df: DataFrame, schema: T.StructType | str, payload: str = "payload", out: str = "msg") -> DataFrame:

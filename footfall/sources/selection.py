@@ -16,6 +16,7 @@ TOPIC_TOKENS = {
     "imu": ("imu",),
     "anymal_state": ("anymal_state", "state_estimator"),
 }
+TWIN_ENDINGS = {".bag": ".mcap", ".mcap": ".bag"}  # fixed values: both formats of a recording
 HZ_PATTERN = r"synced_(\d+)Hz"  # fixed value
 
 
@@ -39,12 +40,20 @@ def select_synced(files: DataFrame, keys: Sequence[str], hz: int | None = None,
 
 
 def glob_regex(pattern: str) -> str:
-    """Shell wildcards (* and ?) as an anchored regular expression."""
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+    """Shell wildcards (*, ? and [..]) as an anchored regular expression."""
+
+    def part(token: str) -> str:
+        if len(token) > 1:
+            negated = token.startswith("[!")
+            inside = re.sub(r"([\\\[\]^&])", r"\\\1", token[1 + negated:-1])
+            return f"[{'^' if negated else ''}{inside}]"
+        return {"*": ".*", "?": "."}.get(token) or re.escape(token)
+
+    return "^" + "".join(part(t) for t in re.findall(r"\[!?\]?[^\]]*\]|.", pattern, re.DOTALL)) + "$"
 
 
 def _matches(topic: Column, pattern: str) -> Column:
-    if "*" in pattern or "?" in pattern:
+    if any(c in pattern for c in "*?["):
         return topic.rlike(glob_regex(pattern))
     return topic.endswith(pattern)
 
@@ -71,13 +80,16 @@ def choose_topics(topics: DataFrame, candidates: Mapping[str, Sequence[str]],
 
 
 def expand_patterns(patterns: Sequence[str]) -> list[str]:
-    """A ``.bag`` pattern also covers ``.mcap`` files and numbered splits; duplicates go, order stays."""
+    """Each pattern, its twin in the other format, then both for numbered splits (``name*``); duplicates go, order stays."""
     out = []
     for p in patterns:
-        out.append(p)
-        if p.endswith(".bag"):
-            stem = p[: -len(".bag")]
-            out += [f"{stem}.mcap", f"{stem}_*.bag", f"{stem}_*.mcap"]
+        endings = next(([end, twin] for end, twin in TWIN_ENDINGS.items() if p.endswith(end)), None)
+        if endings is None:
+            out += [p, *[p.replace(end, twin) for end, twin in TWIN_ENDINGS.items() if end in p]]
+            continue
+        stem = p.removesuffix(endings[0])
+        stems = [stem] if stem.endswith("*") else [stem, f"{stem}*"]
+        out += [f"{s}{end}" for s in stems for end in endings]
     return list(dict.fromkeys(out))
 
 

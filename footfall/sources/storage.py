@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FILE_SECONDS = 86_400  # recorded time that goes to one file of a recording
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def _by_file(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of one file brought together, so that a partition gets files by its length and not one of every task."""
+    span = [F.floor(F.col("t") / FILE_SECONDS)] if "t" in df.columns else []
+    return df.repartition(*partition_by, *span)
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by: Sequence[str] = ("mission",)) -> None:
     """Write a signal table; without ``overwrite`` an existing one is kept, and an empty one is not written at all."""
     if df.isEmpty():
         return
-    df.write.mode("overwrite" if overwrite else "ignore").partitionBy(*partition_by).parquet(path)
+    _by_file(df, partition_by).write.mode("overwrite" if overwrite else "ignore").partitionBy(*partition_by).parquet(path)
 
 
 def write_metrics(df: DataFrame, base: str, hz: int, separate: bool = True) -> str:
     """Metrics next to the synced table or in its place, as a partition of one table (hz, kind, mission)."""
     kind = "metrics" if separate else "synced"
     tagged = df.withColumns({"hz": F.lit(hz), "kind": F.lit(kind)})
-    (tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_by_file(tagged, ["mission"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("hz", "kind", "mission").parquet(base))
     return kind
 
@@ -30,13 +41,15 @@ def write_patches(df: DataFrame, attributes: Mapping[str, str], path: str, overw
     if not overwrite:
         try:
             present = spark.read.parquet(path).select("mission").distinct()
-        except Exception:  # no table yet
+        except AnalysisException as error:
+            if error.getCondition() not in NO_TABLE:
+                raise
             present = None
         if present is not None and not df.select("mission").distinct().join(present, "mission", "left_semi").isEmpty():
             raise FileExistsError("patches of some of these recordings exist; pass overwrite=True to replace them")
     for table, frame in ((path, df), (f"{path}_runs", df.select("mission").distinct().withColumns({
             "columns": F.lit(",".join(df.columns)), **{k: F.lit(str(v)) for k, v in attributes.items()}}))):
-        (frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission").parquet(table))
+        (_by_file(frame, ["mission"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission").parquet(table))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

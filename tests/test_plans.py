@@ -1,10 +1,15 @@
 """The stages together, on a small walk, and extraction from a stream."""
 
+import re
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from footfall.plans import mission as plan
 from footfall.sources import messages as ms
+from footfall.sources.catalog import requested_missions
+from footfall.sources.selection import expand_patterns, glob_regex
 from footfall.streaming.messages import extract_stream
 
 CFG = {"robot": {"mass_kg": 30.0}, "params": {"min_cmd_speed_for_power_norm": 0.2}, "filters": {}}
@@ -38,6 +43,42 @@ def test_whole_chain(spark, tmp_path):
     np.testing.assert_allclose(got.metric_power_mean, 20.0)
 
 
+def test_chain_with_raster_text_and_attitude(spark, tmp_path):
+    signals = _signals(spark)
+    signals["odom"] = signals["odom"].withColumn("gait", F.lit("trot"))
+    t = np.arange(0.0, 40.0, 0.05)
+    signals["base_orientation"] = spark.createDataFrame(pd.DataFrame(
+        {"mission": "a", "stamp_ns": (t * 1e9).astype(int), "t": t, "qw": 1.0, "qx": 0.0, "qy": 0.0, "qz": 0.0}))
+    gps = pd.DataFrame({"mission": "a", "stamp_ns": (t * 1e9).astype(int), "t": t, "lat": 46.95108, "lon": 7.43864 + t * 1.3e-5, "alt": 550.0})
+    signals["gps"] = spark.createDataFrame(gps)
+    side = 300
+    cells = spark.range(side * side).select(
+        F.lit("r").alias("raster_id"), (F.col("id") / side).cast("int").alias("row"), (F.col("id") % side).cast("int").alias("col")).withColumn(
+        "z", 0.1 * F.col("col"))
+    georef = spark.createDataFrame([("r", 1.0, 2_599_900.0, -1.0, 1_200_150.0, side, side)], "raster_id string, a double, c double, e double, f double, h int, w int")
+    rasters = spark.createDataFrame([("a", "r")], "mission string, raster_id string")
+    plan.run(spark, signals, str(tmp_path), CFG, ["power"], plan.SyncSettings(chunk_s=10.0), cells=cells, georef=georef, rasters=rasters)
+    table = spark.read.parquet(f"{tmp_path}/slopes").toPandas()
+    walked = table[(table.mission == "a") & table.lat.notna()]
+    assert len(walked) >= 390 and set(walked.gait.dropna()) == {"trot"}
+    np.testing.assert_allclose(walked.dem_grad_e.astype(float), 0.1, atol=1e-9)
+    assert table[table.mission == "b"].dem_grad_e.isna().all()
+    assert {r["mission"]: r["rows"] for r in spark.read.parquet(f"{tmp_path}/manifest").collect()} == {"a": 400, "b": 150}
+
+
+def test_no_list_means_all_missions(spark):
+    missions = spark.createDataFrame([("1", "f1", "n1"), ("2", "f2", "n2")], "id string, folder string, name string")
+    aliases = spark.createDataFrame([("x", "1", 0)], "alias string, id string, pos int")
+    lines = spark.createDataFrame([(0, "# none"), (1, " ")], "pos int, line string")
+    assert {r["id"] for r in requested_missions(lines, aliases, missions).collect()} == {"1", "2"}
+
+
+def test_patterns_cover_twins_and_splits():
+    assert expand_patterns(["x.bag", "y*.mcap", "z.txt"]) == [
+        "x.bag", "x.mcap", "x*.bag", "x*.mcap", "y*.mcap", "y*.bag", "z.txt"]
+    assert re.match(glob_regex("a[!0-4]?.b"), "a5x.b") and not re.match(glob_regex("a[!0-4]?.b"), "a4x.b")
+
+
 def test_stream_extraction_equals_batch(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr(
         "user_id AS mission", "event_id AS stamp_ns", "0L AS log_ns",

@@ -155,14 +155,18 @@ def members_in_square(rows: DataFrame, centers: DataFrame, keys: Sequence[str],
 
 
 def members_in_distance(rows: DataFrame, centers: DataFrame, keys: Sequence[str], size: float,
-                        distance: str = "dist_run") -> DataFrame:
-    """Without coordinates: rows within half a patch of the centre along the path (``centers`` has center_dist)."""
+                        distance: str = "dist_run", order: str = "t") -> DataFrame:
+    """Without coordinates: rows within half a patch of the centre along the path (``centers`` has center_dist).
+
+    A robot at rest keeps its distance, so the rows of a bucket are salted by time."""
     side = F.lit(float(size))
-    placed = rows.where(F.col(distance).isNotNull()).withColumn("_b", F.floor(F.col(distance) / side))
+    placed = rows.where(F.col(distance).isNotNull()).withColumns({
+        "_b": F.floor(F.col(distance) / side), "_salt": F.pmod(F.xxhash64(order), F.lit(ROW_SALT)).cast("int")})
     spread = centers.select(*keys, "patch_id", "center_dist").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("center_dist") / side) - 1, F.floor(F.col("center_dist") / side) + 1)))
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ROW_SALT - 1))))
     inside = F.abs(F.col(distance) - F.col("center_dist")) <= side / 2
-    return placed.join(spread, [*keys, "_b"]).where(inside).select(*rows.columns, "patch_id")
+    return placed.join(spread, [*keys, "_b", "_salt"]).where(inside).select(*rows.columns, "patch_id")
 
 
 # ---- terrain --------------------------------------------------------------------------------------------------------

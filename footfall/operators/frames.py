@@ -122,9 +122,9 @@ def compose_orientation(transforms: DataFrame, worlds: Sequence[str], base: str,
     return out
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> bool:
-    limit = ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * np.abs(b)
-    return bool((np.abs(a - b) <= limit).all() or (np.abs(a + b) <= limit).all())
+def _differs(rows: np.ndarray, last: np.ndarray) -> np.ndarray:
+    limit = ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * np.abs(last)
+    return (np.abs(rows - last) > limit).any(axis=1) & (np.abs(rows + last) > limit).any(axis=1)
 
 
 def thin_changes(orientations: DataFrame, axis: Axis, order: str = "_when") -> DataFrame:
@@ -157,16 +157,29 @@ def thin_changes(orientations: DataFrame, axis: Axis, order: str = "_when") -> D
     return single.unionByName(kept)
 
 
-def _thin_runs(keys: Sequence[str]):
+def _thin_runs(keys: Sequence[str], first_look: int = 64):
+    """Thin sorted runs: from the last kept row on, look for the next one that differs, in stretches that double."""
+
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, last = None, None
         for batch in batches:
-            ids = list(zip(*[batch[c] for c in (*keys, "_run")]))
             values = batch[list(Q)].to_numpy(dtype=float)
+            ids = batch[[*keys, "_run"]]
+            edges = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
             keep = np.zeros(len(batch), dtype=bool)
-            for k, (rid, q) in enumerate(zip(ids, values)):
-                if rid != run or not _same(q, last):
-                    run, last, keep[k] = rid, q, True
+            for start, stop in zip(edges, [*edges[1:], len(batch)]):
+                rid, at, look = tuple(ids.iloc[start]), start, first_look
+                if rid != run:
+                    run, last, keep[start] = rid, values[start], True
+                    at = start + 1
+                while at < stop:
+                    hits = np.flatnonzero(_differs(values[at:min(at + look, stop)], last))
+                    if len(hits):
+                        at += int(hits[0])
+                        last, keep[at], look = values[at], True, first_look
+                        at += 1
+                    else:
+                        at, look = at + look, look * 2
             yield batch[keep]
 
     return thin

@@ -20,6 +20,7 @@ from footfall.operators.raster import CELL, world_to_cell
 from footfall.session import materialize
 
 ROW_SALT = 8
+CENTRES_PER_CHUNK = 20_000  # at least one stride lies between two centres
 DISTANCE_SHARE = 0.9  # fixed value: a patch must be walked for this share of its size
 TIME_SLACK_S = 1e-3  # fixed value: tolerance of the time-containment rule
 TRIM = (0.05, 0.95)  # fixed values: percentiles of the robust summaries
@@ -72,7 +73,7 @@ def _next_targets(d: np.ndarray, stride: float) -> np.ndarray:
 
 
 def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dist_run",
-                  strides_per_block: int = 20_000) -> DataFrame:
+                  strides_per_block: int = CENTRES_PER_CHUNK) -> DataFrame:
     """First row at or beyond each target distance; the next target is the chosen row's own distance plus the stride.
 
     The rule is sequential. It is split into blocks of distance: inside a block every possible entry row is followed to
@@ -374,19 +375,22 @@ def _greedy(patches: DataFrame, blocked: DataFrame, outer: DataFrame, on: Sequen
     return patches.join(kept, ids, "left_semi")
 
 
-def drop_contained(patches: DataFrame, size: float) -> DataFrame:
-    """Drop patches inside an earlier kept one in space (half a patch either way) and time."""
-    half = F.lit(size / 2.0)
+def drop_contained(patches: DataFrame, size: float, bucket_s: float = 600.0) -> DataFrame:
+    """Drop patches inside an earlier kept one in space (half a patch either way) and time.
+
+    Buckets have a time part too: a place visited again and again is not one bucket."""
+    half, width = F.lit(size / 2.0), F.lit(float(bucket_s))
     known = patches.where("center_e IS NOT NULL AND center_n IS NOT NULL AND t_start IS NOT NULL AND t_end IS NOT NULL")
     base = known.select("mission", "patch_index", "center_e", "center_n", "t_start", "t_end",
-                        F.floor(F.col("center_e") / half).alias("be"), F.floor(F.col("center_n") / half).alias("bn"))
-    outer = base
+                        F.floor(F.col("center_e") / half).alias("be"), F.floor(F.col("center_n") / half).alias("bn"),
+                        F.floor(F.col("t_start") / width).alias("bt"))
+    outer = base.withColumn("bt", F.explode(F.sequence("bt", F.floor(F.col("t_end") / width))))
     for b in ("be", "bn"):
         outer = outer.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
     contains = ((F.abs(F.col("l.i_center_e") - F.col("r.o_center_e")) <= half)
                 & (F.abs(F.col("l.i_center_n") - F.col("r.o_center_n")) <= half)
                 & (F.col("l.i_t_start") >= F.col("r.o_t_start")) & (F.col("l.i_t_end") <= F.col("r.o_t_end")))
-    return _greedy(patches, base, outer, ["mission", "be", "bn"], contains)
+    return _greedy(patches, base, outer, ["mission", "be", "bn", "bt"], contains)
 
 
 def drop_time_subsets(patches: DataFrame, bucket_s: float = 600.0) -> DataFrame:
@@ -432,7 +436,7 @@ def build_patches(rows: DataFrame, centers: DataFrame, axis: Axis, cfg: Mapping,
     judged = materialize(everything.withColumn("reason", reason))
     accepted = judged.where(F.col("reason").isNull()).drop("reason", "inside")
     # segments follow one another; inside one the centres are in path order
-    line = Axis(("mission",), "_line", 1e6, ("patch_id",))
+    line = Axis(("mission",), "_line", stride * CENTRES_PER_CHUNK, ("patch_id",))
     far = F.lit(1e12)
     numbered = o.positions(accepted.withColumn("_line", F.col("segment_id") * far + F.col("center_dist")), line, "patch_index")
     bearing = tuple(F.col(f"bearing_q{c}") for c in "wxyz")
@@ -442,7 +446,7 @@ def build_patches(rows: DataFrame, centers: DataFrame, axis: Axis, cfg: Mapping,
         "cot_min_cmd_speed": F.lit(float(p.get("min_cmd_speed_for_power_norm", 0.0)))})
     shaped = materialize(shaped.drop("_line", "center_dist", "quad_xx", "quad_yy", "quad_xy", "quad_x", "quad_y", "quad_0"))
     unique = materialize(drop_exact_duplicates(shaped))
-    apart = materialize(drop_contained(unique, size))
+    apart = materialize(drop_contained(unique, size, time_bucket_s))
     final = materialize(drop_time_subsets(apart, time_bucket_s))
     stages = [("dupes", shaped, unique), ("contained", unique, apart), ("time_subset", apart, final)]
     skipped = judged.where(F.col("reason").isNotNull()).groupBy("mission", "reason").agg(F.count("*").alias("patches"))

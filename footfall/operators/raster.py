@@ -21,10 +21,15 @@ CELL = ["raster_id", "row", "col"]
 
 
 def project(df: DataFrame, lat: str = "lat", lon: str = "lon", names: Sequence[str] = ("easting_m", "northing_m"),
-            transform: Callable[[Column, Column], tuple[Column, Column]] = geodesy.lv95) -> DataFrame:
-    """Add map coordinates; ``transform`` is any column function (lat, lon) -> (east, north)."""
-    east, north = transform(F.col(lat), F.col(lon))
-    return df.withColumns({names[0]: east, names[1]: north})
+            steps: Sequence[Callable[..., tuple[Column, ...]]] = geodesy.LV95) -> DataFrame:
+    """Add map coordinates; ``steps`` are column functions from (lat, lon) to (east, north), each fed by the one before."""
+    given, out = [lat, lon], df
+    for k, step in enumerate(steps):
+        last = k == len(steps) - 1
+        values = step(*[F.col(c) for c in given])
+        given = list(names) if last else [f"_step{k}_{i}" for i in range(len(values))]
+        out = out.withColumns(dict(zip(given, values)))
+    return out.select(*dict.fromkeys([*df.columns, *names]))
 
 
 def local_coordinates(df: DataFrame, axis: Axis, lat: str = "lat", lon: str = "lon") -> DataFrame:

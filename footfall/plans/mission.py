@@ -97,7 +97,7 @@ def patches(table: DataFrame, cfg: Mapping[str, Any], size: float = 5.0, stride:
     else:
         rows = rows.withColumns({"px": F.col("x"), "py": F.col("y")})
     walked = pa.travelled(rows, axis, ["px", "py"])
-    line = Axis(("mission", "segment_id"), "center_dist", 1e6)
+    line = Axis(("mission", "segment_id"), "center_dist", stride * pa.CENTRES_PER_CHUNK)
     centers = o.positions(pa.patch_centers(walked, axis, stride).withColumns(
         {"center_e": F.col("px"), "center_n": F.col("py")}), line, "patch_id")
     if rasters is not None:

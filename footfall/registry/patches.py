@@ -73,7 +73,7 @@ def _centers(walked):
     """Centres with an id in path order; the few centres of a path are numbered by their distance rank."""
     found = materialize(pa.patch_centers(walked, SEGMENT_AXIS, STRIDE, strides_per_block=4))
     named = found.withColumns({"center_e": F.col("x"), "center_n": F.col("y")})
-    line = Axis(("mission", "segment_id"), "center_dist", 1e6)
+    line = Axis(("mission", "segment_id"), "center_dist", STRIDE * pa.CENTRES_PER_CHUNK)
     return materialize(o.positions(named, line, "patch_id").withColumn("patch_id", F.col("patch_id") + 1))
 
 

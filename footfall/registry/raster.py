@@ -24,16 +24,27 @@ def points(spark, sf):
     return ra.world_to_cell(lines, fx.georef(spark, sf))
 
 
-EAST = ("2600072.37 + 211455.93*m - 10938.51*m*p - 0.36*m*p*p - 44.54*m*m*m",
-        "1200147.07 + 308807.95*p + 3745.25*m*m + 76.63*p*p - 194.56*m*m*p + 119.79*p*p*p")
-EN_SQL = f"""SELECT *, {EAST[0]} e, {EAST[1]} n FROM (SELECT *, (lat*3600 - 169028.66::DOUBLE)/10000 p,
-    (lon*3600 - 26782.5::DOUBLE)/10000 m FROM fx_geo)"""
+# the projection by its textbook logarithms and half-angle tangents; constants of the grid are worked out by the database
+EN_SQL = """SELECT *, 2600000 + rad * atan(sin(l) / (sin(b0) * tan(b) + cos(b0) * cos(l))) e,
+    1200000 + rad / 2 * ln((1 + cos(b0)*sin(b) - sin(b0)*cos(b)*cos(l)) / (1 - cos(b0)*sin(b) + sin(b0)*cos(b)*cos(l))) n
+    FROM (SELECT *, 2 * (atan(exp(al * ln(tan(pi()/4 + phi/2)) - al * ec/2 * ln((1 + ec*sin(phi)) / (1 - ec*sin(phi))) + k)) - pi()/4) b,
+        al * (lam - l0) l
+    FROM (SELECT *, ln(tan(pi()/4 + b0/2)) - al * ln(tan(pi()/4 + p0/2)) + al * ec/2 * ln((1 + ec*sin(p0)) / (1 - ec*sin(p0))) k,
+        atan2(z + e2 / (1 - e2) * bb * pow(sin(th), 3), hyp - e2 * ba * pow(cos(th), 3)) phi, atan2(y, x) lam
+    FROM (SELECT *, asin(sin(p0) / al) b0, atan2(z * ba, hyp * bb) th
+    FROM (SELECT *, sqrt(x*x + y*y) hyp, sqrt(e2) ec, ba * sqrt(1 - e2) / (1 - e2 * pow(sin(p0), 2)) rad,
+        sqrt(1 + e2 / (1 - e2) * pow(cos(p0), 4)) al
+    FROM (SELECT *, v * cos(radians(lat)) * cos(radians(lon)) - 674.374 x, v * cos(radians(lat)) * sin(radians(lon)) - 15.056 y,
+        v * pow(1 - f, 2) * sin(radians(lat)) - 405.346 z, ba * (1 - bf) bb, bf * (2 - bf) e2,
+        radians(46 + 57/60 + 8.66::DOUBLE/3600) p0, radians(7 + 26/60 + 22.5::DOUBLE/3600) l0
+    FROM (SELECT *, 6378137.0::DOUBLE / sqrt(1 - f * (2 - f) * pow(sin(radians(lat)), 2)) v
+    FROM (SELECT mission, i, lat, lon, 1 / 298.257223563::DOUBLE f, 6377397.155::DOUBLE ba, 1 / 299.1528128::DOUBLE bf FROM fx_geo)))))))"""
 
 
 @query("G1_map_projection", sql(
-    f"SELECT mission, i, round(e, 3) + 0.0 easting_m, round(n, 3) + 0.0 northing_m FROM ({EN_SQL})", "fx_geo"))
+    f"SELECT mission, i, round(e, 2) + 0.0 easting_m, round(n, 2) + 0.0 northing_m FROM ({EN_SQL})", "fx_geo"))
 def _(spark, sf):
-    return rounded(ra.project(fx.geo(spark, sf)), ["mission", "i"], ["easting_m", "northing_m"], 3)
+    return rounded(ra.project(fx.geo(spark, sf)), ["mission", "i"], ["easting_m", "northing_m"], 2)
 
 
 ENU_SQL = """SELECT *, (radians(lon) - radians(lon0)) * cos(radians(lat0)) * 6378137.0 enu_x,

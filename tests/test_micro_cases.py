@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from footfall.functions import geodesy
 from footfall.functions.angles import unwrap_jump
-from footfall.operators import alignment as al, filters as fl, metrics as me, orientation as ori
+from footfall.operators import alignment as al, filters as fl, metrics as me, orientation as ori, raster as ra
 from footfall.operators.ordered import Axis
 from footfall.operators.quantiles import quantiles
 
@@ -89,3 +90,34 @@ def test_unwrap(spark):
 def test_percentiles(spark):
     row = quantiles(series(spark, [1, 2, 3, 10]), ["g"], "x", [0.05, 0.95], ["lo", "hi"]).first()
     assert (row.lo, row.hi) == pytest.approx((1.15, 8.95))
+
+
+def test_projection_meets_published_points(spark):
+    # the worked example of the published formulas, given to 0.01 seconds of arc (0.3 m); null stays null
+    points = spark.createDataFrame([(46 + 2 / 60 + 38.87 / 3600, 8 + 43 / 60 + 49.79 / 3600), (None, 8.0)], "lat double, lon double")
+    found = ra.project(points).orderBy("lat").collect()
+    assert found[0]["easting_m"] is None
+    assert found[1]["easting_m"] == pytest.approx(2700000, abs=0.3) and found[1]["northing_m"] == pytest.approx(1100000, abs=0.3)
+    # the origin of the grid on its own ellipsoid
+    origin = spark.createDataFrame([(math.radians(geodesy.ORIGIN_LAT), math.radians(geodesy.ORIGIN_LON))], "lat double, lon double")
+    at = ra.project(origin, steps=geodesy.SWISS_GRID).first()
+    assert at["easting_m"] == pytest.approx(2600000, abs=1e-6) and at["northing_m"] == pytest.approx(1200000, abs=1e-6)
+
+
+def test_thinning_looks_past_long_rests():
+    import numpy as np
+    import pandas as pd
+
+    from footfall.operators import frames
+
+    rng = np.random.default_rng(1)
+    steps = rng.choice([0.0, 4e-6, 1e-3], 3000, p=[0.95, 0.045, 0.005]).cumsum()
+    q = pd.DataFrame({"g": 1, "_run": np.repeat([1, 2, 3], 1000), "qw": np.cos(steps), "qx": np.sin(steps), "qy": 0.0, "qz": 0.0})
+    q.loc[rng.random(3000) < 0.3, ["qw", "qx"]] *= -1
+    want, run, last = [], None, None
+    for k, (rid, v) in enumerate(zip(q["_run"], q[list(frames.Q)].to_numpy())):
+        if rid != run or frames._differs(v[None], last)[0]:
+            run, last = rid, v
+            want.append(k)
+    got = pd.concat(frames._thin_runs(["g"])(iter([q[:700], q[700:1000], q[1000:]])))
+    assert got.index.tolist() == want

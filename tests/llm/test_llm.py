@@ -409,6 +409,23 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_mixing_moves_the_shares_to_its_targets(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = documents(spark, sf)
+    rows = mixing.labelled_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model = mixing.train(rows.filter(F.col("domain").isin(list(corpus_pipeline.TARGETS))), "domain")
+    mixed = corpus_pipeline.mix_domains(spark, docs, sf)
+
+    def shares(df):
+        parts = [F.sum(F.col("tokens") * F.element_at("p", i + 1)) / F.sum("tokens") for i in range(len(model))]
+        return dict(zip(sorted(model), mixing.memberships(df.select("doc_id", "text"), model).agg(*parts).first(), strict=True))
+
+    before, after = shares(docs), shares(mixed)
+    rarer = min(before, key=before.get)
+    assert all(abs(after[d] - w) < 5e-3 for d, w in corpus_pipeline.TARGETS.items())
+    assert after[rarer] > 1.5 * before[rarer] and mixed.count() > 1.05 * docs.count()
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_pipeline_odd(spark, tmp_path, empty):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")

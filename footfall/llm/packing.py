@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -24,9 +23,12 @@ TOGETHER = 500
 #: Sequence ids: 32 bits count within a partition or merge, the bits above name it, the topmost marks merges.
 SHIFT, MERGE_BIT = 32, 1 << 62
 
-PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-PIECE_SCHEMA = pa.schema([(c, pa.int64()) for c in PIECES])
-LEFT_SCHEMA = pa.schema([*PIECE_SCHEMA, ("part", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
+#: Closed pieces handed on at a time; each holds the ids of a window at most.
+HANDED = 2000
+
+PIECES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+PIECE_SCHEMA = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in PIECES])
+LEFT_SCHEMA = pa.schema([*PIECE_SCHEMA, ("part", pa.int64()), ("place", pa.int64())])
 Piece = tuple[int | None, int, bytes, int]
 
 # a space or line break next to other white space, where a cut could change the tokens
@@ -119,7 +121,7 @@ class Packer:
         offset = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next_id, offset))
+            self.rows.append((doc, start, n, total, self.next_id, offset, ids))
             offset += n
         self.next_id += 1
 
@@ -191,8 +193,10 @@ def _pack(tokenizer: str, window: int, limit: int):
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, ids in zip(docs, encoder.encode(texts), strict=True):
                 packer.add(doc, 0, ids + END, len(ids) // 4 + 1)
-            yield _batch([(*r, None, None, None) for r in packer.taken()], LEFT_SCHEMA)
-        left = [(doc, start, len(ids) // 4, None, total, None, None, part, place, ids)
+                if len(packer.rows) >= HANDED:
+                    yield _batch([(*r, None, None) for r in packer.taken()], LEFT_SCHEMA)
+            yield _batch([(*r, None, None) for r in packer.taken()], LEFT_SCHEMA)
+        left = [(doc, start, len(ids) // 4, total, None, None, ids, part, place)
                 for place, (_, pieces) in enumerate(packer.open) for doc, start, ids, total in pieces]
         yield _batch(left, LEFT_SCHEMA)
 
@@ -209,7 +213,7 @@ def _merge(window: int, limit: int):
             packer = Packer(MERGE_BIT | key << SHIFT, window, limit)
             for k, (_, doc, start, ids, total) in enumerate(pieces):
                 packer.add(doc, start, ids, total)
-                if k % 10_000 == 9_999:
+                if k % HANDED == HANDED - 1:
                     yield _batch(packer.taken(), PIECE_SCHEMA)
             packer.finish()
             yield _batch(packer.taken(), PIECE_SCHEMA)
@@ -219,8 +223,9 @@ def _merge(window: int, limit: int):
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: int = OPEN,
          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Documents to pieces of sequences of at most ``window`` tokens (a power of two).
+    """Documents to pieces of sequences of at most ``window`` tokens (a power of two), with their ids and the CRC-32 of these.
 
+    ``ids`` holds 4 bytes a token, little-endian; the ids of a sequence are those of its pieces in the order of ``offset``.
     Every document is its ids and an end id; a null text is the end id alone. Each partition streams its documents through a
     fixed number of open windows, so its memory is bounded; what is open at its end is merged with the leftovers of
     ``MERGED - 1`` other partitions by the same rule, and each merge cuts its last window at powers of two. Pieces keep a null
@@ -228,9 +233,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     """
     bound_batches(docs.sparkSession)
     lines = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    whole = ", ".join(f"{c} long" for c in PIECES)
-    first = stored(lines.mapInArrow(_pack(tokenizer, window, open_windows), f"{whole}, part long, place long, ids binary"), "packed")
-    left = first.filter("ids is not null").withColumn("merge", F.floor(F.col("part") / MERGED))
+    whole = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in PIECES)
+    first = stored(lines.mapInArrow(_pack(tokenizer, window, open_windows), f"{whole}, part long, place long"), "packed")
+    left = first.filter("part is not null").withColumn("merge", F.floor(F.col("part") / MERGED))
     left = left.repartition("merge").sortWithinPartitions("merge", "part", "place", "doc_id", "start")
     merged = left.select("merge", "doc_id", "start", "ids", "doc_tokens").mapInArrow(_merge(window, open_windows), whole)
-    return first.filter("ids is null").select(*PIECES).union(merged)
+    return first.filter("part is null").select(*PIECES).union(merged).withColumn("ids_crc32", F.crc32("ids"))

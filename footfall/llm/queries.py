@@ -32,7 +32,8 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_packing")
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query("op8_exact_dedup", """

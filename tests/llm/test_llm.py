@@ -247,6 +247,23 @@ def test_packing_round_trip(spark, which):
     assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packed_sequences_hold_the_tokens(spark):
+    docs = documents(spark).limit(60)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    sequences, got = defaultdict(list), defaultdict(dict)
+    for r in corpus_pipeline.pack_sequences(spark, docs, SF).collect():
+        ids = np.frombuffer(r.ids, dtype="<u4").tolist()
+        assert len(ids) == r.length
+        sequences[r.sequence_id].append((r.offset, ids))
+        got[r.doc_id][r.start] = ids
+    assert {d: [i for _, ids in sorted(p.items()) for i in ids] for d, p in got.items()} == want
+    tokens = [i for pieces in sequences.values() for _, ids in sorted(pieces) for i in ids]
+    assert Counter(tokens) == Counter(i for ids in want.values() for i in ids)
+    assert "ids" not in queries.QUERIES["op5_packing"](spark, SF).columns
+
+
 def test_packer_places_best_and_emits_the_fullest():
     p = packing.Packer(0, window=8, limit=2)
     ids = lambda n: bytes(4 * n)

@@ -39,7 +39,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated at rates of one or more that bring the domains' expected tokens to the target weights."""
     labelled = mixing.labelled_rows(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
-    rated, _ = mixing.mix(whole, labelled, TARGETS, least=1.0, most=4.0, grow=True)
+    rated, _ = mixing.mix(whole, labelled, TARGETS, least=1.0, grow=True)
     times = mixing.copies(F.col("rate"), F.col("doc_id"))
     return rated.select("doc", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("doc.*")
 

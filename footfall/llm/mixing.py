@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import math
 from functools import reduce
 
@@ -15,10 +16,10 @@ from footfall.llm.common import sampling_hash, stored
 BUCKETS, EVIDENCE = 1 << 13, 60.0
 #: Labelled rows that the classifier is fitted on, about.
 SAMPLE = 20_000
-#: Steps of the descent at most, steps taken before rates are written, and the miss of a target (share of all tokens) that is good enough.
-STEPS, WRITTEN, TOLERANCE = 120, 10, 1e-3
-#: The descent also ends where a step leaves more than this share of the loss: the limits then allow no better.
-GAIN = 0.98
+#: The miss of a target (share of all tokens) that is good enough, and the gradient (share of all tokens) that counts as none.
+TOLERANCE, FLAT = 1e-3, 1e-7
+#: Weight of the change of the rates against the misses, and passes over the table after which a fit is given up, with a warning.
+RIDGE, PASSES = 1e-4, 200
 
 
 def buckets(text: Column) -> Column:
@@ -79,59 +80,90 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [row[n] for row in rows]
 
 
-def rate(p: Column, steps: list[list[float]], least: float, most: float) -> Column:
+def _held(value: Column, least: float, most: float | None) -> Column:
+    held = F.greatest(F.lit(float(least)), value)
+    return held if most is None else F.least(F.lit(float(most)), held)
+
+
+def rate(p: Column, steps: list[list[float]], least: float, most: float | None = None) -> Column:
     """The rate that the steps of a descent lead to from one: it depends on the memberships alone."""
     moves = F.array(*[F.array(*map(F.lit, s)) for s in steps]) if steps else F.expr("cast(array() as array<array<double>>)")
-    return F.aggregate(moves, F.lit(1.0), lambda r, step: F.greatest(F.lit(least), F.least(F.lit(most), r - F.aggregate(
-        F.zip_with(step, p, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x))))
+    return F.aggregate(moves, F.lit(1.0), lambda r, step: _held(r - F.aggregate(
+        F.zip_with(step, p, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x), least, most))
 
 
-def descend(members: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, most: float = 8.0,
+def descend(members: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, most: float | None = None,
             grow: bool = False) -> list[list[float]]:
-    """Steps of a projected-gradient least-squares fit of the rates of ``members`` (tokens, p): its terms are the misses of the
-    domains' expected token totals, weighted by the inverse of their moments, for which a step of length one always descends.
-
-    ``targets`` are shares of all tokens of the result; they are scaled to sum to one over the ``domains`` that the model
-    knows. The result has as many tokens as the input, or, with ``grow``, as many as it takes that no domain shrinks. Rates
-    stay between ``least`` (0 or more) and ``most``; targets that cannot be met within are met as well as they can. Each step
-    is one sum over the table; the driver sees a few numbers for each domain.
+    """The step (none, or one) from rates of one to the projected least-squares fit of the rates of ``members`` (tokens, p): its
+    terms are the misses of the domains' expected token totals, weighted by the inverse of their moments, and, by ``RIDGE``, the
+    change of the rates.
+
+    ``targets`` are shares of all tokens of the result; they are scaled to sum to one over the ``domains`` that have tokens.
+    The result has as many tokens as the input, or, with ``grow``, as many as it takes that no domain shrinks. Rates are at
+    least ``least`` (0 or more) and, if given, at most ``most``. The fit is a convex function of one number for each domain and
+    is found by Newton steps, whose matrix is the moments of the rows that are not clamped. It ends at the tolerance or where
+    the gradient vanishes; targets that cannot be met are then missed as little as they can, with a warning. Each try is one
+    sum over the table; the driver sees a few numbers for each domain.
     """
-    wanted = [max(targets.get(d, 0.0), 0.0) for d in domains]
-    steps: list[list[float]] = []
-    if not domains or not sum(wanted):
-        return steps
-    members = members.select("tokens", "p").withColumn("rate", F.lit(1.0))
     k = range(len(domains))
     p = [F.element_at("p", i + 1) for i in k]
+    if not domains or not sum(max(targets.get(d, 0.0), 0.0) for d in domains):
+        return []
     first = members.agg(*[F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in k],
                         *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k]).first()
-    total = sum(first[f"s{i}"] or 0.0 for i in k)
-    if not total:
-        return steps
+    own = [first[f"s{i}"] or 0.0 for i in k]
+    total = sum(own)
+    wanted = [max(targets.get(d, 0.0), 0.0) if own[i] > 0 else 0.0 for i, d in enumerate(domains)]
+    if not total or not sum(wanted):
+        return []
     wanted = [w / sum(wanted) for w in wanted]
-    size = max([total, *(first[f"s{i}"] / w for i, w in enumerate(wanted) if w)]) if grow else total
-    moments = [[first[f"m{i}_{j}"] for j in k] for i in k]
-    have, written, before = [first[f"s{i}"] for i in k], 0, math.inf
-    while len(steps) < STEPS:
-        miss = [have[i] - wanted[i] * size for i in k]
-        if max(map(abs, miss)) <= TOLERANCE * size:
-            break
-        step = _solved(moments, miss)
-        loss = sum(a * b for a, b in zip(step, miss, strict=True))
-        if loss > GAIN * before:
-            break
-        before = loss
-        steps.append(step)
-        moved = F.col("rate")
-        for taken in steps[written:]:
-            slope = reduce(lambda a, b: a + b, [p[i] * F.lit(taken[i]) for i in k])
-            moved = F.greatest(F.lit(least), F.least(F.lit(most), moved - slope))
-        if len(steps) - written == WRITTEN:
-            members, written = stored(members.withColumn("rate", moved), "rates"), len(steps)
-            moved = F.col("rate")
-        now = members.agg(*[F.sum(F.col("tokens") * p[i] * moved).alias(f"s{i}") for i in k]).first()
-        have = [now[f"s{i}"] for i in k]
-    return steps
+    size = max([total, *(own[i] / w for i, w in enumerate(wanted) if w)]) if grow else total
+    goal = [w * size for w in wanted]
+    ridge = [[RIDGE * first[f"m{i}_{j}"] for j in k] for i in k]
+
+    def tried(at: list[float]) -> tuple[float, list[float], list[float], list[list[float]]]:
+        """Value, gradient, misses and curvature of the fit where the rates are one less the product of ``at`` and p, clamped."""
+        free = F.lit(1.0) - reduce(lambda a, b: a + b, [p[i] * F.lit(at[i]) for i in k])
+        rows = members.select("tokens", "p", free.alias("free")).withColumn("rate", _held(F.col("free"), least, most))
+        inside = F.col("tokens") * ((F.col("free") >= least) if most is None else F.col("free").between(least, most)).cast("double")
+        got = rows.agg(F.sum(F.col("tokens") * F.col("rate") * (F.col("free") - F.col("rate") / 2)).alias("v"),
+                       *[F.sum(F.col("tokens") * p[i] * F.col("rate")).alias(f"s{i}") for i in k],
+                       *[F.sum(inside * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k]).first()
+        pull = [sum(ridge[i][j] * at[j] for j in k) for i in k]
+        miss = [got[f"s{i}"] - goal[i] for i in k]
+        value = got["v"] + sum(at[i] * (goal[i] + pull[i] / 2) for i in k)
+        return value, [pull[i] - miss[i] for i in k], miss, [[got[f"m{i}_{j}"] + ridge[i][j] for j in k] for i in k]
+
+    def fits(miss: list[float]) -> bool:
+        return max(map(abs, miss)) <= TOLERANCE * size
+
+    at, moved, passes = [0.0] * len(domains), False, 1
+    value, slope, miss, curve = tried(at)
+    while not fits(miss) and max(map(abs, slope)) > FLAT * size and passes < PASSES:
+        step = _solved(curve, slope)
+        gain = sum(a * b for a, b in zip(step, slope, strict=True))
+        length = 1.0
+        while passes < PASSES:
+            to = [a - length * s for a, s in zip(at, step, strict=True)]
+            passes += 1
+            found = tried(to)
+            if found[0] <= value - 1e-4 * length * gain or fits(found[2]):
+                at, moved, (value, slope, miss, curve) = to, True, found
+                break
+            if length < 1e-9:
+                passes = PASSES
+            length /= 2
+    if not fits(miss):
+        reached = {d: round((goal[i] + miss[i]) / size, 4) for i, d in enumerate(domains)}
+        logging.getLogger(__name__).warning("targets %s are not met, tokens reached are %s", targets, reached)
+    return [at] if moved else []
+
+
+def reached(rated: DataFrame, domains: list[str]) -> dict[str, float]:
+    """Shares of the expected tokens of each domain under the rates of ``mix``; none where there are no tokens."""
+    sums = rated.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1) * F.col("rate")) for i in range(len(domains))]).first() if domains else []
+    total = sum(v or 0.0 for v in sums)
+    return {d: (v or 0.0) / total for d, v in zip(domains, sums, strict=True)} if total else {}
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -151,7 +183,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE)
     return stored(rows.select("text", domain(F.col("_quality"), F.col("_toxic")).alias("domain")), "labelled")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = 8.0,
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float | None = None,
         grow: bool = False) -> tuple[DataFrame, list[str]]:
     """``docs`` without the text, with tokens, p and rate, and the domains in the order of ``p``.
 

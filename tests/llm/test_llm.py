@@ -316,6 +316,29 @@ def test_rates_bring_token_totals_to_targets(spark):
     assert r.min() >= 1 and mixing.descend(members.limit(0), ["a", "b", "c"], targets) == []
 
 
+@pytest.mark.parametrize("which", ["soft", "rare", "impossible"])
+def test_the_fit_ends_only_at_its_targets_or_best(spark, which):
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(1, 900, 2000)
+    if which == "soft":
+        targets, least, most = {"a": 0.90, "b": 0.08, "c": 0.02}, 0.0, None
+        p = rng.dirichlet([6, 0.9, 0.95], 2000)
+    else:
+        targets, least, most = {"a": 0.9, "b": 0.1}, 0.0, None if which == "rare" else 4.0
+        p = np.eye(2)[(rng.random(2000) < 0.01).astype(int)]
+    members = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    steps = mixing.descend(members, sorted(targets), targets, **({"most": most} if most else {}))
+    rates = members.withColumn("rate", mixing.rate(F.col("p"), steps, least, most))
+    r = np.array([x.rate for x in rates.collect()])
+    totals = (tokens * r) @ p / tokens.sum()
+    if which == "impossible":
+        natural = tokens @ p / tokens.sum()
+        assert np.allclose(totals, [0.9, 4 * natural[1]], atol=2e-3) and r.max() == 4
+    else:
+        assert np.allclose(totals, list(targets.values()), atol=1.1e-3) and r.min() >= 0
+        assert np.allclose(list(mixing.reached(rates, sorted(targets)).values()), totals / totals.sum())
+
+
 def test_mixing_odd(spark):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for marks in (labels, labels.limit(0)):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import dedup, knn, language, mixing, packing, preference, secret_scan, sharding, simhash, toxicity
+from footfall.llm import dedup, knn, language, mixing, packing, preference, secret_scan, sharding, simhash, toxicity, warc, whitening
 from footfall.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -138,3 +138,26 @@ def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated, names = mixing.mix(docs.select("doc_id", "text"), mixing.labelled_rows(docs, labels), MIX)
     p = {d: F.element_at("p", i + 1) for i, d in enumerate(names)}
     return rated.select("doc_id", "tokens", *[F.round(p.get(d, F.lit(0.0)), 6).alias(f"p_{d}") for d in MIX], F.round("rate", 6).alias("rate"))
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[{g}] >> {b}) & 31) + 1, 1)" for g in range(1, 9) for b in (15, 10, 5, 0))
+
+
+@query("op11_warc_chunks", f"""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+           [('0x' || substr(sha1(coalesce(html, '')), 5 * g + 1, 5))::BIGINT FOR g IN range(0, 8)] AS v
+    FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+""")
+def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+@query("op13_spectrum_whitening")
+def spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.whiten(vectors, model, error=whitening.identity_error(vectors, model) if model else None)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import dedup, knn, language, mixing, packing, preference, secret_scan, sharding, simhash, toxicity, warc, whitening
+from footfall.llm import dedup, knn, language, mixing, packing, preference, secret_scan, sharding, simhash, toxicity, trie, warc, whitening
 from footfall.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -156,6 +156,40 @@ def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+@query("op12_conversation_trie", r"""
+WITH w AS (
+    SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS k FROM w),
+c AS (  -- CRC-32, a bit at a time
+    SELECT conv_id, conv_id - conv_id % 20 AS start,
+           xor(list_reduce([4294967295::BIGINT] || flatten([[ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(conv_id::VARCHAR, '')]),
+                           lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+    SELECT c.conv_id, 0 AS part, k, code, words FROM c JOIN t ON t.conv_id = c.start AND t.k <= c.h
+    UNION ALL SELECT c.conv_id, 1, k, code, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+p AS (
+    SELECT conv_id, row_number() OVER g AS depth, string_agg(code, '/') OVER g AS path, words FROM r WINDOW g AS (PARTITION BY conv_id ORDER BY part, k)
+    UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+q AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+    SELECT path, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+           sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM q GROUP BY path),
+k AS (SELECT parent AS path, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+s AS (
+    SELECT q.path, sum((n.n_convs - 1) * n.words) AS saved_tokens, count_if(k.n_children IS NULL) AS n_leaves
+    FROM n JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth LEFT JOIN k ON k.path = n.path GROUP BY q.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN n up ON up.path = n.parent
+""")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_nodes(trie.regrown(trie.encoded(table(spark, sf_dir, "conversations"))))
+
+
 @query("op13_spectrum_whitening")
 def spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")

@@ -45,7 +45,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "labels"):
+    for t in ("documents", "embeddings", "conversations", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

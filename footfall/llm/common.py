@@ -21,14 +21,14 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read on from it.
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read on from it; ``compression`` other than the session's for large ones.
 
     Later stages neither recompute it nor lose it with an executor, and the optimizer sees its real size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -103,7 +103,7 @@ def chunk_rows(pages: DataFrame, id_column: str = "page_id", url_column: str = "
                 yield (r["row"], r["id"], r["url"], r["chunk"], r["last"], r["bytes"], total, base32(sha1.digest()), sha256.hexdigest())
         return _batched(rows(), CHUNKS)
 
-    return stored(cut.mapInArrow(digested, CHUNKS), "chunks")
+    return stored(cut.mapInArrow(digested, CHUNKS), "chunks", "zstd")
 
 
 def _order() -> Column:

@@ -15,11 +15,12 @@ def wrap_pi(a: Column) -> Column:
     return F.pmod(a + F.lit(math.pi), F.lit(TAU)) - F.lit(math.pi)
 
 
-def unwrap_jump(step: Column) -> Column:
-    """Correction to add from this row on so that consecutive angles differ by at most pi."""
-    folded = wrap_pi(step)
-    folded = F.when((folded == F.lit(-math.pi)) & (step > 0), F.lit(math.pi)).otherwise(folded)
-    return F.when(F.abs(step) < F.lit(math.pi), F.lit(0.0)).otherwise(folded - step)
+def unwrap_jump_sql(step: str) -> str:
+    """Correction to add from this row on so that consecutive angles differ by at most pi; SQL text over the text of a step."""
+    pi, tau = f"{math.pi!r}D", f"{TAU!r}D"
+    folded = f"(pmod({step} + {pi}, {tau}) - {pi})"
+    folded = f"CASE WHEN {folded} = -{pi} AND {step} > 0 THEN {pi} ELSE {folded} END"
+    return f"CASE WHEN abs({step}) < {pi} THEN 0.0D ELSE {folded} - {step} END"
 
 
 def circular_rmse(a: Column, b: Column) -> Column:

@@ -143,13 +143,15 @@ def interpolate(df: DataFrame, axis: Axis, columns: Sequence[str], limit: int |
     if isinstance(limit, int) and limit < 1:
         raise ValueError("interpolation limit must be at least one sample")
     n = F.lit(limit) if isinstance(limit, int) else limit
-    source = df if pos else o.positions(df, axis)
-    p = pos or "_pos"
-    specs = {}
+    specs, p = {}, pos or "_pos"
     for c in columns:
-        box = F.when(F.col(c).isNotNull(), F.struct(F.col(p).alias("p"), F.col(c).cast("double").alias("v")))
-        specs[f"_b_{c}"], specs[f"_a_{c}"] = o.last_valid(box), o.next_valid(box)
-    near = o.running(source, axis, **specs)
+        if pos:
+            box = F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).cast("double").alias("v")))
+            specs[f"_b_{c}"], specs[f"_a_{c}"] = o.last_valid(box), o.next_valid(box)
+        else:
+            value = F.col(c).cast("double")
+            specs[f"_b_{c}"], specs[f"_a_{c}"] = o.last_valid_at(value), o.next_valid_at(value)
+    near = o.running(df, axis, **specs, **({} if pos else {p: o.row_index()}))
     filled = {}
     for c in columns:
         b, a, here = F.col(f"_b_{c}"), F.col(f"_a_{c}"), F.col(p)
@@ -190,10 +192,9 @@ def add_distance(df: DataFrame, axis: Axis) -> DataFrame:
     """Step length (first 0) and its running sum; a step across a missing position is null and adds nothing."""
     if not {"x", "y"} <= set(df.columns):
         raise KeyError("distance needs the columns x and y")
-    stepped = o.running(df, axis, _px=o.lag("x"), _py=o.lag("y"), _k=o.row_index())
-    step = F.when(F.col("_k") == 0, F.lit(0.0)).otherwise(F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py")))
-    stepped = stepped.withColumn("dist_m_per_step", step).drop("_px", "_py", "_k")
-    return o.running(stepped, axis, dist_m=o.running_sum(F.coalesce("dist_m_per_step", F.lit(0.0))))
+    between = lambda here, prev: f"hypot({here('x')} - {prev('x')}, {here('y')} - {prev('y')})"
+    place = {"x": "x", "y": "y"}
+    return o.running(df, axis, dist_m_per_step=o.pairwise(between, "0.0D", place), dist_m=o.pairwise(between, "0.0D", place, total=True))
 
 
 def smooth_seconds(df: DataFrame, axis: Axis, columns: Sequence[str], window_s: float, step_s: float,

@@ -111,9 +111,8 @@ def box_statistics(samples: DataFrame, value: str, label: str = "label") -> Data
 
 def label_runs(df: DataFrame, axis: Axis, label: str) -> DataFrame:
     """Runs of equal labels as (start row, end row exclusive, label); a null breaks a run."""
-    numbered = o.running(df, axis, _k=o.row_index(), _prev=o.lag(label))
-    changed = F.when(F.col("_prev").eqNullSafe(F.col(label)) & (F.col("_k") > 0), 0).otherwise(1)
-    islands = o.running(numbered.withColumn("_new", changed), axis, _island=o.running_sum("_new"))
+    changed = lambda here, prev: f"CAST(NOT ({here('label')} <=> {prev('label')}) AS BIGINT)"
+    islands = o.running(df, axis, _k=o.row_index(), _island=o.pairwise(changed, "1L", {"label": label}, total=True))
     return islands.where(F.col(label).isNotNull()).groupBy(*axis.keys, "_island").agg(
         F.min("_k").alias("start_row"), (F.max("_k") + 1).alias("end_row"), F.first(label).alias(label)).drop("_island")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import quaternions as qf
-from footfall.functions.angles import unwrap_jump, wrap_pi
+from footfall.functions.angles import unwrap_jump_sql, wrap_pi
 from footfall.operators import filters, ordered as o
 from footfall.operators.ordered import Axis
 
@@ -55,25 +55,26 @@ def average_quaternion(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return mean.withColumn("_m", F.coalesce(*options)).select(*keys, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
-def unwrap(df: DataFrame, axis: Axis, column: str, out: str | None = None, origin: float | None = None) -> DataFrame:
-    """Remove jumps of more than half a turn between consecutive rows; optionally move the first value to ``origin``."""
-    jumped = o.running(df, axis, _prev=o.lag(column))
-    jump = F.coalesce(unwrap_jump(F.col(column) - F.col("_prev")), F.lit(0.0))
-    specs = {"_turns": o.running_sum("_jump")}
+def unwrap(df: DataFrame, axis: Axis, column: str, out: str | None = None, origin: float | None = None, position: str | None = None) -> DataFrame:
+    """Remove jumps of more than half a turn between consecutive rows; optionally move the first value to ``origin``, and
+    number the rows of each group in a column ``position``."""
+    specs = {"_turns": o.pairwise(lambda here, prev: unwrap_jump_sql(f"({here('a')} - {prev('a')})"), "0.0D", {"a": F.col(column).cast("double")}, total=True)}
     if origin is not None:
         specs["_first"] = o.group_first(column)
-    summed = o.running(jumped.withColumn("_jump", jump).drop("_prev"), axis, **specs)
+    if position:
+        specs[position] = o.row_index()
+    summed = o.running(df, axis, **specs)
     value = F.col(column) + F.col("_turns")
     if origin is not None:
         value = value + (F.lit(float(origin)) - F.col("_first"))
-    return summed.withColumn(out or column, value).drop("_jump", "_turns", "_first")
+    return summed.withColumn(out or column, value).drop("_turns", "_first")
 
 
 def smooth_angle(df: DataFrame, axis: Axis, column: str, out: str | None = None,
                  median_rows: int = 1, mean_rows: int = 1) -> DataFrame:
     """Unwrap, rolling median, rolling mean, wrap again."""
     target = out or column
-    flat = unwrap(df, axis, column, target)
+    flat = unwrap(df, axis, column, target, position="_row")
     flat = filters.apply_chain(flat, axis, target, [
-        {"type": "moving_median", "window": median_rows}, {"type": "moving_average", "window": mean_rows}])
-    return flat.withColumn(target, wrap_pi(F.col(target)))
+        {"type": "moving_median", "window": median_rows}, {"type": "moving_average", "window": mean_rows}], pos="_row")
+    return flat.withColumn(target, wrap_pi(F.col(target))).drop("_row")

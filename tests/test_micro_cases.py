@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions import geodesy
-from footfall.functions.angles import unwrap_jump
+from footfall.functions.angles import unwrap_jump_sql
 from footfall.operators import alignment as al, filters as fl, metrics as me, orientation as ori, raster as ra
 from footfall.operators.ordered import Axis
 from footfall.operators.quantiles import quantiles
@@ -84,7 +84,7 @@ def test_dilation_is_a_superset(spark):
 
 def test_unwrap(spark):
     assert column(ori.unwrap(series(spark, [3, -3, 3]), AXIS, "x")) == pytest.approx([3, 2 * math.pi - 3, 3])
-    assert spark.range(1).select(unwrap_jump(F.lit(0.5))).first()[0] == 0.0
+    assert spark.range(1).selectExpr(unwrap_jump_sql("0.5D")).first()[0] == 0.0
 
 
 def test_percentiles(spark):

@@ -5,6 +5,7 @@ A transform table has one row per update: ``mission, is_static, t, parent, child
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,8 +19,9 @@ from footfall.operators.alignment import asof_join
 from footfall.operators.ordered import Axis
 from footfall.session import materialize
 
-# fixed values: worlds tried after the configured ones
+# fixed values: worlds tried after the configured ones, and the one that is also looked for through the IMU
 DEFAULT_WORLDS = ("map", "odom", "enu_origin")
+RETRIED_WORLD = "enu_origin"
 Q = ("qw", "qx", "qy", "qz")
 # fixed values: two orientations closer than this are the same one
 ABSOLUTE_TOLERANCE = 1e-6
@@ -32,94 +34,127 @@ def world_candidates(world: str | None, fallbacks: Sequence[str] = ()) -> list[s
     return list(dict.fromkeys(f for f in frames if f))
 
 
-def frame_paths(transforms: DataFrame, worlds: Sequence[str], base: str) -> DataFrame:
-    """Hops of the shortest undirected path from each candidate world to ``base``, per recording.
+class ShortestPaths:
+    """Shortest undirected paths from some frames to all others, kept up to date while edges are added.
 
-    Columns: mission, rank (candidate order), hop (1-based), parent, child (as stored), reversed. The edge list holds
-    one row per distinct edge, so the recursive walk is small however long the recordings are.
+    Among equally short paths the alphabetically first one counts. An edge only touches frames that it brings nearer, or to which
+    it leads by an earlier name, so an edge that changes nothing costs two comparisons a world.
     """
-    spark = transforms.sparkSession
-    graphs = transforms.groupBy("mission").agg(F.array_sort(F.collect_set(F.struct("parent", "child"))).alias("graph"))
-    # recordings of one robot share their frame graph: walk each distinct graph once
-    edges = graphs.select("graph").distinct().select("graph", F.inline("graph"))
-    both = edges.select("graph", F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(False).alias("reversed"))
-    back = edges.select("graph", F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(True).alias("reversed"))
-    # a stored direction wins over its reverse when both exist
-    hops = both.unionByName(back).groupBy("graph", "a", "b").agg(F.min("reversed").alias("reversed"))
-    starts = graphs.select("graph").distinct().select(
-        "graph", F.posexplode(F.array(*[F.lit(w) for w in worlds])).alias("rank", "world"))
-    walked = spark.sql(
-        """WITH RECURSIVE walk (graph, rank, frame, path) AS (
-             SELECT graph, rank, world, array(world) FROM {starts}
-             UNION ALL
-             SELECT w.graph, w.rank, h.b, concat(w.path, array(h.b))
-             FROM walk w JOIN {hops} h ON h.graph = w.graph AND h.a = w.frame
-             WHERE w.frame <> {base} AND NOT array_contains(w.path, h.b)
-           )
-           SELECT graph, rank, min(struct(size(path) AS n, path)).path AS path
-           FROM walk WHERE frame = {base} GROUP BY graph, rank""",
-        starts=starts, hops=hops, base=base,
-    )
-    pairs = walked.select(
-        "graph", "rank",
-        F.posexplode(F.arrays_zip(
-            F.slice("path", F.lit(1), F.size("path") - 1).alias("a"),
-            F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("hop", "pair"),
-    ).select("graph", "rank", (F.col("hop") + 1).alias("hop"), "pair.a", "pair.b")
-    return pairs.join(hops, ["graph", "a", "b"]).join(graphs, "graph").select(
-        "mission", "rank", "hop", F.when(F.col("reversed"), F.col("b")).otherwise(F.col("a")).alias("parent"),
-        F.when(F.col("reversed"), F.col("a")).otherwise(F.col("b")).alias("child"), "reversed")
+
+    def __init__(self, worlds: Sequence[str]):
+        self.neighbours: dict[str, set[str]] = {}
+        self.best: list[dict[str, tuple[int, tuple[str, ...]]]] = [{} for _ in worlds]
+        self.worlds = list(worlds)
+
+    def add(self, a: str, b: str) -> None:
+        fresh = [f for f in (a, b) if f not in self.neighbours]
+        self.neighbours.setdefault(a, set()).add(b)
+        self.neighbours.setdefault(b, set()).add(a)
+        for world, best in zip(self.worlds, self.best, strict=True):
+            if world in fresh:
+                best[world] = (1, (world,))
+            waiting = deque(f for f in (a, b) if f in best)
+            while waiting:
+                frame = waiting.popleft()
+                length, path = best[frame]
+                for other in sorted(self.neighbours[frame]):
+                    candidate = (length + 1, (*path, other))
+                    if other not in best or candidate < best[other]:
+                        best[other] = candidate
+                        waiting.append(other)
+
+    def first(self, frame: str) -> tuple[int, tuple[str, ...]] | None:
+        """(rank, path) of the first world that reaches a frame."""
+        for rank, best in enumerate(self.best):
+            if frame in best:
+                return rank, best[frame][1]
+        return None
+
+
+HOPS = "array<struct<slot: int, reversed: boolean>>"
+
+
+def _walk_histories(worlds: Sequence[str], base: str):
+    """For each order in which edges first appear: the path that holds from every edge on, its hops as numbers of used edges."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for history in batch["history"]:
+                edges = [(e["parent"], e["child"]) for e in history]
+                paths, seen, slots, epochs = ShortestPaths(worlds), set(), {}, []
+                for edge in edges:
+                    paths.add(*edge)
+                    seen.add(edge)
+                    found, hops = paths.first(base), None
+                    if found is not None:
+                        hops = []
+                        for a, b in zip(found[1][:-1], found[1][1:], strict=True):
+                            stored = (a, b) if (a, b) in seen else (b, a)  # a stored direction wins over its reverse
+                            hops.append((slots.setdefault(stored, len(slots)), stored != (a, b)))
+                    epochs.append((edge, found, hops))
+                for (parent, child), found, hops in epochs:
+                    out.append((history, parent, child, slots.get((parent, child)), None if found is None else found[0],
+                                None if hops is None else [{"slot": k, "reversed": r} for k, r in hops]))
+            yield pd.DataFrame(out, columns=["history", "parent", "child", "slot", "rank", "hops"]).astype({"slot": "Int32", "rank": "Int32"})
+
+    return walk
+
+
+def path_epochs(transforms: DataFrame, worlds: Sequence[str], base: str, axis: Axis) -> DataFrame:
+    """Per recording and edge: ``first_at`` (its first update by ``axis``), and what holds from then until the next new edge.
+
+    ``rank`` and ``hops`` are the first candidate world that the edges seen so far connect with ``base``, and the hops of the
+    shortest path; both are null while there is none. A hop names the ``slot`` of its edge, and whether it is walked backwards.
+    The graph of a recording has as many edges as its robot has joints between frames, however long it is. Recordings whose
+    edges appear in the same order share one walk.
+    """
+    keys = list(axis.keys)
+    firsts = materialize(transforms.groupBy(*keys, "parent", "child").agg(F.min(axis.position()).alias("first_at")))
+    order = F.array_sort(F.collect_list(F.struct("first_at", "parent", "child")))
+    histories = firsts.groupBy(*keys).agg(F.transform(order, lambda e: F.struct(e["parent"].alias("parent"), e["child"].alias("child"))).alias("history"))
+    walked = histories.select("history").distinct().mapInPandas(
+        _walk_histories(worlds, base), "history array<struct<parent: string, child: string>>, parent string, child string, slot int, rank int, hops " + HOPS)
+    return firsts.join(histories.join(walked, "history").drop("history"), [*keys, "parent", "child"])
 
 
 def compose_orientation(transforms: DataFrame, worlds: Sequence[str], base: str, axis: Axis) -> DataFrame:
-    """World-to-base orientation at every transform update from which a path is complete.
+    """World-to-base orientation at every transform update from which a path exists.
 
-    ``axis`` orders the updates of one recording. Static transforms come before all others. The path of a recording is
-    fixed (its whole edge list), the first candidate world whose hops have all been seen is used.
+    ``axis`` orders the updates of one recording. Static transforms come before all others. At each update the path is the
+    shortest one over the edges seen so far, from the first candidate world that has one; every hop takes its latest update.
     """
     keys = list(axis.keys)
-    paths = materialize(frame_paths(transforms, worlds, base))
-    longest = paths.agg(F.max("hop")).first()[0]
-    if longest is None:
-        return transforms.limit(0).select(*keys, axis.order, *axis.ties, "is_static", F.lit(0).alias("world_rank"), *Q)
     # statics are placed one chunk before the first update, keeping their own order among themselves
     starts = transforms.groupBy(*keys).agg(F.min(axis.order).alias("_start"), F.max(axis.order).alias("_end"))
     placed = transforms.join(starts, keys).withColumn(
         "_when", F.when(F.col("is_static"), F.col(axis.order) - (F.col("_end") - F.col("_start")) - axis.width)
-        .otherwise(F.col(axis.order)))
-    ordered_by = Axis(axis.keys, "_when", axis.width, axis.ties)
-    slots = paths.groupBy("mission", "parent", "child").agg(
-        F.collect_list(F.struct("rank", "hop", "reversed")).alias("_slots"))
-    tagged = placed.join(slots, ["mission", "parent", "child"], "left")
-    specs, cells = {}, [(rank, hop) for rank in range(len(worlds)) for hop in range(1, longest + 1)]
-    q = F.struct(*[F.col(c) for c in Q])
-    for rank, hop in cells:
-        slot = F.get(F.filter("_slots", lambda s: (s["rank"] == rank) & (s["hop"] == hop)), F.lit(0))
-        turned = F.when(slot["reversed"], F.struct(*[c.alias(n) for c, n in zip(qf.conjugate(qf.quat()), Q)])).otherwise(q)
-        specs[f"_h_{rank}_{hop}"] = o.last_valid(F.when(slot.isNotNull(), turned))
-    seen = o.running(tagged, ordered_by, **specs)
-    lengths = paths.groupBy("mission").pivot("rank", list(range(len(worlds)))).agg(F.max("hop"))
-    lengths = lengths.select("mission", *[F.col(str(k)).alias(f"_n_{k}") for k in range(len(worlds))])
-    seen = seen.join(lengths, ["mission"])
-    options = []
-    for rank in range(len(worlds)):
-        total = qf.constant((1.0, 0.0, 0.0, 0.0))
-        complete = F.col(f"_n_{rank}").isNotNull()
-        for hop in range(1, longest + 1):
-            beyond = F.lit(hop) > F.col(f"_n_{rank}")
-            here = F.col(f"_h_{rank}_{hop}")
-            identity = (1.0, 0.0, 0.0, 0.0)
-            factor = tuple(F.when(beyond, F.lit(one)).otherwise(here[c]) for c, one in zip(Q, identity))
-            complete = complete & (beyond | here.isNotNull())
-            total = qf.multiply(total, factor)
-        options.append(F.when(complete, F.struct(F.lit(rank).alias("world_rank"), *[
-            c.alias(n) for c, n in zip(total, Q)])))
-    chosen = seen.withColumn("_q", F.coalesce(*options)).where(F.col("_q").isNotNull()).select(
-        *keys, axis.order, *axis.ties, "_when", "is_static", "_q.*")
-    unit = qf.canonical(qf.normalize(qf.quat()))
-    out = chosen.select(*keys, axis.order, *axis.ties, "_when", "is_static", "world_rank",
-                        *[c.alias(n) for c, n in zip(unit, Q)])
-    return out
+        .otherwise(F.col(axis.order))).drop("_start", "_end")
+    line = Axis(axis.keys, "_when", axis.width, axis.ties)
+    epochs = materialize(path_epochs(placed, worlds, base, line))
+    most = epochs.agg(F.max("slot").alias("slots"), F.max(F.size("hops")).alias("hops")).first()
+    q, hops = F.struct(*Q), F.col("hops")
+    tagged = placed.join(epochs.drop("rank", "hops"), [*keys, "parent", "child"])
+    # the row at which an edge appears first carries the path that holds from there
+    starting = epochs.where(hops.isNotNull()).select(*keys, "parent", "child", F.struct("rank", "hops").alias("_epoch"))
+    tagged = tagged.join(starting, [*keys, "parent", "child"], "left")
+    begins = F.when(line.position() == F.col("first_at"), F.col("_epoch"))
+    slots = 0 if most["slots"] is None else most["slots"] + 1
+    seen = o.running(tagged, line, _path=o.last_valid(begins), **{f"_s{k}": o.last_valid(F.when(F.col("slot") == k, q)) for k in range(slots)})
+    latest = F.array(*[F.col(f"_s{k}") for k in range(slots)])
+    total = qf.constant((1.0, 0.0, 0.0, 0.0))
+    for k in range(most["hops"] or 0):
+        hop = F.get(F.col("_path.hops"), F.lit(k))
+        edge = F.get(latest, hop["slot"])
+        forth = tuple(edge[c] for c in Q)
+        turned = tuple(F.when(hop["reversed"], back).otherwise(ahead) for back, ahead in zip(qf.conjugate(forth), forth, strict=True))
+        product = F.struct(*[c.alias(n) for n, c in zip(Q, qf.multiply(total, turned), strict=True)])
+        so_far = F.struct(*[c.alias(n) for n, c in zip(Q, total, strict=True)])
+        seen = seen.withColumn("_total", F.when(hop.isNull(), so_far).otherwise(product))
+        total = tuple(F.col(f"_total.{n}") for n in Q)
+    unit = qf.canonical(qf.normalize(total))
+    return seen.where(F.col("_path").isNotNull()).select(
+        *keys, axis.order, *axis.ties, "_when", "is_static", F.col("_path.rank").alias("world_rank"), *[c.alias(n) for c, n in zip(unit, Q, strict=True)])
 
 
 def _differs(rows: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -136,21 +171,22 @@ def thin_changes(orientations: DataFrame, axis: Axis, order: str = "_when") -> D
     """
     keys = list(axis.keys)
     line = Axis(axis.keys, order, axis.width, axis.ties)
-    prev = {f"_p{n}": o.lag(f"q{n}") for n in "wxyz"}
-    rows = o.running(materialize(orientations), line, _k=o.row_index())
+    rows = o.running(orientations, line, _k=o.row_index())
     rows = rows.where(~F.col("is_static") | (F.col("_k") == 0)).drop("_k")
-    rows = o.running(rows, line, _k=o.row_index(), **prev)
-    far_same = [F.abs(F.col(f"q{n}") - F.col(f"_p{n}")) > 2.5 * (ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE) for n in "wxyz"]
-    far_flip = [F.abs(F.col(f"q{n}") + F.col(f"_p{n}")) > 2.5 * (ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE) for n in "wxyz"]
-    moved = (far_same[0] | far_same[1] | far_same[2] | far_same[3]) & (
-        far_flip[0] | far_flip[1] | far_flip[2] | far_flip[3])
-    rows = rows.withColumn("_sure", ((F.col("_k") == 0) | moved).cast("int")).drop("_k", *prev)
-    rows = materialize(o.running(materialize(rows), line, _run=o.running_sum("_sure")))
+    limit = 2.5 * (ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE)
+
+    def moved(here, prev) -> str:
+        far = [" OR ".join(f"abs({here(c)} {sign} {prev(c)}) > {limit!r}D" for c in Q) for sign in "-+"]
+        return f"CASE WHEN ({far[0]}) AND ({far[1]}) THEN 1 ELSE 0 END"
+
+    quaternion = {c: c for c in Q}
+    rows = o.running(rows, line, _sure=o.pairwise(moved, "1", quaternion), _run=o.pairwise(moved, "1", quaternion, total=True),
+                     **{f"_n{c}": o.lead(c) for c in Q})
+    ends = F.col("_nqw").isNull() | (F.expr(moved(lambda c: f"_n{c}", lambda c: c)) == 1)
     # runs of one row need no second look
-    sizes = rows.groupBy(*keys, "_run").agg(F.count("*").alias("_size"))
-    sized = rows.join(sizes, [*keys, "_run"])
-    single = sized.where(F.col("_size") == 1).drop("_size", "_run", "_sure")
-    longer = sized.where(F.col("_size") > 1).drop("_size")
+    alone = (F.col("_sure") == 1) & ends
+    rows = rows.withColumn("_alone", alone).drop("_sure", *[f"_n{c}" for c in Q])
+    single, longer = rows.where("_alone").drop("_alone", "_run"), rows.where("NOT _alone").drop("_alone")
     columns = single.columns
     streamed = longer.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", order, *axis.ties)
     kept = streamed.mapInPandas(_thin_runs(keys), streamed.schema).select(*columns)
@@ -192,7 +228,8 @@ def orientation_table(transforms: DataFrame, axis: Axis, base: str, world: str,
 
     ``source_rank``: 0 = the wanted world (or its fallbacks) to base; 1 = the wanted world reached through the IMU frame
     and turned by its mounting, the fallback series becoming the map block; 2 = ``odom`` (mission, t, qw..qz) for
-    recordings without any transform path.
+    recordings without any transform path. The IMU frame is tried only where ``RETRIED_WORLD`` was asked for and another world
+    served last, and taken only if the wanted world serves last there.
     """
     keys, t = list(axis.keys), axis.order
     worlds = world_candidates(world, fallbacks)
@@ -202,11 +239,14 @@ def orientation_table(transforms: DataFrame, axis: Axis, base: str, world: str,
     missed = reached.where(F.col("_reached") > 0)
     series = primary.withColumn("source_rank", F.lit(0))
     with_map = reached.limit(0)
-    if imu_frame:
-        around = thin_changes(compose_orientation(transforms, worlds[:1], imu_frame, axis), axis)
+    if imu_frame and worlds[0] == RETRIED_WORLD:
+        around = compose_orientation(transforms.join(missed, keys, "left_semi"), world_candidates(world), imu_frame, axis)
+        around = materialize(around)
+        served = around.groupBy(*keys).agg(F.max_by("world_rank", F.struct("_when", *axis.ties)).alias("_last")).where("_last = 0")
+        around = thin_changes(around.join(served, keys, "left_semi"), axis)
         turned = qf.quat() if imu_to_base is None else qf.apply_offset(qf.quat(), qf.constant(imu_to_base))
         around = around.select(*keys, t, *[c.alias(n) for c, n in zip(turned, Q)], F.lit(1).alias("source_rank"))
-        around = materialize(around.join(missed, keys, "left_semi"))
+        around = materialize(around)
         series = around.unionByName(series.join(around.select(*keys).distinct(), keys, "left_anti"))
         with_map = missed
     if odom is not None:

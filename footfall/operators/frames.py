@@ -110,7 +110,7 @@ def path_epochs(transforms: DataFrame, worlds: Sequence[str], base: str, axis: A
     edges appear in the same order share one walk.
     """
     keys = list(axis.keys)
-    firsts = materialize(transforms.groupBy(*keys, "parent", "child").agg(F.min(axis.position()).alias("first_at")))
+    firsts = transforms.groupBy(*keys, "parent", "child").agg(F.min(axis.position()).alias("first_at"))
     order = F.array_sort(F.collect_list(F.struct("first_at", "parent", "child")))
     histories = firsts.groupBy(*keys).agg(F.transform(order, lambda e: F.struct(e["parent"].alias("parent"), e["child"].alias("child"))).alias("history"))
     walked = histories.select("history").distinct().mapInPandas(
@@ -169,10 +169,14 @@ def thin_changes(orientations: DataFrame, axis: Axis, order: str = "_when") -> D
     A row that moved more than twice the tolerance from its predecessor differs from whatever was kept last, so it is
     kept for certain. Those rows cut a recording into short runs that are thinned independently, each streamed in order.
     """
+    return _thinned(materialize(orientations), axis, order)
+
+
+def _thinned(rows: DataFrame, axis: Axis, order: str = "_when") -> DataFrame:
     keys = list(axis.keys)
     line = Axis(axis.keys, order, axis.width, axis.ties)
-    rows = o.running(orientations, line, _k=o.row_index())
-    rows = rows.where(~F.col("is_static") | (F.col("_k") == 0)).drop("_k")
+    first = rows.groupBy(*keys).agg(F.min(line.position()).alias("_first"))
+    rows = rows.join(first, keys).where(~F.col("is_static") | (line.position() == F.col("_first"))).drop("_first")
     limit = 2.5 * (ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE)
 
     def moved(here, prev) -> str:
@@ -235,7 +239,7 @@ def orientation_table(transforms: DataFrame, axis: Axis, base: str, world: str,
     worlds = world_candidates(world, fallbacks)
     composed = materialize(compose_orientation(transforms, worlds, base, axis))
     reached = composed.groupBy(*keys).agg(F.max_by("world_rank", F.struct("_when", *axis.ties)).alias("_reached"))
-    primary = materialize(thin_changes(composed, axis).select(*keys, t, *Q))
+    primary = materialize(_thinned(composed, axis).select(*keys, t, *Q))
     missed = reached.where(F.col("_reached") > 0)
     series = primary.withColumn("source_rank", F.lit(0))
     with_map = reached.limit(0)
@@ -243,7 +247,7 @@ def orientation_table(transforms: DataFrame, axis: Axis, base: str, world: str,
         around = compose_orientation(transforms.join(missed, keys, "left_semi"), world_candidates(world), imu_frame, axis)
         around = materialize(around)
         served = around.groupBy(*keys).agg(F.max_by("world_rank", F.struct("_when", *axis.ties)).alias("_last")).where("_last = 0")
-        around = thin_changes(around.join(served, keys, "left_semi"), axis)
+        around = _thinned(around.join(served, keys, "left_semi"), axis)
         turned = qf.quat() if imu_to_base is None else qf.apply_offset(qf.quat(), qf.constant(imu_to_base))
         around = around.select(*keys, t, *[c.alias(n) for c, n in zip(turned, Q)], F.lit(1).alias("source_rank"))
         around = materialize(around)

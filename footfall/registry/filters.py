@@ -1,5 +1,7 @@
 """D: signal filters."""
 
+from pyspark.sql import functions as F
+
 from footfall.operators import filters as fl
 from footfall.registry import fixtures as fx
 from footfall.registry.base import query, r, rounded
@@ -53,11 +55,16 @@ EMA_STEPS = """SELECT mission, i, t_h, k, x y, CASE WHEN x IS NULL THEN NULL ELS
     FROM ema e JOIN numbered n ON n.mission = e.mission AND n.k = e.k + 1"""
 
 
-@query("D3_exponential_average", sql(f"SELECT mission, i, {r('x')} FROM ({EMA_SQL})", "fx_grid", recursive=True,
+# values have two decimals and alpha one, so many averages end in an exact half of the last digit; which way such a half is
+# rounded is up to the order of the sums, so both sides move it off by the same small amount
+OFF_HALF = 1e-9
+
+
+@query("D3_exponential_average", sql(f"SELECT mission, i, round(x + {OFF_HALF!r}, 6) + 0.0 AS x FROM ({EMA_SQL})", "fx_grid", recursive=True,
                                      numbered=EMA_ROWS, ema=EMA_STEPS))
 def _(spark, sf):
     smooth = fl.apply_chain(fx.grid(spark, sf), GRID_AXIS, "x", {"type": "ema", "alpha": 0.3})
-    return rounded(smooth, ["mission", "i"], ["x"])
+    return rounded(smooth.withColumn("x", F.col("x") + OFF_HALF), ["mission", "i"], ["x"])
 
 
 @query("D8_named_filter", sql(

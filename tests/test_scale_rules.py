@@ -77,6 +77,35 @@ def test_ema_against_pandas(table):
         np.testing.assert_allclose(got.x, want, equal_nan=True, atol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.9, 0.3, 0.002, 1e-7])
+def test_recurrence_in_blocks(spark, alpha):
+    """Blocks of a few rows, several levels of them, slow and fast decay, gaps in which everything is forgotten."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": np.repeat([1, 2, 3], [3000, 40, 1]), "x": rng.normal(size=3041) + 5})
+    frame["r"] = frame.groupby("g").cumcount()
+    frame["k"] = np.where(frame.r == 0, 0.0, np.where(rng.random(3041) < 0.01, 1e-200, 1 - alpha))
+    want, state = [], 0.0
+    for k, x in zip(frame.k, frame.x, strict=True):
+        state = k * state + x
+        want.append(state)
+    for rows in (7, 500, 10_000):
+        got = fl.recurrence(spark.createDataFrame(frame.rename(columns={"x": "y"})), ["g"], "r", "k", ["y"], rows).orderBy("g", "r").toPandas()
+        np.testing.assert_allclose(got.y, want, rtol=1e-11)
+
+
+def test_ema_of_a_long_recording(spark):
+    """A million rows, nulls and gaps, equal to pandas and without Python on the executors."""
+    rng = np.random.default_rng(12)
+    x = np.where(rng.random(1_000_000) < 0.1, np.nan, rng.normal(size=1_000_000))
+    x[400_000:405_000] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(1e6), "x": x})).selectExpr("1 AS g", "t", "nullif(x, double('nan')) AS x")
+    for alpha in (0.3, 0.0005):
+        out = fl.ema(df, Axis(("g",), "t", 50_000.0), "x", fl.Stage(fl.Kind.EMA, alpha=alpha))
+        assert "Pandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = out.orderBy("t").toPandas()
+        np.testing.assert_allclose(got.x, pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), equal_nan=True, atol=1e-10)
+
+
 def test_quantiles_of_a_hot_group(spark):
     rng = np.random.default_rng(7)
     frame = pd.DataFrame({"g": (rng.random(60_000) < 0.05).astype(int), "v": np.round(rng.exponential(size=60_000), 4)})

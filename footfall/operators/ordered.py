@@ -130,8 +130,14 @@ def running_sum(value) -> Running:
     return _simple(value, "sum({}v) OVER upto", "{}here", "sum({}end) OVER before", "coalesce({}carried + {}here, {}here, {}carried)")
 
 
-def running_max(value) -> Running:
-    return _simple(value, "max({}v) OVER upto", "{}here", "max({}end) OVER before", "greatest({}here, {}carried)")
+def running_max(value, include_current: bool = True) -> Running:
+    frame = "upto" if include_current else "past"
+    return _simple(value, f"max({{}}v) OVER {frame}", "{}all", "max({}end) OVER before", "greatest({}here, {}carried)", {"{}all": "max({}v) OVER upto"})
+
+
+def remaining_min(value) -> Running:
+    """Smallest value from this row on."""
+    return _simple(value, "min({}v) OVER back", "{}all", "min({}end) OVER after", "least({}here, {}carried)", {"{}all": "min({}v) OVER upto"})
 
 
 def row_index() -> Running:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,11 @@ from footfall.operators.quantiles import quantiles
 from footfall.operators.raster import CELL, world_to_cell
 from footfall.session import materialize
 
-ROW_SALT = 8
+ROWS_PER_TASK = 200_000  # rows of one bucket of space that meet its centres in one task
 CENTRES_PER_CHUNK = 20_000  # at least one stride lies between two centres
+STRIDES_PER_CHUNK = 500  # strides of path whose rows are numbered in one chunk
+BLOCK_ROWS, FANOUT = 65_536, 64  # rows of one block of path, and blocks that are composed into one
+CHUNK_S = 3600.0  # seconds of one chunk where patches are scanned by time
 DISTANCE_SHARE = 0.9  # fixed value: a patch must be walked for this share of its size
 TIME_SLACK_S = 1e-3  # fixed value: tolerance of the time-containment rule
 TRIM = (0.05, 0.95)  # fixed values: percentiles of the robust summaries
@@ -72,20 +77,80 @@ def _next_targets(d: np.ndarray, stride: float) -> np.ndarray:
     return np.searchsorted(d, d + stride, side="left")
 
 
-def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dist_run",
-                  strides_per_block: int = CENTRES_PER_CHUNK) -> DataFrame:
+@dataclass(frozen=True)
+class Passage:
+    """What a stretch of path does to the wanted distance: entering with a target at or below ``at[k]`` (and above ``at[k-1]``), one
+    leaves with ``leave[k]``; a target beyond the last entry passes through unchanged."""
+
+    at: np.ndarray
+    leave: np.ndarray
+
+    def __call__(self, targets: np.ndarray) -> np.ndarray:
+        hit = np.searchsorted(self.at, targets, side="left")
+        return np.where(hit < len(self.at), self.leave[np.minimum(hit, len(self.at) - 1)], targets)
+
+    def then(self, after: Passage) -> Passage:
+        beyond = after.at > self.at[-1]
+        return Passage(np.concatenate([self.at, after.at[beyond]]), np.concatenate([after(self.leave), after.leave[beyond]]))
+
+    def within(self, reach: float) -> Passage:
+        """Only the entries that targets below ``reach`` can meet."""
+        n = min(int(np.searchsorted(self.at, reach, side="left")) + 1, len(self.at))
+        return Passage(self.at[:n], self.leave[:n])
+
+
+def _passages(entries: pd.DataFrame, part: str) -> Iterator[tuple[int, Passage]]:
+    ordered = entries.sort_values([part, "_d"])
+    for k, block in ordered.groupby(part, sort=True):
+        yield k, Passage(block["_d"].to_numpy(), block["_exit"].to_numpy())
+
+
+def _targets(entries: DataFrame, keys: list[str], key_schema: str, stride: float, fanout: int) -> DataFrame:
+    """(keys, _blk, _target): the distance wanted on entering each block, from the blocks' passages (keys, _blk, _d, _exit).
+
+    ``fanout`` neighbouring blocks are composed into one passage, and these again, until few are left for a recording; what
+    they are entered with is then handed down level by level. So a task meets ``fanout`` passages, not a recording.
+    """
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        target, found = group["_from"].iloc[0] if "_from" in group else -math.inf, []
+        for k, passage in _passages(group, "_blk"):
+            found.append((k, target))
+            target = float(passage(np.array([target]))[0])
+        out = pd.DataFrame(found, columns=["_blk", "_target"])
+        return out.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "_blk", "_target"]]
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for _, passage in _passages(group, "_blk"):
+            whole = passage if whole is None else whole.then(passage).within(whole.at[0] + stride)
+        return pd.DataFrame({"_blk": group["_sup"].iloc[0], "_d": whole.at, "_exit": whole.leave}).assign(
+            **{k: group[k].iloc[0] for k in keys})[[*keys, "_blk", "_d", "_exit"]]
+
+    result = f"{key_schema}, _blk bigint, _target double"
+    last = entries.agg(F.max("_blk")).first()[0]
+    if last is None or last < fanout:
+        return entries.groupBy(*keys).applyInPandas(chain, result)
+    above = entries.withColumn("_sup", F.floor(F.col("_blk") / fanout))
+    composed = materialize(above.groupBy(*keys, "_sup").applyInPandas(compose, f"{key_schema}, _blk bigint, _d double, _exit double"))
+    begun = _targets(composed, keys, key_schema, stride, fanout).withColumnsRenamed({"_blk": "_sup", "_target": "_from"})
+    return above.join(begun, [*keys, "_sup"]).groupBy(*keys, "_sup").applyInPandas(chain, result)
+
+
+def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dist_run", block_rows: int = BLOCK_ROWS,
+                  fanout: int = FANOUT) -> DataFrame:
     """First row at or beyond each target distance; the next target is the chosen row's own distance plus the stride.
 
-    The rule is sequential. It is split into blocks of distance: inside a block every possible entry row is followed to
-    the target it leaves with (entries lie within one stride of the block's start), a scan over those few entries picks
-    the real one per block, and the blocks are walked again from it. Blocks run in parallel.
+    The rule is sequential. It is split into blocks of rows, however far apart these are: inside a block every possible
+    entry row is followed to the target it leaves with (entries lie within one stride of the block's start). These maps are
+    composed in a tree (``_targets``), and the blocks are walked again from their real entries. Blocks run in parallel.
     """
     if stride <= 0:
         raise ValueError("the stride must be positive")
     keys = list(axis.keys)
-    span = stride * strides_per_block
+    # one row per distance: rows of a robot at rest are the same target
     first_rows = df.groupBy(*keys, distance).agg(F.min(axis.position()).alias("_at"))
-    first_rows = materialize(first_rows.withColumn("_blk", F.floor(F.col(distance) / F.lit(span))))
+    numbered = o.positions(first_rows, Axis(axis.keys, distance, stride * STRIDES_PER_CHUNK), "_row")
+    first_rows = materialize(numbered.withColumn("_blk", F.floor(F.col("_row") / block_rows)).drop("_row"))
     lean = first_rows.select(*keys, "_blk", F.col(distance).alias("_d"))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema.fields if f.name in keys)
 
@@ -99,27 +164,16 @@ def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dis
             if (twice == last).all():
                 break
             last = twice
-        start = block["_blk"].iloc[0] * span
-        reach = min(np.searchsorted(d, start + stride, side="right") + 1, len(d))
+        reach = min(np.searchsorted(d, d[0] + stride, side="left") + 1, len(d))
         return block.iloc[:reach].assign(_exit=d[last[:reach]] + stride)
 
-    entries = lean.groupBy(*keys, "_blk").applyInPandas(exits, f"{key_schema}, _blk bigint, _d double, _exit double")
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        chosen, target = [], -math.inf
-        for _, block in group.sort_values(["_blk", "_d"]).groupby("_blk", sort=True):
-            hit = np.searchsorted(block["_d"].to_numpy(), target, side="left")
-            if hit < len(block):
-                chosen.append(block.iloc[[hit]])
-                target = block["_exit"].iloc[hit]
-        return pd.concat(chosen)[[*keys, "_blk", "_d"]].rename(columns={"_d": "_entry"})
-
-    entered = entries.groupBy(*keys).applyInPandas(resolve, f"{key_schema}, _blk bigint, _entry double")
+    entries = materialize(lean.groupBy(*keys, "_blk").applyInPandas(exits, f"{key_schema}, _blk bigint, _d double, _exit double"))
+    entered = _targets(entries, keys, key_schema, stride, fanout)
 
     def walk(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("_d").reset_index(drop=True)
         d = block["_d"].to_numpy()
-        jump, row, rows = _next_targets(d, stride), int(np.searchsorted(d, block["_entry"].iloc[0])), []
+        jump, row, rows = _next_targets(d, stride), int(np.searchsorted(d, block["_target"].iloc[0])), []
         while row < len(d):
             rows.append(row)
             row = int(jump[row])
@@ -135,39 +189,45 @@ def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dis
 
 # ---- membership -----------------------------------------------------------------------------------------------------
 
+def _bucket_join(placed: DataFrame, spread: DataFrame, on: Sequence[str], order: str, rows_per_task: int) -> DataFrame:
+    """Join rows and centres by bucket. Rows of a bucket with more than ``rows_per_task`` (a robot at rest) are dealt out over as
+    many parts as that takes, by their ``order``; the centres near such a bucket, and only these, are repeated for each part.
+    """
+    sizes = placed.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_task)
+    # at most one in rows_per_task rows is a busy bucket; few of them are broadcast by their measured size
+    busy = materialize(sizes.select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = placed.join(busy, list(on), "left").withColumn("_part", F.pmod(F.xxhash64(order), parts).cast("int")).drop("_parts")
+    repeated = spread.join(busy, list(on), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated, [*on, "_part"])
+
+
 def members_in_square(rows: DataFrame, centers: DataFrame, keys: Sequence[str], size: float, e: str, n: str,
-                      order: str = "t") -> DataFrame:
+                      order: str = "t", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pair every row with the patches of its trajectory whose square covers it.
 
-    ``centers`` has the keys, patch_id, center_e, center_n. Squares are matched by buckets of their own size; the rows of
-    a busy bucket (a robot standing still) are salted over several tasks, the few centres being repeated.
+    ``centers`` has the keys, patch_id, center_e, center_n. Squares are matched by buckets of their own size.
     """
     side = F.lit(float(size))
     placed = rows.where(F.col(e).isNotNull() & F.col(n).isNotNull()).withColumns({
-        "_be": F.floor(F.col(e) / side), "_bn": F.floor(F.col(n) / side),
-        "_salt": F.pmod(F.xxhash64(order), F.lit(ROW_SALT)).cast("int")})
+        "_be": F.floor(F.col(e) / side), "_bn": F.floor(F.col(n) / side)})
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     spread = centers.select(*keys, "patch_id", "center_e", "center_n")
     for bucket, value in (("_be", "center_e"), ("_bn", "center_n")):
         spread = spread.withColumn(bucket, F.explode(F.transform(near, lambda d: F.floor(F.col(value) / side) + d)))
-    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ROW_SALT - 1))))
     inside = (F.abs(F.col(e) - F.col("center_e")) <= side / 2) & (F.abs(F.col(n) - F.col("center_n")) <= side / 2)
-    return placed.join(spread, [*keys, "_be", "_bn", "_salt"]).where(inside).select(*rows.columns, "patch_id")
+    return _bucket_join(placed, spread, [*keys, "_be", "_bn"], order, rows_per_task).where(inside).select(*rows.columns, "patch_id")
 
 
-def members_in_distance(rows: DataFrame, centers: DataFrame, keys: Sequence[str], size: float,
-                        distance: str = "dist_run", order: str = "t") -> DataFrame:
-    """Without coordinates: rows within half a patch of the centre along the path (``centers`` has center_dist).
-
-    A robot at rest keeps its distance, so the rows of a bucket are salted by time."""
+def members_in_distance(rows: DataFrame, centers: DataFrame, keys: Sequence[str], size: float, distance: str = "dist_run",
+                        order: str = "t", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Without coordinates: rows within half a patch of the centre along the path (``centers`` has center_dist)."""
     side = F.lit(float(size))
-    placed = rows.where(F.col(distance).isNotNull()).withColumns({
-        "_b": F.floor(F.col(distance) / side), "_salt": F.pmod(F.xxhash64(order), F.lit(ROW_SALT)).cast("int")})
+    placed = rows.where(F.col(distance).isNotNull()).withColumn("_b", F.floor(F.col(distance) / side))
     spread = centers.select(*keys, "patch_id", "center_dist").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("center_dist") / side) - 1, F.floor(F.col("center_dist") / side) + 1)))
-    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ROW_SALT - 1))))
     inside = F.abs(F.col(distance) - F.col("center_dist")) <= side / 2
-    return placed.join(spread, [*keys, "_b", "_salt"]).where(inside).select(*rows.columns, "patch_id")
+    return _bucket_join(placed, spread, [*keys, "_b"], order, rows_per_task).where(inside).select(*rows.columns, "patch_id")
 
 
 # ---- terrain --------------------------------------------------------------------------------------------------------
@@ -351,57 +411,98 @@ def drop_exact_duplicates(patches: DataFrame) -> DataFrame:
     return kept.unionByName(keyed.where(~complete)).drop(*same)
 
 
-def _greedy(patches: DataFrame, blocked: DataFrame, outer: DataFrame, on: Sequence[str], contains: Column) -> DataFrame:
-    """Keep a patch unless an earlier *kept* one contains it, in rounds: whatever no undecided patch contains is kept, what
-    the newly kept ones contain is dropped. Semi and anti joins test for existence, no pairs are produced."""
-    undecided = materialize(patches.select("mission", "patch_index"))
-    kept = undecided.limit(0)
+def _pieces(spans: DataFrame, slack: float, chunk_s: float) -> DataFrame:
+    """Number runs of patches that no containment in time leaves (``_piece``); ``_alone`` marks runs of one.
+
+    By start time, a run may end where everything before ends earlier than anything after it, and starts earlier too. A robot
+    that walks on has patches whose starts and ends both grow: each is alone. Only patches that it came back to, and what lies
+    between, make longer runs.
+    """
+    line = Axis(("mission",), "t_start", chunk_s, ("patch_index",))
+    seen = o.running(spans, line, _top=o.running_max("t_end", include_current=False), _low=o.remaining_min("t_end"), _before=o.lag("t_start"))
+    cut = F.col("_top").isNull() | ((F.col("_top") + slack < F.col("_low")) & (F.col("_before") + slack < F.col("t_start")))
+    seen = seen.withColumn("_cut", cut.cast("int")).drop("_top", "_low", "_before")
+    seen = o.running(seen, line, _piece=o.running_sum("_cut"), _next=o.lead("_cut"))
+    return seen.withColumn("_alone", (F.col("_cut") == 1) & (F.coalesce("_next", F.lit(1)) == 1)).drop("_cut", "_next")
+
+
+class Frontier:
+    """Spans of time of which none lies in another one, to ask whether a new span lies in any: both ends grow together."""
+
+    def __init__(self, slack: float):
+        self.starts, self.ends, self.slack = [], [], slack
+
+    def holds(self, start: float, end: float) -> bool:
+        k = bisect.bisect_right(self.starts, start + self.slack) - 1  # the latest end among those that start in time
+        return k >= 0 and end <= self.ends[k] + self.slack
+
+    def add(self, start: float, end: float) -> None:
+        k = bisect.bisect_left(self.starts, start)
+        if k and self.ends[k - 1] >= end or k < len(self.starts) and self.starts[k] == start and self.ends[k] >= end:
+            return
+        last = bisect.bisect_right(self.ends, end)
+        del self.starts[k:max(k, last)], self.ends[k:max(k, last)]
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
+class Places:
+    """Kept squares by cell of half a side, to ask whether a new one lies within half a side of a kept one that spans its time."""
+
+    def __init__(self, half: float):
+        self.half, self.cells = half, {}
+
+    def _cell(self, e: float, n: float) -> tuple[int, int]:
+        return math.floor(e / self.half), math.floor(n / self.half)
+
+    def holds(self, start: float, end: float, e: float, n: float) -> bool:
+        ce, cn = self._cell(e, n)
+        near = (self.cells.get((ce + i, cn + j), ()) for i in (-1, 0, 1) for j in (-1, 0, 1))
+        return any(abs(e - oe) <= self.half and abs(n - on) <= self.half and start >= s and end <= t for cell in near for s, t, oe, on in cell)
+
+    def add(self, start: float, end: float, e: float, n: float) -> None:
+        cell = self.cells.setdefault(self._cell(e, n), [])
+        # a square at the very place whose time lies in the new one's asks nothing more
+        cell[:] = [c for c in cell if not (c[2] == e and c[3] == n and start <= c[0] and end >= c[1])]
+        cell.append((start, end, e, n))
+
+
+def _swept(patches: DataFrame, spans: DataFrame, values: Sequence[str], slack: float, chunk_s: float, empty: Callable[[], Frontier | Places]) -> DataFrame:
+    """Keep a patch unless an earlier *kept* one holds it. Runs that containment cannot leave are swept in parallel, in the order
+    of patches and row by row: a task holds the kept spans of a run. Patches without spans stay.
+    """
     ids = ["mission", "patch_index"]
-    inner = blocked.select(*on, *[F.col(c).alias(f"i_{c}") for c in blocked.columns if c not in on])
-    outers = outer.select(*on, *[F.col(c).alias(f"o_{c}") for c in outer.columns if c not in on])
-    inner, outers = materialize(inner), materialize(outers)
-    while not undecided.isEmpty():
-        i_live = inner.join(undecided.withColumnRenamed("patch_index", "i_patch_index"), ["mission", "i_patch_index"], "left_semi")
-        o_live = outers.join(undecided.withColumnRenamed("patch_index", "o_patch_index"), ["mission", "o_patch_index"], "left_semi")
-        match = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("r.o_patch_index") < F.col("l.i_patch_index"), contains]
-        held = i_live.alias("l").join(o_live.alias("r"), match, "left_semi").select(
-            "mission", F.col("i_patch_index").alias("patch_index")).distinct()
-        fresh = materialize(undecided.join(held, ids, "left_anti"))
-        o_new = outers.join(fresh.withColumnRenamed("patch_index", "o_patch_index"), ["mission", "o_patch_index"], "left_semi")
-        gone = i_live.alias("l").join(o_new.alias("r"), match, "left_semi").select(
-            "mission", F.col("i_patch_index").alias("patch_index")).distinct()
-        kept = kept.unionByName(fresh)
-        undecided = materialize(undecided.join(fresh, ids, "left_anti").join(gone, ids, "left_anti"))
-    return patches.join(kept, ids, "left_semi")
-
-
-def drop_contained(patches: DataFrame, size: float, bucket_s: float = 600.0) -> DataFrame:
-    """Drop patches inside an earlier kept one in space (half a patch either way) and time.
-
-    Buckets have a time part too: a place visited again and again is not one bucket."""
-    half, width = F.lit(size / 2.0), F.lit(float(bucket_s))
-    known = patches.where("center_e IS NOT NULL AND center_n IS NOT NULL AND t_start IS NOT NULL AND t_end IS NOT NULL")
-    base = known.select("mission", "patch_index", "center_e", "center_n", "t_start", "t_end",
-                        F.floor(F.col("center_e") / half).alias("be"), F.floor(F.col("center_n") / half).alias("bn"),
-                        F.floor(F.col("t_start") / width).alias("bt"))
-    outer = base.withColumn("bt", F.explode(F.sequence("bt", F.floor(F.col("t_end") / width))))
-    for b in ("be", "bn"):
-        outer = outer.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
-    contains = ((F.abs(F.col("l.i_center_e") - F.col("r.o_center_e")) <= half)
-                & (F.abs(F.col("l.i_center_n") - F.col("r.o_center_n")) <= half)
-                & (F.col("l.i_t_start") >= F.col("r.o_t_start")) & (F.col("l.i_t_end") <= F.col("r.o_t_end")))
-    return _greedy(patches, base, outer, ["mission", "be", "bn", "bt"], contains)
-
-
-def drop_time_subsets(patches: DataFrame, bucket_s: float = 600.0) -> DataFrame:
+    pieces = materialize(_pieces(spans, slack, chunk_s))
+    runs = pieces.where("NOT _alone").repartition("mission", "_piece").sortWithinPartitions("mission", "_piece", "patch_index")
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, kept = None, empty()
+        for batch in batches:
+            gone = []
+            for mission, index, piece, *span in zip(*[batch[c] for c in (*ids, "_piece", *values)], strict=True):
+                if (mission, piece) != run:
+                    run, kept = (mission, piece), empty()
+                if kept.holds(*span):
+                    gone.append((mission, index))
+                else:
+                    kept.add(*span)
+            yield pd.DataFrame(gone, columns=ids).astype(batch[ids].dtypes)
+
+    return patches.join(materialize(runs.mapInPandas(sweep, runs.select(*ids).schema)), ids, "left_anti")
+
+
+def drop_contained(patches: DataFrame, size: float, chunk_s: float = CHUNK_S) -> DataFrame:
+    """Drop patches inside an earlier kept one in space (half a patch either way) and time."""
+    half, values = size / 2.0, ("t_start", "t_end", "center_e", "center_n")
+    spans = patches.dropna(subset=list(values)).select("mission", "patch_index", *[F.col(c).cast("double").alias(c) for c in values])
+    return _swept(patches, spans, values, 0.0, chunk_s, lambda: Places(half))
+
+
+def drop_time_subsets(patches: DataFrame, chunk_s: float = CHUNK_S) -> DataFrame:
     """Drop patches whose time span lies in an earlier kept one's (1 ms tolerance), wherever they are."""
-    slack, width = F.lit(TIME_SLACK_S), F.lit(float(bucket_s))
-    base = patches.where("t_start IS NOT NULL AND t_end IS NOT NULL").select(
-        "mission", "patch_index", "t_start", "t_end", F.floor(F.col("t_start") / width).alias("b"))
-    outer = base.withColumn("b", F.explode(F.sequence(
-        F.floor((F.col("t_start") - slack) / width), F.floor((F.col("t_end") + slack) / width))))
-    contains = (F.col("l.i_t_start") >= F.col("r.o_t_start") - slack) & (F.col("l.i_t_end") <= F.col("r.o_t_end") + slack)
-    return _greedy(patches, base, outer, ["mission", "b"], contains)
+    values = ("t_start", "t_end")
+    spans = patches.dropna(subset=list(values)).select("mission", "patch_index", *[F.col(c).cast("double").alias(c) for c in values])
+    return _swept(patches, spans, values, TIME_SLACK_S, chunk_s, lambda: Frontier(TIME_SLACK_S))
 
 
 def robot_reason(samples: Column, travelled_m: Column, min_samples: int, size: float) -> Column:
@@ -412,7 +513,7 @@ def robot_reason(samples: Column, travelled_m: Column, min_samples: int, size: f
 
 def build_patches(rows: DataFrame, centers: DataFrame, axis: Axis, cfg: Mapping, size: float, stride: float,
                   e: str, n: str, metrics: Sequence[str] = (), cells: DataFrame | None = None, georef: DataFrame | None = None,
-                  min_valid: float = 0.6, min_samples: int = 5, time_bucket_s: float = 600.0) -> tuple[DataFrame, DataFrame]:
+                  min_valid: float = 0.6, min_samples: int = 5, chunk_s: float = CHUNK_S) -> tuple[DataFrame, DataFrame]:
     """(patches, skip counts). ``rows`` and ``centers`` share ``axis.keys`` (mission, segment_id); centres carry patch_id.
 
     With a raster the centres also name their raster_id; without one the terrain columns are null. ``patch_index`` counts accepted patches before the reduction passes.
@@ -446,8 +547,8 @@ def build_patches(rows: DataFrame, centers: DataFrame, axis: Axis, cfg: Mapping,
         "cot_min_cmd_speed": F.lit(float(p.get("min_cmd_speed_for_power_norm", 0.0)))})
     shaped = materialize(shaped.drop("_line", "center_dist", "quad_xx", "quad_yy", "quad_xy", "quad_x", "quad_y", "quad_0"))
     unique = materialize(drop_exact_duplicates(shaped))
-    apart = materialize(drop_contained(unique, size, time_bucket_s))
-    final = materialize(drop_time_subsets(apart, time_bucket_s))
+    apart = materialize(drop_contained(unique, size, chunk_s))
+    final = materialize(drop_time_subsets(apart, chunk_s))
     stages = [("dupes", shaped, unique), ("contained", unique, apart), ("time_subset", apart, final)]
     skipped = judged.where(F.col("reason").isNotNull()).groupBy("mission", "reason").agg(F.count("*").alias("patches"))
     for name, before, after in stages:

@@ -71,7 +71,7 @@ def psql(body, **more):
 
 def _centers(walked):
     """Centres with an id in path order; the few centres of a path are numbered by their distance rank."""
-    found = materialize(pa.patch_centers(walked, SEGMENT_AXIS, STRIDE, strides_per_block=4))
+    found = materialize(pa.patch_centers(walked, SEGMENT_AXIS, STRIDE))
     named = found.withColumns({"center_e": F.col("x"), "center_n": F.col("y")})
     line = Axis(("mission", "segment_id"), "center_dist", STRIDE * pa.CENTRES_PER_CHUNK)
     return materialize(o.positions(named, line, "patch_id").withColumn("patch_id", F.col("patch_id") + 1))
@@ -323,7 +323,7 @@ def _(spark, sf):
     "SELECT mission, patch_index FROM walk WHERE keep", "fx_stream", recursive=True, patches=PATCHES_SQL,
     ordered=ORDERED_SQL.format(source="patches").replace("{{", "{").replace("}}", "}"), walk=greedy_steps("walk", "ordered", TIME_ONLY)))
 def _(spark, sf):
-    return pa.drop_time_subsets(_squares(spark, sf), 86400.0).select("mission", "patch_index")
+    return pa.drop_time_subsets(_squares(spark, sf)).select("mission", "patch_index")
 
 
 # ---- assembly ----
@@ -360,7 +360,7 @@ def _built(spark, sf, raster):
     # one metre cells: the motion spans about 50 m
     georef = fx.georef(spark, sf).withColumns({"a": F.lit(1.0), "e": F.lit(-1.0), "f": F.lit(48.0)})
     return pa.build_patches(walked, centers, SEGMENT_AXIS, CFG, SIZE, STRIDE, "x", "y", ["power"],
-                            cells if raster else None, georef if raster else None, time_bucket_s=86400.0)
+                            cells if raster else None, georef if raster else None)
 
 
 @query("H20_skip_accounting", asql(

@@ -124,20 +124,53 @@ def greedy_centers(d, stride):
         target = d[k] + stride
 
 
-@pytest.mark.parametrize("per_block", [1, 3, 1000])
-def test_patch_centers_do_not_depend_on_blocks(spark, per_block):
+@pytest.mark.parametrize(("block_rows", "fanout"), [(1, 2), (7, 3), (20, 64), (100_000, 64)])
+def test_patch_centers_do_not_depend_on_blocks(spark, block_rows, fanout):
     rng = np.random.default_rng(11)
     frames, want = [], {}
-    for g, jump in ((1, 0.4), (2, 9.0), (3, 0.01)):
+    for g, jump in ((1, 0.4), (2, 9.0), (3, 0.01), (4, 0.0)):
         d = np.round(np.cumsum(rng.random(300) * jump * (rng.random(300) < 0.8)), 4)
         frames.append(pd.DataFrame({"g": g, "t": np.arange(300.0), "dist_run": d}))
         want[g] = greedy_centers(d, 2.5)
     df = spark.createDataFrame(pd.concat(frames))
-    got = pa.patch_centers(df, Axis(("g",), "t", 50.0), 2.5, strides_per_block=per_block).toPandas()
+    got = pa.patch_centers(df, Axis(("g",), "t", 50.0), 2.5, block_rows=block_rows, fanout=fanout).toPandas()
     for g, expected in want.items():
         assert sorted(got[got.g == g].center_dist) == pytest.approx(expected)
 
 
+def test_one_recording_is_many_blocks(spark):
+    """A million distances of one recording: no task gets more rows than a block has."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("1 AS g", "double(id) AS t", "id * 0.01D AS dist_run")
+    numbered = df.withColumn("_blk", F.floor(F.col("t") / pa.BLOCK_ROWS))
+    assert numbered.groupBy("_blk").count().agg(F.max("count")).first()[0] <= pa.BLOCK_ROWS
+    got = pa.patch_centers(df, Axis(("g",), "t", 10_000.0), 2.5).select("center_dist").toPandas().center_dist.sort_values()
+    np.testing.assert_allclose(got, greedy_centers(np.arange(n) * 0.01, 2.5))
+
+
+def test_members_of_a_robot_at_rest(spark):
+    """Nine of ten rows in one bucket: they are dealt out by their number, and the result is the same."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    rest = rng.random(n) < 0.9
+    frame = pd.DataFrame({"m": 1, "t": np.arange(n, dtype=float), "x": np.where(rest, 3.1, rng.random(n) * 200), "y": np.where(rest, 4.2, rng.random(n) * 40)})
+    frame["dist_run"] = np.where(rest, 77.0, frame.x)
+    centers = pd.DataFrame({"m": 1, "patch_id": np.arange(80), "center_e": np.arange(80) * 2.5, "center_n": 5.0, "center_dist": np.arange(80) * 2.5})
+    rows, cs = spark.createDataFrame(frame), spark.createDataFrame(centers)
+    square = {(t, k) for t, x, y in zip(frame.t, frame.x, frame.y) for k in range(80) if abs(x - k * 2.5) <= 5 and abs(y - 5) <= 5}
+    along = {(t, k) for t, d in zip(frame.t, frame.dist_run) for k in range(80) if abs(d - k * 2.5) <= 5}
+    for limit in (100, 10**9):
+        got = pa.members_in_square(rows, cs, ["m"], 10.0, "x", "y", rows_per_task=limit)
+        assert {(r.t, r.patch_id) for r in got.collect()} == square and got.count() == len(square)
+        assert {(r.t, r.patch_id) for r in pa.members_in_distance(rows, cs, ["m"], 10.0, rows_per_task=limit).collect()} == along
+    placed = rows.withColumn("_b", F.floor(F.col("dist_run") / 10.0))
+    spread = cs.select("m", "patch_id", "center_dist").withColumn("_b", F.floor(F.col("center_dist") / 10.0))
+    parts = pa._bucket_join(placed, spread, ["m", "_b"], "t", 100).where("_b = 7").groupBy("_part").agg(F.countDistinct("t").alias("n")).collect()
+    assert len(parts) >= 36 and max(r.n for r in parts) < 200  # about 100 rows each
+    quiet = pa._bucket_join(placed, spread, ["m", "_b"], "t", 100).where("_b = 3").agg(F.max("_part")).first()[0]
+    assert quiet == 0  # centres elsewhere are not repeated
+
+
 def test_thinning_against_a_loop(spark):
     rng = np.random.default_rng(3)
     # long stretches of tiny drift between real moves
@@ -153,15 +186,50 @@ def test_thinning_against_a_loop(spark):
     assert sorted(got.t) == kept
 
 
-def test_kept_patches_do_not_contain_one_another(spark):
-    rng = np.random.default_rng(2)
-    n = 80
-    start = np.round(rng.random(n) * 50, 1)
-    frame = pd.DataFrame({"mission": 1, "patch_index": np.arange(n), "center_e": rng.integers(0, 6, n) * 2.0, "center_n": 0.0,
-                          "t_start": start, "t_end": start + np.round(rng.random(n) * 20, 1)})
+def kept_patches(frame, inside):
     kept = []
-    for p in frame.itertuples():
-        if not any(abs(p.center_e - k.center_e) <= 2.5 and p.t_start >= k.t_start and p.t_end <= k.t_end for k in kept):
+    for p in frame.sort_values("patch_index").itertuples():
+        if not any(inside(p, k) for k in kept):
             kept.append(p)
-    got = pa.drop_contained(spark.createDataFrame(frame), 5.0).toPandas()
-    assert sorted(got.patch_index) == [k.patch_index for k in kept]
+    return [k.patch_index for k in kept]
+
+
+def in_space(p, k):
+    return abs(p.center_e - k.center_e) <= 2.5 and abs(p.center_n - k.center_n) <= 2.5 and p.t_start >= k.t_start and p.t_end <= k.t_end
+
+
+def in_time(p, k):
+    return p.t_start >= k.t_start - 1e-3 and p.t_end <= k.t_end + 1e-3
+
+
+@pytest.mark.parametrize("length", [3.0, 20.0, 200.0])
+def test_kept_patches_do_not_contain_one_another(spark, length):
+    rng = np.random.default_rng(2)
+    n = 150
+    start = np.round(rng.random(n) * 50, 1)
+    frame = pd.DataFrame({"mission": 1, "patch_index": rng.permutation(n), "center_e": rng.integers(0, 6, n) * 2.0, "center_n": rng.integers(0, 3, n) * 2.0,
+                          "t_start": start, "t_end": start + np.round(rng.random(n) * length, 1) + rng.integers(0, 3, n) * 5e-4})
+    df = spark.createDataFrame(frame)
+    for chunk in (4.0, 1e6):
+        assert sorted(r.patch_index for r in pa.drop_contained(df, 5.0, chunk).collect()) == sorted(kept_patches(frame, in_space))
+        assert sorted(r.patch_index for r in pa.drop_time_subsets(df, chunk).collect()) == sorted(kept_patches(frame, in_time))
+
+
+def test_patches_without_spans_stay(spark):
+    rows = [(1, 0, 0.0, 0.0, 0.0, 10.0), (1, 1, None, 0.0, 1.0, 2.0), (1, 2, 0.0, 0.0, None, 2.0), (1, 3, 0.0, 0.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "mission int, patch_index int, center_e double, center_n double, t_start double, t_end double")
+    assert sorted(r.patch_index for r in pa.drop_contained(df, 5.0).collect()) == [0, 1, 2]
+    assert sorted(r.patch_index for r in pa.drop_time_subsets(df).collect()) == [0, 2]
+
+
+def test_a_chain_of_nested_patches_takes_few_jobs(spark):
+    """Each patch lies in the one before it in time and near it in space: kept and dropped ones alternate along the chain."""
+    n = 1000
+    frame = pd.DataFrame({"mission": 1, "patch_index": np.arange(n), "center_e": np.arange(n) * 2.0, "center_n": 0.0,
+                          "t_start": np.arange(n) * 1.0, "t_end": 5000.0 - np.arange(n)})
+    spark.sparkContext.setJobGroup("nested", "nested")
+    got = sorted(r.patch_index for r in pa.drop_contained(spark.createDataFrame(frame), 5.0).collect())
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("nested")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted(kept_patches(frame, in_space)) and len(got) == n // 2
+    assert len(jobs) < 40

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions import vectors as vf
 from footfall.operators import ordered as o
@@ -14,52 +16,103 @@ from footfall.operators.ordered import Axis
 from footfall.operators.quantiles import quantiles
 
 BLOCK_BYTES = 64 * 1024 * 1024
+BATCH = 256  # vectors whose scores against one block of centroids are held at once
 
 
 def assign_clusters(df: DataFrame, centroids: DataFrame, vec: str = "vec", out: str = "cluster") -> DataFrame:
-    """Index of the centroid with the highest cosine; the lowest index wins ties.
+    """Index of the centroid with the highest cosine; the lowest index wins ties. Null vectors, and vectors of another length than
+    the centroids', have none.
 
-    Centroids travel in one-row blocks of at most 64 MB; more of them just means more blocks, each improving the best.
+    One pass: each batch of vectors is multiplied with one block of centroids after the other and carries its best along.
+    A block is broadcast and has at most 64 MB; a task holds one at a time.
     """
-    shape = centroids.agg(F.count("*").alias("k"), F.max("k").alias("top"), F.max(F.size("vec")).alias("c")).first()
-    if not shape.k:
+    spark = df.sparkSession
+    shape = centroids.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if not shape.n:
         raise ValueError("no centroids")
-    per_block = max(1, BLOCK_BYTES // (8 * shape.c))
-    unit = centroids.select("k", vf.l2_normalize(F.col("vec")).alias("vec"))
-    scored = df.withColumn("_best", F.lit(None).cast("struct<score:double,neg:bigint>"))
-    for b in range(math.ceil((shape.top + 1) / per_block)):
-        block = unit.where(F.col("k").between(b * per_block, (b + 1) * per_block - 1)).agg(
-            F.collect_list(F.struct("k", "vec")).alias("_block")).withColumn("_one", F.lit(1))
-        scored = scored.withColumn("_one", F.lit(1)).join(F.broadcast(block), "_one").drop("_one")
-        here = F.array_max(F.transform("_block", lambda c: F.struct(
-            vf.dot(F.col(vec), c["vec"]).alias("score"), (-c["k"]).cast("bigint").alias("neg"))))
-        scored = scored.withColumn("_best", F.greatest("_best", here)).drop("_block")
-    return scored.withColumn(out, -F.col("_best.neg")).drop("_best")
+    if shape.least != shape.most:
+        raise ValueError("centroids differ in length")
+    per_block = max(1, BLOCK_BYTES // (8 * shape.most))
+    blocks, held = [], []
+    for r in centroids.select("k", vf.l2_normalize(F.col("vec")).alias("vec")).orderBy("k").toLocalIterator():
+        held.append((r["k"], r["vec"]))
+        if len(held) == per_block:
+            blocks.append(spark.sparkContext.broadcast((np.array([k for k, _ in held]), np.array([v for _, v in held]))))
+            held = []
+    if held:
+        blocks.append(spark.sparkContext.broadcast((np.array([k for k, _ in held]), np.array([v for _, v in held]))))
+    length = shape.most
+
+    def nearest(vectors: pd.Series) -> pd.Series:
+        fits = np.array([v is not None and len(v) == length for v in vectors], dtype=bool)
+        found = np.full(len(vectors), None, dtype=object)
+        x = np.array([np.asarray(v, dtype=float) for v, fit in zip(vectors, fits, strict=True) if fit]).reshape(-1, length)
+        whole = ~np.isnan(x).any(axis=1)
+        best, label = np.full(len(x), -np.inf), np.full(len(x), -1)
+        for block in blocks:
+            for start in range(0, len(x), BATCH):
+                part = slice(start, start + BATCH)
+                _improve(x[part], *block.value, best[part], label[part])
+        found[np.flatnonzero(fits)[whole]] = label[whole]
+        return pd.Series(found, dtype="Int64")
+
+    return df.withColumn(out, F.pandas_udf(nearest, T.LongType())(F.col(vec)))
+
+
+def _improve(x: np.ndarray, names: np.ndarray, centroids: np.ndarray, best: np.ndarray, label: np.ndarray) -> None:
+    """Update the best score and centroid of each vector by a block of centroids in rising order.
+
+    A matrix product may round equal scores differently: what comes within rounding of the best is added up again in one order.
+    """
+    scores = x @ centroids.T
+    top = scores.max(axis=1)
+    slack = 1e-12 * np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    close = scores >= (top - slack)[:, None]
+    for row in np.flatnonzero(top + slack >= best):
+        for k in np.flatnonzero(close[row]):
+            score = _dot(x[row], centroids[k])
+            if score > best[row]:
+                best[row], label[row] = score, names[k]
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.add.accumulate(a * b)[-1]) if len(a) else 0.0
 
 
 def upsample_grid(features: DataFrame, hf: int, wf: int, h: int, w: int) -> DataFrame:
-    """Bilinear resize of feature grids (half-pixel centres, edges clamped), vectors brought to unit length."""
+    """Bilinear resize of feature grids (half-pixel centres, edges clamped), vectors brought to unit length.
+
+    Each feature hands its vector to the four source squares that it is a corner of; an output cell then joins the one square
+    it lies in and combines its corners element by element. A corner without a feature counts as zero.
+    """
 
     def taps(size: int, source: int, name: str) -> Column:
         entries = []
         for k in range(size):
             at = max((k + 0.5) * source / size - 0.5, 0.0)
             low = min(int(at), source - 1)
-            high = min(low + 1, source - 1)
-            weights = {low: 1.0 - (at - low)}
-            weights[high] = weights.get(high, 0.0) + (at - low)
-            entries += [F.struct(F.lit(k).alias(f"out_{name}"), F.lit(s).alias(name), F.lit(x).alias(f"w_{name}"))
-                        for s, x in weights.items()]
+            beyond = at - low if low + 1 < source else 0.0
+            entries.append(F.struct(F.lit(k).alias(f"out_{name}"), F.lit(low).alias(name), F.lit(beyond).alias(f"w_{name}")))
         return F.array(*entries)
 
-    grids = features.select("grid_id").distinct()
-    spread = grids.select("grid_id", F.inline(taps(h, hf, "i"))).select("*", F.inline(taps(w, wf, "j")))
-    near = spread.join(features, ["grid_id", "i", "j"]).select(
-        "grid_id", "out_i", "out_j", (F.col("w_i") * F.col("w_j")).alias("_w"), F.posexplode("vec").alias("_d", "_x"))
-    summed = near.groupBy("grid_id", "out_i", "out_j", "_d").agg(F.sum(F.col("_w") * F.col("_x")).alias("_x"))
-    packed = summed.groupBy("grid_id", "out_i", "out_j").agg(F.sort_array(F.collect_list(F.struct("_d", "_x"))).alias("_v"))
-    return packed.select("grid_id", F.col("out_i").alias("i"), F.col("out_j").alias("j"),
-                         vf.l2_normalize(F.transform("_v", lambda s: s["_x"])).alias("vec"))
+    sides = F.array(F.lit(0), F.lit(1))
+    corners = features.select("grid_id", "i", "j", "vec", F.explode(sides).alias("_di")).select("*", F.explode(sides).alias("_dj"))
+    corners = corners.select("grid_id", (F.col("i") - F.col("_di")).alias("i"), (F.col("j") - F.col("_dj")).alias("j"), "_di", "_dj", "vec").where("i >= 0 AND j >= 0")
+    squares = corners.groupBy("grid_id", "i", "j").agg(*[
+        F.first(F.when((F.col("_di") == a) & (F.col("_dj") == b), F.col("vec")), ignorenulls=True).alias(f"_v{a}{b}") for a in (0, 1) for b in (0, 1)])
+    spread = squares.select("grid_id").distinct().select("grid_id", F.inline(taps(h, hf, "i"))).select("*", F.inline(taps(w, wf, "j")))
+    near = spread.join(squares, ["grid_id", "i", "j"])
+    nothing = F.array().cast("array<double>")
+
+    def blend(a: Column, b: Column, share: Column) -> Column:
+        return F.zip_with(F.coalesce(a, nothing), F.coalesce(b, nothing), lambda x, y: F.coalesce(x, F.lit(0.0)) * (1 - share) + F.coalesce(y, F.lit(0.0)) * share)
+
+    upper, lower = (blend(F.col(f"_v{a}0"), F.col(f"_v{a}1"), F.col("w_j")) for a in (0, 1))
+    near = near.withColumns({"_upper": upper, "_lower": lower})
+    # a cell none of whose weighted corners has a feature is left out
+    weighed = [F.col(f"_v{a}{b}").isNotNull() & ((F.col("w_i") > 0) if a else F.lit(True)) & ((F.col("w_j") > 0) if b else F.lit(True)) for a in (0, 1) for b in (0, 1)]
+    near = near.where(weighed[0] | weighed[1] | weighed[2] | weighed[3])
+    return near.select("grid_id", F.col("out_i").alias("i"), F.col("out_j").alias("j"), vf.l2_normalize(blend(F.col("_upper"), F.col("_lower"), F.col("w_i"))).alias("vec"))
 
 
 def cluster_count(requested: Column, name: Column, max_label: Column, max_seen: Column) -> Column:

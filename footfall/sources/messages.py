@@ -97,12 +97,11 @@ def flatten_joints(df: DataFrame, keep: Sequence[str] = ("mission",)) -> DataFra
 def pivot_joints(tall: DataFrame, joints: Sequence[str], keys: Sequence[str] = ("mission",)) -> DataFrame:
     """Tall joint rows to one row per time with ``q_<joint>``, ``qd_<joint>``, ``tau_<joint>``: the last known value each.
 
-    The joint list is a parameter (a robot has a fixed set), so no pass is needed to discover it.
+    The joint list is a parameter (a robot has a fixed set), so no pass is needed to discover it. ``seq`` numbers messages; a
+    message names a joint once.
     """
-    # all rows of a time meet in one task, so the second aggregation needs no further shuffle
-    placed = tall.select(*keys, "t", "seq", "joint", "q", "qd", "tau").repartition(*keys, "t")
-    kinds = ("q", "qd", "tau")
-    last = placed.groupBy(*keys, "t", "joint").agg(*[
-        F.max(F.when(F.col(k).isNotNull(), F.struct("seq", F.col(k).alias("v")))).alias(k) for k in kinds])
-    return last.groupBy(*keys, "t").agg(*[
-        F.max(F.when(F.col("joint") == j, F.col(f"{k}.v"))).alias(f"{k}_{j}") for k in kinds for j in joints])
+    def last(kind: str, joint: str) -> Column:
+        return F.max_by(kind, F.when((F.col("joint") == joint) & F.col(kind).isNotNull(), F.col("seq"))).alias(f"{kind}_{joint}")
+
+    # values and numbers of fixed width: aggregated before the shuffle, which moves one row per time and input part
+    return tall.groupBy(*keys, "t").agg(*[last(k, j) for k in ("q", "qd", "tau") for j in joints])

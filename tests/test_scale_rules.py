@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.operators import alignment as al, filters as fl, frames as fr, ordered as o, patches as pa
+from footfall.operators import quantiles as qu
 from footfall.operators.ordered import Axis
 from footfall.operators.quantiles import quantiles
 
@@ -114,6 +115,29 @@ def test_quantiles_of_a_hot_group(spark):
     np.testing.assert_allclose(got[list("abc")], want, atol=1e-12)
 
 
+@pytest.mark.parametrize(("margin", "inside"), [(0.001, 2_000_000), (-0.05, 2_000_000), (0.001, 50), (-0.2, 20), (0.5, 200)])
+def test_quantiles_are_narrowed_until_they_are_right(spark, monkeypatch, margin, inside):
+    """First brackets that miss their rank (a negative margin), and brackets that hold too many values, still end at the exact value."""
+    monkeypatch.setattr(qu, "MARGIN", margin)
+    monkeypatch.setattr(qu, "INSIDE", inside)
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"g": np.repeat(["a", "b", "c", "d", "e"], [20_000, 3000, 1, 2, 500]), "v": np.concatenate([
+        rng.lognormal(0, 8, 20_000), np.where(rng.random(3000) < 0.7, 4.0, rng.normal(size=3000)), [5.0], [1.0, 2.0], np.full(500, 3.0)])})
+    probs = [0.0, 0.05, 0.5, 0.777, 0.95, 1.0]
+    df = spark.createDataFrame(frame.sort_values("v")).repartitionByRange(4, "v")
+    names = [f"q{k}" for k in range(len(probs))]
+    got = qu.quantiles(df, ["g"], "v", probs, names).toPandas().set_index("g").sort_index()
+    np.testing.assert_allclose(got[names], frame.groupby("g").v.quantile(probs).unstack(), rtol=1e-12)
+    whole = qu.quantiles(df, [], "v", [0.5], ["m"]).first()[0]
+    assert whole == pytest.approx(frame.v.median(), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([(1, None)], "g int, v double")
+    assert qu.quantiles(empty, ["g"], "v", [0.5], ["m"]).collect() == []
+    assert qu.quantiles(empty, [], "v", [0.5], ["m"]).collect() in ([], [(None,)])
+
+
 def greedy_centers(d, stride):
     out, target = [], d[0]
     while True:

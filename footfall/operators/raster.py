@@ -155,13 +155,45 @@ def grid_gradient(cells: DataFrame, georef: DataFrame, second_order: bool = True
                       F.atan2("grad_n", "grad_e").alias("grad_theta"))
 
 
+def _sampled_gradient(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """``grid_gradient`` at the four cells around each point, bilinearly: dem_grad_e and dem_grad_n, null unless all four are known.
+
+    The differences at the corners of a square need the twelve cells in and beside it, also at the border of the raster. So the
+    cells that are read are those near points, twelve for each square with a point in it, and no gradient of the raster is made.
+    """
+    placed = points.withColumns({"_i": F.floor("row_f").cast("int"), "_j": F.floor("col_f").cast("int")})
+    inner = placed.where("_i >= 0 AND _i < h - 1 AND _j >= 0 AND _j < w - 1")
+    squares = inner.select("raster_id", F.col("_i").alias("row"), F.col("_j").alias("col"))
+    beside = [(r, c) for r in range(-1, 3) for c in range(-1, 3) if r in (0, 1) or c in (0, 1)]
+    near = _gather(squares, cells, F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in beside]), {"z": "_z"})
+    name = lambda r, c: f"_z_{r + 1}{c + 1}"
+    corner = near.groupBy("raster_id", F.col("_r").alias("_i"), F.col("_c").alias("_j")).agg(*[
+        F.max(F.when((F.col("dr") == r) & (F.col("dc") == c), F.col("_z"))).alias(name(r, c)) for r, c in beside])
+    out = placed.join(corner, ["raster_id", "_i", "_j"], "left")
+
+    def difference(z: Callable[[int], Column], k: int, first: Column, last: Column) -> Column:
+        inside = (z(k + 1) - z(k - 1)) / 2
+        if k == 0:
+            return F.when(first, (-3 * z(0) + 4 * z(1) - z(2)) / 2).otherwise(inside)
+        return F.when(last, (3 * z(1) - 4 * z(0) + z(-1)) / 2).otherwise(inside)
+
+    di, dj = F.col("row_f") - F.col("_i"), F.col("col_f") - F.col("_j")
+    first_row, last_row = F.col("_i") == 0, F.col("_i") + 1 == F.col("h") - 1
+    first_col, last_col = F.col("_j") == 0, F.col("_j") + 1 == F.col("w") - 1
+    east, north = F.lit(0.0), F.lit(0.0)
+    for r in (0, 1):
+        for c in (0, 1):
+            share = (di if r else 1 - di) * (dj if c else 1 - dj)
+            east = east + share * difference(lambda k, r=r: F.col(name(r, k)), c, first_col, last_col)
+            north = north + share * difference(lambda k, c=c: F.col(name(k, c)), r, first_row, last_row)
+    return out.withColumns({"dem_grad_e": east / F.col("a"), "dem_grad_n": north / F.col("e")}).select(*points.columns, "dem_grad_e", "dem_grad_n")
+
+
 def sampled_gradient_slopes(points: DataFrame, cells: DataFrame, georef: DataFrame, heading: str = "heading") -> DataFrame:
-    """Slopes in the heading frame from the gradient grid; stored slopes, where present, win."""
+    """Slopes in the heading frame from the gradient grid at the points; stored slopes, where present, win."""
     stored = [c for c in ("dem_slope_long_deg", "dem_slope_lat_deg") if c in points.columns]
     kept = points.withColumnsRenamed({c: f"_stored_{c}" for c in stored})
-    grid = grid_gradient(cells, georef)
-    sloped = heading_slopes(
-        sample_bilinear(kept, grid, {"grad_e": "dem_grad_e", "grad_n": "dem_grad_n"}), heading)
+    sloped = heading_slopes(_sampled_gradient(kept, cells), heading)
     return sloped.withColumns({c: F.coalesce(f"_stored_{c}", c) for c in stored}).drop(*[f"_stored_{c}" for c in stored])
 
 

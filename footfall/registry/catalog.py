@@ -159,15 +159,14 @@ WANTED_SQL = """SELECT id, CASE WHEN short IS NOT NULL THEN upper(substr(kind, 1
     CASE WHEN short IS NOT NULL THEN id % 50 ELSE CASE WHEN id % 2 = 0 THEN id % 40 END END number
     FROM (SELECT *, CASE WHEN id % 3 = 0 THEN lower(substr(kind, 1, 4)) || '_' || (id % 50) END short FROM fx_catalog)"""
 TAKEN_SQL = "SELECT DISTINCT upper(substr(kind, 1, 4)) prefix, CAST(length(alias) AS BIGINT) number FROM fx_catalog"
+NEXT_FREE = "list_filter(range(q.s, q.s + len({used}) + 1), lambda n: NOT list_contains({used}, n))[1]"
 NAMING = dict(
     wanted=WANTED_SQL, taken=TAKEN_SQL,
-    won="SELECT prefix, number, min(id) id FROM wanted w WHERE number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.prefix = w.prefix AND t.number = w.number) GROUP BY 1, 2",
-    rest="SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY s, id) k FROM (SELECT id, prefix, greatest(coalesce(number, 1), 1) s FROM wanted WHERE id NOT IN (SELECT id FROM won))",
-    free="""SELECT prefix, list(n ORDER BY n) free FROM (SELECT prefix, unnest(range(1, 20000)) n FROM (SELECT DISTINCT prefix FROM wanted)) f
-      WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.prefix = f.prefix AND t.number = n) AND NOT EXISTS (SELECT 1 FROM won t WHERE t.prefix = f.prefix AND t.number = n) GROUP BY 1""",
-    served="""SELECT r.id, r.prefix, r.k, list_filter(free, lambda n: n >= r.s)[1] n FROM rest r JOIN free USING (prefix) WHERE k = 1
-      UNION ALL SELECT r.id, r.prefix, r.k, list_filter(free, lambda n: n >= greatest(r.s, v.n + 1))[1] FROM served v JOIN rest r ON r.prefix = v.prefix AND r.k = v.k + 1
-      JOIN free f ON f.prefix = r.prefix""")
+    queue="SELECT id, prefix, coalesce(number, 1) s, row_number() OVER (PARTITION BY prefix ORDER BY id) k FROM wanted",
+    before="SELECT p.prefix, coalesce(list(t.number) FILTER (t.number IS NOT NULL), []) used FROM (SELECT DISTINCT prefix FROM wanted) p LEFT JOIN taken t USING (prefix) GROUP BY 1",
+    # one id after the other, for all prefixes at once
+    served=f"""SELECT id, prefix, k, n, list_append(used, n) used FROM (SELECT q.*, u.used, {NEXT_FREE.format(used='u.used')} n FROM queue q JOIN before u USING (prefix) WHERE k = 1)
+      UNION ALL SELECT id, prefix, k, n, list_append(used, n) FROM (SELECT q.*, v.used, {NEXT_FREE.format(used='v.used')} n FROM served v JOIN queue q ON q.prefix = v.prefix AND q.k = v.k + 1)""")
 
 
 def _wanted(spark, sf):
@@ -180,7 +179,7 @@ def _wanted(spark, sf):
 
 
 @query("B14_short_names", sql(
-    "SELECT id, prefix || '-' || CAST(number AS VARCHAR) short_name FROM won UNION ALL SELECT id, prefix || '-' || CAST(n AS VARCHAR) FROM served", "fx_catalog", recursive=True, **NAMING))
+    "SELECT id, prefix || '-' || CAST(n AS VARCHAR) short_name FROM served", "fx_catalog", recursive=True, **NAMING))
 def _(spark, sf):
     taken = fx.catalog(spark, sf).select(F.upper(F.substring("kind", 1, 4)).alias("prefix"), F.length("alias").cast("long").alias("number")).distinct()
     return ca.assign_short_names(_wanted(spark, sf), taken).select("id", "short_name")

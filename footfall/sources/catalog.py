@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PREFIX = 5  # fixed value: letters of a usable given prefix
 DERIVED_PREFIX = 4  # fixed value: letters kept of a derived prefix
@@ -76,9 +80,8 @@ def split_name(df: DataFrame) -> DataFrame:
     })
 
 
-def assign_short_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """Unique ``PREFIX-number`` names. The first id to want a free number gets it; the others, by wanted number (1 when none)
-    and id, get the next free number from there on. ``wanted``: id, prefix, number; ``taken``: prefix, number of other ids.
+def _numbers_given(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(prefix, number) of all names that are given in the end: the same set in whatever order the ids are served.
 
     Free numbers are counted from the gaps between used ones, so no list of numbers is built. One row per catalog entry.
     """
@@ -102,8 +105,49 @@ def assign_short_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     # the n-th free number is n plus the used numbers that have fewer than n free ones before them
     seen = Window.partitionBy("prefix").orderBy("_at", "_q").rowsBetween(Window.unboundedPreceding, 0)
     placed = merged.withColumn("number", F.col("_at") + F.sum(1 - F.col("_q")).over(seen)).where("_q = 1")
-    every = won.select("id", "prefix", "number").unionByName(placed.select("id", "prefix", "number"))
-    return every.withColumn("short_name", F.concat("prefix", F.lit("-"), F.col("number").cast("string")))
+    return won.select("prefix", "number").unionByName(placed.select("prefix", "number"))
+
+
+def _serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of runs of neighbouring numbers, taken ones first and then claims by id: each claim gets the next free number from its own on."""
+    run, after = None, {}
+
+    def free(n: int) -> int:
+        seen = []
+        while n in after:
+            seen.append(n)
+            n = after[n]
+        for m in seen:  # next time straight there
+            after[m] = n
+        return n
+
+    for batch in batches:
+        numbers = []
+        for prefix, k, claim, start in zip(batch["prefix"], batch["_run"], batch["_claim"], batch["start"], strict=True):
+            if (prefix, k) != run:
+                run, after = (prefix, k), {}
+            n = free(int(start)) if claim else int(start)
+            after[n] = n + 1
+            numbers.append(n)
+        yield batch.assign(number=numbers)[batch["_claim"] == 1][["id", "prefix", "number"]]
+
+
+def assign_short_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Unique ``PREFIX-number`` names. Ids are served in order, each getting the first free number from the one it wants on (from 1
+    where it wants none). ``wanted``: id, prefix, number; ``taken``: prefix, number of other ids.
+
+    Which numbers are given does not depend on the order, only who gets them does. So the numbers in use form runs without a
+    gap, a claim is served inside the run that holds its wanted number, and runs are served in parallel, row by row.
+    """
+    used = taken.select("prefix", "number").unionByName(_numbers_given(wanted, taken)).distinct()
+    runs = used.withColumn("_run", F.col("number") - F.row_number().over(Window.partitionBy("prefix").orderBy("number")))
+    claims = wanted.select("id", "prefix", F.coalesce("number", F.lit(1)).cast("bigint").alias("number"), F.lit(1).alias("_claim"))
+    given = taken.select(F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), "prefix", F.col("number").cast("bigint").alias("number"), F.lit(0).alias("_claim")).distinct()
+    rows = given.unionByName(claims).join(runs, ["prefix", "number"]).withColumnRenamed("number", "start")
+    ordered = rows.repartition("prefix", "_run").sortWithinPartitions("prefix", "_run", "_claim", "id")
+    schema = T.StructType([wanted.schema["id"], wanted.schema["prefix"], T.StructField("number", T.LongType())])
+    served = ordered.mapInPandas(_serve, schema)
+    return served.withColumn("short_name", F.concat("prefix", F.lit("-"), F.col("number").cast("string")))
 
 
 def export_entries(fresh: DataFrame, existing: DataFrame, contains: str | None = None, limit: int | None = None) -> DataFrame:

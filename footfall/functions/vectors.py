@@ -1,11 +1,14 @@
-"""Vector column functions on ARRAY<DOUBLE>, evaluated in the JVM."""
+"""Vector column functions on ARRAY<DOUBLE>."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALLEST_NORM = 1e-12  # fixed value
 
@@ -19,19 +22,23 @@ def l2_normalize(v: Column) -> Column:
     return F.zip_with(v, F.array_repeat(size, F.size(v)), lambda x, n: x / n)
 
 
-def linear(v: Column, weight: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> Column:
-    """Matrix times vector plus bias; the weights are plan constants."""
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weight])
-    offset = F.array(*[F.lit(float(b)) for b in (bias or [0.0] * len(weight))])
-    return F.zip_with(F.transform(rows, lambda w: dot(w, v)), offset, lambda x, b: x + b)
-
-
-def relu(v: Column) -> Column:
-    return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
-
-
 def projection_head(v: Column, layers: Sequence[tuple[Sequence[Sequence[float]], Sequence[float] | None]]) -> Column:
-    """Linear layers with ReLU between them, then unit length."""
-    for k, (weight, bias) in enumerate(layers):
-        v = linear(v if k == 0 else relu(v), weight, bias)
-    return l2_normalize(v)
+    """Linear layers with ReLU between them, then unit length. Vectors that are null, hold nulls or do not fit give null.
+
+    The weights travel with the function, which Spark broadcasts once when it is large; a batch is one product a layer.
+    """
+    dense = [(np.asarray(w, dtype=float), np.zeros(len(w)) if b is None else np.asarray(b, dtype=float)) for w, b in layers]
+    width = dense[0][0].shape[1]
+
+    def head(vectors: pd.Series) -> pd.Series:
+        fits = np.array([x is not None and len(x) == width and not any(e is None or e != e for e in x) for x in vectors], dtype=bool)
+        out = np.full(len(vectors), None, dtype=object)
+        y = np.array([np.asarray(x, dtype=float) for x, fit in zip(vectors, fits, strict=True) if fit]).reshape(-1, width)
+        for k, (weight, bias) in enumerate(dense):
+            y = (y if k == 0 else np.maximum(y, 0.0)) @ weight.T + bias
+        y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), SMALLEST_NORM)
+        for row, x in zip(np.flatnonzero(fits), y, strict=True):
+            out[row] = x
+        return pd.Series(out)
+
+    return F.pandas_udf(head, T.ArrayType(T.DoubleType()))(v)

@@ -372,7 +372,8 @@ def patch_cost_of_transport(members: DataFrame, axis: Axis, cfg: Mapping, power:
     least = float(p.get("min_cmd_speed_for_power_norm", p.get("min_speed_for_power_norm", 0.0)))
     turn_rate, turn_speed = float(p.get("turn_only_min_w_cmd_z", 0.0)), float(p.get("turn_only_max_v_cmd_for_turn", least))
     work = members.withColumns({"_c": me.commanded_speed(members), "_p": F.col(power)})
-    ok = F.col("_p").isNotNull() & F.col("dist_m").isNotNull() & F.col("_c").isNotNull()
+    # known and finite
+    ok = F.coalesce((F.abs("_p") < math.inf) & (F.abs("dist_m") < math.inf) & (F.abs("_c") < math.inf) & (F.abs(t) < math.inf), F.lit(False))
     turning = F.lit(False)
     if turn_rate > 0 and "w_cmd_z" in members.columns:
         turning = F.coalesce(ok & (F.abs("w_cmd_z") >= turn_rate) & (F.col("_c") < turn_speed), F.lit(False))

@@ -146,6 +146,28 @@ def _(spark, sf):
     return tx.handles(fx.table(spark, sf, "documents"), token=ASCII_TOKEN)
 
 
+UUID_SQL = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"
+# a table row with an id, a later one with the same id and another name, an id outside a table, and a row of two cells
+LISTING = ("concat({source}, ' │ ', 'walk_', {n}, ' | ', {id}, ' | ok\n', {source}, ' | late │ ', {id}, '\n', {other}, ' alone\n', 'x | ', {other})")
+
+
+@query("B12_mission_names", sql(
+    """SELECT doc_id, handle, arg_min(name, line_no) AS name FROM (
+    SELECT doc_id, line_no, lower(unnest(ids)) AS handle, cells[2] AS name FROM (
+      SELECT doc_id, line_no, regexp_extract_all(line, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS ids,
+             list_filter(list_transform(regexp_split_to_array(line, '[│|]'), lambda c: trim(c)), lambda c: c <> '') AS cells
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM listing))
+    WHERE len(cells) >= 3) GROUP BY doc_id, handle""",
+    hashed="SELECT doc_id, source, md5(doc_id::VARCHAR) h, md5('o' || doc_id::VARCHAR) o FROM documents",
+    listing="SELECT doc_id, concat(source, ' │ ', 'walk_', doc_id % 17, ' | ', id, ' | ok', chr(10), source, ' | late │ ', id, chr(10), other, ' alone', chr(10), 'x | ', other) AS text FROM "
+            f"(SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN upper({UUID_SQL}) ELSE {UUID_SQL} END AS id, {UUID_SQL.replace('(h,', '(o,')} AS other FROM hashed)"))
+def _(spark, sf):
+    hashed = fx.table(spark, sf, "documents").selectExpr("doc_id", "source", "md5(string(doc_id)) AS h", "md5(concat('o', string(doc_id))) AS o")
+    ids = hashed.selectExpr("doc_id", "source", f"if(doc_id % 2 = 0, upper({UUID_SQL}), {UUID_SQL}) AS id", UUID_SQL.replace("(h,", "(o,") + " AS other")
+    listing = ids.selectExpr("doc_id", LISTING.format(source="source", n="doc_id % 17", id="id", other="other") + " AS text")
+    return tx.mission_names(listing)
+
+
 @query("B13_id_and_short_name", sql(
     rf"""SELECT doc_id, nullif(lower(regexp_extract(text, '(?i)\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b')), '') AS id,
     upper(coalesce(nullif(regexp_extract(text, '(?i)short\s*name\s*[|:]\s*([^\s|:]+)', 1), ''),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: patterns ((?U) gives Unicode word boundaries)
+EDGES = r"(?U)^\s+|\s+$"
 ANSI = r"\x1b\[[0-9;]*m"
 UUID = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 SHORT_TOKEN = r"(?U)\b([^\s\|:│]+-[0-9]+)\b"
@@ -31,7 +32,7 @@ def handles(df: DataFrame, text: str = "text", token: str = SHORT_TOKEN, uuid: s
 
 def mission_names(df: DataFrame, text: str = "text", uuid: str = UUID) -> DataFrame:
     """(doc_id, handle, name): second cell of the first table row that shows an id."""
-    cells = F.filter(F.transform(F.split("line", "[│|]"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split("line", "[│|]"), lambda c: F.regexp_replace(c, EDGES, "")), lambda c: c != "")
     rows = _lines(df, text).withColumns({"_cells": cells, "_ids": F.regexp_extract_all("line", F.lit(uuid), F.lit(0))})
     named = rows.where(F.size("_cells") >= 3).select("doc_id", "line_no", F.explode("_ids").alias("_id"), F.get("_cells", F.lit(1)).alias("name"))
     return named.groupBy("doc_id", F.lower("_id").alias("handle")).agg(F.min_by("name", "line_no").alias("name"))

@@ -1,15 +1,17 @@
 """Hand-worked tie, null and edge rules."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.functions import geodesy
+from footfall.functions import geodesy, vectors as vf
 from footfall.functions.angles import unwrap_jump_sql
-from footfall.operators import alignment as al, filters as fl, metrics as me, orientation as ori, raster as ra
+from footfall.operators import alignment as al, filters as fl, metrics as me, orientation as ori, patches as pa, raster as ra
 from footfall.operators.ordered import Axis
 from footfall.operators.quantiles import quantiles
+from footfall.sources import texts as tx
 
 AXIS = Axis(("g",), "t", 2.0)
 
@@ -121,3 +123,39 @@ def test_thinning_looks_past_long_rests():
             want.append(k)
     got = pd.concat(frames._thin_runs(["g"])(iter([q[:700], q[700:1000], q[1000:]])))
     assert got.index.tolist() == want
+
+
+LISTING = """\x1b[31mproj │ Größe-Süd │ 0A0B0C0D-1111-2222-3333-444455556666 │ ok\x1b[0m
+ETH-12 and Zürich-3, cut off…
+ETH-1 é-7 ünïcode-99x Ω-5
+p | n2 | 0a0b0c0d-1111-2222-3333-444455556666 | ETH-2
+alone 99999999-1111-2222-3333-444455556666"""
+
+
+def test_handles_with_unicode_letters(spark):
+    """As the Unicode-aware patterns of Python see them."""
+    df = spark.createDataFrame([(1, LISTING)], "doc_id int, text string")
+    want = {"0a0b0c0d-1111-2222-3333-444455556666", "99999999-1111-2222-3333-444455556666"}
+    for line in LISTING.split("\n"):
+        if "…" not in line and "1111" not in line:
+            want |= set(re.findall(r"\b([^\s\|:│]+-[0-9]+)\b", line))
+    assert {r.handle for r in tx.handles(df).collect()} == want and {"é-7", "Ω-5", "ETH-1"} <= want
+
+
+def test_names_from_a_listing(spark):
+    df = spark.createDataFrame([(1, LISTING), (2, None), (3, "")], "doc_id int, text string")
+    assert [tuple(r) for r in tx.mission_names(df).collect()] == [(1, "0a0b0c0d-1111-2222-3333-444455556666", "Größe-Süd")]
+
+
+def test_infinite_values_do_not_count_as_energy(spark):
+    rows = [(1, float(k), p, float(k), 1.0) for k, p in enumerate([10.0, 10.0, float("inf"), 10.0, 10.0, float("nan")])]
+    df = spark.createDataFrame(rows, "patch int, t double, power double, dist_m double, v_cmd double")
+    got = pa.patch_cost_of_transport(df, Axis(("patch",), "t", 10.0), {"robot": {"mass_kg": 1.0}, "params": {}}).first()
+    assert got.cot_patch == pytest.approx(10.0 / 9.81, rel=1e-3)
+
+
+def test_projection_head(spark):
+    w1, b1, w2 = [[1.0, -1.0], [0.5, 2.0], [-1.0, 0.0]], [0.1, 0.0, 0.2], [[1.0, 2.0, 3.0]]
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [1.0, None])], "k int, v array<double>")
+    got = {r.k: r.u for r in df.select("k", vf.projection_head(F.col("v"), [(w1, b1), (w2, None)]).alias("u")).collect()}
+    assert got == {1: [1.0], 2: None, 3: None, 4: None}

@@ -30,16 +30,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: Se
     data = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     for k in keys:
         data = data.where(F.col(k).isNotNull())
-    wanted = _first_brackets(data, keys, probs)
-    found = None
+    wanted, found = _first_brackets(data, keys, probs), None
     while True:
-        wanted = _narrowed(data, keys, wanted)
-        tried = materialize(_picked(data, keys, wanted))
+        small = (F.col("_size") <= INSIDE) | (F.col("_lo") >= F.col("_hi"))
+        large = wanted.where(~small).withColumns({"_hit": F.lit(False), "_q": F.lit(None).cast("double")})
+        tried = materialize(_picked(data, keys, wanted.where(small)).unionByName(large))
         hits = tried.where("_hit").select(*keys, "_slot", "_q")
         found = hits if found is None else found.unionByName(hits)
-        wanted = tried.where("NOT _hit").select(*keys, "_slot", "_rank", "_lo", "_hi", "_size")
-        if wanted.isEmpty():
+        missed = tried.where("NOT _hit").select(*keys, "_slot", "_rank", "_lo", "_hi", "_size")
+        if missed.isEmpty():
             break
+        wanted = _narrowed(data, keys, missed)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_slot") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
 
@@ -65,7 +66,6 @@ def _joined(data: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
 
 def _narrowed(data: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """Narrow the brackets that hold more than ``INSIDE`` values, until none does. Brackets of one value need no narrowing."""
-    wanted = materialize(wanted)
     while True:
         wide = wanted.where((F.col("_size") > INSIDE) & (F.col("_lo") < F.col("_hi")))
         if wide.isEmpty():

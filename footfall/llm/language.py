@@ -29,12 +29,17 @@ BUCKETS, SAMPLE = 1 << 13, 4000
 #: Bytes of text turned into features at a time.
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKE_LETTER = re.compile(r"[^\W\d_]")
 # bytes that are no part of a letter become spaces, so that digits and marks say nothing
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SPACES = re.compile(rb" {2,}")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; signs that the pattern takes for one (superscripts, circled digits) are none."""
+    return any(m[0].isalpha() for m in _LIKE_LETTER.finditer(text))
+
+
 def trigrams(text: str) -> Iterator[np.ndarray]:
     """Hash buckets of the byte trigrams of the lower-cased text, in blocks; blocks overlap so that none is missed."""
     plain = b" " + _SPACES.sub(b" ", text.lower().encode("utf-8", "replace").translate(_PLAIN)).strip() + b" "
@@ -94,7 +99,7 @@ class Model:
         return best, 1 / (1 + float(np.exp(-2 * np.clip(min(margins[best]), -50, 50))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.families or not _LETTER.search(text):
+        if not text or not self.families or not has_letter(text):
             return UNKNOWN, 0.0
         x = features(text)
         family, sure = self._vote(list(self.families), x)
@@ -123,7 +128,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE, text_column: str = "text",
 
     def to_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[bool(_LETTER.search(t)) for t in batch["text"]]]
+            batch = batch[[has_letter(t) for t in batch["text"]]]
             yield pd.DataFrame({"label": batch["label"], "x": [zlib.compress(features(t).astype(np.float16).tobytes(), 1) for t in batch["text"]]})
 
     for r in picked.select("label", "text").mapInPandas(to_features, schema).orderBy("label", "x").toLocalIterator():

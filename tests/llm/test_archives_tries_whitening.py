@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.llm import queries, trie, warc, whitening
+from footfall.llm import language, queries, trie, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 PAGES = "page_id long, url string, html string, row string, sha1 long, bytes string, chunk int"
@@ -249,3 +249,8 @@ def test_deviations_beyond_a_long():
     assert model.deviations(np.array([[1, 0], [1 << 45, 1]])) == [None, None]
     model = whitening.Whitening(1 << 20, (5, 7), np.ones(0), np.zeros((2, 0)), 1.0)
     assert model.deviations(np.array([[3, -2]])) == [(3 * (1 << 20) - 5) ** 2 + (-2 * (1 << 20) - 7) ** 2]
+
+
+def test_signs_that_are_no_letters():
+    assert not any(language.has_letter(t) for t in ("", "12 _", "²", "① ½", "٣"))
+    assert all(language.has_letter(t) for t in ("a", "² é", "12ß", "漢", "ª"))

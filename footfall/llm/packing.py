@@ -53,7 +53,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the tokenizer takes these out of a text before anything else, the longest of those that start at one place
+        self.added = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        plain = not any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
+        names = sorted(self.added, key=len, reverse=True)
+        self.parts = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.apart = plain
         self.line = self._ids(["\n"])[0]
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -92,6 +97,19 @@ class Encoder:
         known.update({p: known[s] + self.plain[p[len(s):]] for p, s in stems.items()})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; a special token written in a text becomes its own id, as the tokenizer has it."""
+        split = [self.parts.split(t) if self.parts else [t] for t in texts]
+        if all(len(s) == 1 for s in split):
+            yield from self._encode(texts)
+            return
+        for t, s in zip(texts, split, strict=True):
+            if len(s) == 1 or self.apart:
+                ids = self._encode(s[::2])
+                yield next(ids) + b"".join(np.array([self.added[a]], dtype="<u4").tobytes() + next(ids) for a in s[1::2])
+            else:
+                yield from self._ids([t])
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         cut = [[_CUT.split(t)] if _IRREGULAR.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         for known in (self.plain, self.spaced):
             if len(known) > CACHED:

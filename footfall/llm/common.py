@@ -40,3 +40,22 @@ def held_out(doc_id: Column) -> Column:
 def sampling_hash(*columns: Column) -> Column:
     """A value from 0 to 1 fixed by the columns, for samples that are the same on every run."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def running_sums(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Sums are appended inside blocks of about the root of the length, then to the ends of blocks, as each append copies what it extends.
+    """
+    def sums(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    def blocks(x: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(x))).cast("int")
+        cut = F.transform(F.sequence(F.lit(1), F.size(x), block), lambda at: sums(F.slice(x, at, block)))
+        return F.transform(F.array(cut), lambda inner: F.flatten(F.zip_with(
+            inner, F.slice(sums(F.transform(inner, lambda s: F.element_at(s, -1))), F.lit(1), F.size(inner)),
+            lambda s, start: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v + start))))[0]
+
+    # the array is bound to a name, so that it is made once
+    return F.transform(F.array(numbers), lambda x: F.when(F.size(x) == 0, x).otherwise(blocks(x)))[0]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.llm.common import running_sums, stored
+
 TRAINED = "assistant"
 TURN = "struct<role: string, text: string>"
 
@@ -38,15 +40,9 @@ def render(turns: Column) -> Column:
 
 def mask(turns: Column) -> Column:
     """start:end of the characters to learn (texts of trained turns with their end marks), comma-joined."""
-    placed = F.aggregate(
-        turns, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(_heading(t)) + F.length(t["text"]) + F.lit(len("<|end|>\n"))).alias("at"),
-            F.when(t["role"] == TRAINED, F.concat(acc["spans"], F.array(F.concat_ws(
-                ":", (acc["at"] + F.length(_heading(t))).cast("string"),
-                (acc["at"] + F.length(_heading(t)) + F.length(t["text"]) + F.lit(len("<|end|>"))).cast("string")))))
-            .otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
+    lengths = F.transform(turns, lambda t: F.length(_heading(t)) + F.length(t["text"]) + F.lit(len("<|end|>\n")))
+    placed = F.zip_with(turns, running_sums(lengths), lambda t, at: F.when(t["role"] == TRAINED, F.concat_ws(
+        ":", (at + F.length(_heading(t))).cast("string"), (at + F.length(_heading(t)) + F.length(t["text"]) + F.lit(len("<|end|>"))).cast("string"))))
     return F.array_join(placed, ",")
 
 
@@ -68,16 +64,36 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return rows.select(*kept, "shared_turns", *out)
 
 
-def borrowed_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Pairs from plain conversations: each is chosen, and rejected is the same with its last reply taken from its partner.
+def following(keys: DataFrame, key: str) -> DataFrame:
+    """Each of the distinct keys with ``next``, the one that follows it in order; the first one follows the last.
 
-    Partners are the ids that differ in the lowest bit. Conversations without an id, a reply or a partner with a reply make
-    no pair. Turns after the last reply are not part of a pair.
+    Keys are sorted in ranges. What a range passes on is its first key, so only one row a range comes together.
+    """
+    ranges = stored(keys.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = ranges.withColumn("next", F.lead(key).over(Window.partitionBy("_range").orderBy(key)))
+    heads = ranges.groupBy("_range").agg(F.min(key).alias("_head"))
+    every = Window.orderBy("_range")
+    whole = Window.partitionBy()
+    heads = heads.select("_range", F.coalesce(F.lead("_head").over(every), F.min("_head").over(whole)).alias("_after"))
+    return inside.join(heads, "_range").select(key, F.coalesce("next", "_after").alias("next"))
+
+
+def parted(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Pairs from plain conversations: each is chosen whole; rejected leaves it at one of its replies for the course of another.
+
+    A conversation with m replies is left at reply j = 1 + key mod m; from there on, rejected goes on with the turns of the
+    conversation that follows in the order of ids (the first one follows the last), from its reply j, or its last if it has
+    fewer. Every conversation with an id and a reply makes one pair and keeps all its turns; those without cannot make one. A single
+    conversation is its own partner, and a partner may take the same course: such pairs have equal sides and empty completions.
     """
     whole = conversations(turns.filter(F.col(key).isNotNull()), key)
-    roles = F.transform("turns", lambda t: t["role"])
-    last = F.size("turns") - F.array_position(F.reverse(roles), TRAINED).cast("int") + 1
-    whole = whole.filter(F.array_contains(roles, TRAINED)).withColumn("last", last)
-    whole = whole.select(key, F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    other = whole.select(F.col(key).bitwiseXOR(F.lit(1).cast("long")).alias(key), F.element_at("chosen", -1).alias("reply"))
-    return whole.join(other, key).select(key, "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply")).alias("rejected"))
+    replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i + 1)), lambda i: i.isNotNull())
+    whole = stored(whole.withColumn("replies", replies).filter(F.size("replies") > 0), "conversations")
+    pairs = following(whole.select(key), key)
+    other = whole.select(F.col(key).alias("next"), F.col("turns").alias("_turns"), F.col("replies").alias("_replies"))
+    j = (F.pmod(F.col(key), F.size("replies")) + 1).cast("int")
+    both = whole.join(pairs, key).join(other, "next").withColumn("_j", j)
+    left_at = F.element_at("replies", F.col("_j"))
+    taken_up = F.element_at("_replies", F.least("_j", F.size("_replies")))
+    rejected = F.concat(F.slice("turns", F.lit(1), left_at - 1), F.slice("_turns", taken_up, F.size("_turns")))
+    return both.select(key, F.col("turns").alias("chosen"), rejected.alias("rejected"))

@@ -106,26 +106,43 @@ WITH t AS (
     SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS k
     FROM conversations WHERE conv_id IS NOT NULL),
-e AS (SELECT conv_id, max(k) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-x AS (
-    SELECT t.*, e.last, t.k = e.last AS is_last, o.role AS o_role, o.text AS o_text
-    FROM t JOIN e USING (conv_id) JOIN e p ON p.conv_id = xor(e.conv_id, 1)
-    JOIN t o ON o.conv_id = p.conv_id AND o.k = p.last
-    WHERE t.k <= e.last),
+r AS (SELECT conv_id, k, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS n FROM t WHERE role = 'assistant'),
+m AS (SELECT conv_id, max(n) AS m FROM r GROUP BY conv_id),
+p AS (
+    SELECT conv_id, m, 1 + ((conv_id % m) + m) % m AS j, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other
+    FROM m),
+q AS (
+    SELECT p.conv_id, p.other, a.k AS left_at, b.k AS taken_up
+    FROM p JOIN m o ON o.conv_id = p.other JOIN r a ON a.conv_id = p.conv_id AND a.n = p.j
+    JOIN r b ON b.conv_id = p.other AND b.n = least(p.j, o.m)),
+c AS (SELECT t.* FROM t JOIN m USING (conv_id)),
+e AS (
+    SELECT c.conv_id, c.role, c.text, c.k FROM c JOIN q USING (conv_id) WHERE c.k < q.left_at
+    UNION ALL
+    SELECT q.conv_id, t.role, t.text, t.k - q.taken_up + q.left_at FROM q JOIN t ON t.conv_id = q.other AND t.k >= q.taken_up),
 d AS (
-    SELECT *, is_last AND NOT (role = o_role AND text = o_text) AS differs, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
-           '<|' || o_role || '|>' || chr(10) || o_text || '<|end|>' || chr(10) AS o_line
-    FROM x)
-SELECT conv_id, count_if(NOT differs)::INTEGER AS shared_turns,
-       coalesce(string_agg(line, '' ORDER BY k) FILTER (NOT differs), '') AS prompt,
-       coalesce(string_agg(line, '') FILTER (differs), '') AS chosen,
-       coalesce(string_agg('14:' || (14 + length(text) + 7), '') FILTER (differs), '') AS chosen_mask,
-       coalesce(string_agg(o_line, '') FILTER (differs), '') AS rejected,
-       coalesce(string_agg('14:' || (14 + length(o_text) + 7), '') FILTER (differs), '') AS rejected_mask
-FROM d GROUP BY conv_id
+    SELECT conv_id, k, c.role IS NOT DISTINCT FROM e.role AND c.text IS NOT DISTINCT FROM e.text AS same
+    FROM c FULL JOIN e USING (conv_id, k)),
+s AS (SELECT conv_id, coalesce(min(k) FILTER (NOT same), max(k) + 1) - 1 AS shared FROM d GROUP BY conv_id),
+l AS (
+    SELECT conv_id, k, side, role, shared, k <= shared AS inside, '<|' || role || '|>' || chr(10) AS head, text,
+           '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line
+    FROM (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * FROM e) JOIN s USING (conv_id)),
+o AS (
+    SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id, side, inside ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + length(head) AS pos
+    FROM l),
+g AS (SELECT *, CASE WHEN role = 'assistant' THEN pos::BIGINT || ':' || (pos + length(text) + 7)::BIGINT END AS span FROM o)
+SELECT conv_id, shared::INTEGER AS shared_turns,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (inside AND side = 'c'), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (NOT inside AND side = 'c'), '') AS chosen,
+       coalesce(string_agg(span, ',' ORDER BY k) FILTER (NOT inside AND side = 'c'), '') AS chosen_mask,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (NOT inside AND side = 'r'), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY k) FILTER (NOT inside AND side = 'r'), '') AS rejected_mask
+FROM g GROUP BY conv_id, shared
 """)
 def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(preference.borrowed_replies(table(spark, sf_dir, "conversations")))
+    return preference.format_pairs(preference.parted(table(spark, sf_dir, "conversations")))
 
 
 #: Shares of all tokens that each domain shall have.

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,11 @@ from footfall.llm.common import bound_batches, held_out, sampling_hash, stored
 #: What a character may stand for besides itself (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-#: Channel costs in nats: a stand-in character, a dropped and a kept separator, a dropped repeat, a digit or mark kept as it is.
-SWAP, DROP_GAP, KEEP_GAP, DROP_REPEAT, KEEP_MARK = 1.0, 0.5, 4.0, 1.0, 9.0
-#: Longest span decoded in one lattice (a longer one is decoded in parts), and decoded spans remembered by a worker.
-LATTICE, REMEMBERED = 400, 100_000
+#: Channel costs in nats: a stand-in character, and a digit or mark kept as it is; a gap between single characters dropped and kept;
+#: a gap next to a longer piece dropped (kept for nothing); a repeat dropped where a letter comes three times or stands alone, and else.
+SWAP, KEEP_MARK, DROP_GAP, KEEP_GAP, DROP_PIECE, DROP_REPEAT, DROP_PAIR = 1.0, 9.0, 0.5, 4.0, 4.0, 1.0, 3.0
+#: Spans, runs and pairs of pieces remembered by a worker, and the longest of them.
+REMEMBERED, LONGEST_KNOWN = 100_000, 64
 #: Labelled rows that the classifier is fitted on, about; traits it may use; toxic rows of the sample that a trait must occur in.
 SAMPLE, TRAITS, LEAST_ROWS = 20_000, 200, 5
 #: Traits of a word: itself, and its beginnings of so many bytes.
@@ -38,14 +40,18 @@ _CLASS[247] = 0
 
 _L = "a-zà-öø-ÿ"
 _M = re.escape("".join(LEET))
+_G = r"\s.,:;/\\_*~\-"
+#: Pieces of up to four characters, or of one character repeated, with any marks and spaces between them.
+_PIECE = rf"(?:([{_L}{_M}])\%d{{4,}}|[{_L}{_M}]{{1,4}})(?![{_L}{_M}0-9])"
+_PIECES = re.compile(rf"(?<![{_L}{_M}0-9]){_PIECE % 1}(?:[{_G}]++{_PIECE % 2})+")
+_PARTS = re.compile(rf"[{_G}]+|[^{_G}]+")
 _ODD = re.compile(
     # a word with stand-ins among its letters
     rf"(?<![{_L}{_M}])(?:[{_L}]++(?:[0-9@$]|[!|+]++[{_L}])|[{_M}]++[{_L}])[{_L}{_M}]*(?<![!|+])"
-    # single characters set apart by one and the same space or mark
-    rf"|(?<![{_L}0-9])[{_L}{_M}](?P<gap>[ .\-_*])[{_L}{_M}](?:(?P=gap)[{_L}{_M}])+(?![{_L}0-9])"
-    # a letter three times or more
-    rf"|(?<![{_L}])[{_L}]*?(?P<letter>[{_L}])(?P=letter)(?P=letter)[{_L}{_M}]*(?<![!|+])")
-_GAPS = set(" .-_*")
+    # a word with a letter repeated
+    rf"|(?<![{_L}])[{_L}]*?(?P<letter>[{_L}])(?P=letter)[{_L}{_M}]*(?<![!|+])")
+_PAIR = re.compile(rf"([{_L}])\1")
+_LETTERS, _STAND_INS = re.compile(rf"[{_L}]"), re.compile(rf"[{_M}]")
 # ASCII marks become spaces; letters of other scripts stay as bytes
 _WORDS = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -85,50 +91,158 @@ def char_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     return -np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
+def _class(ch: str) -> int:
+    return int(_CLASS[ord(ch)]) if ch and ord(ch) < 256 else 0
+
+
+@dataclass(frozen=True)
+class Piece:
+    """What the decision about a gap needs of a piece beside it; of a longer one, which repeats a character, five are enough."""
+
+    head: tuple[int, int]
+    tail: tuple[int, int]
+    unit: bool
+    letters: bool
+    stand_ins: bool
+
+
+@lru_cache(REMEMBERED)
+def _piece(text: str) -> Piece:
+    k = [0, *map(_class, text[-2:])][-2:], [*map(_class, text[:2]), 0][:2]
+    return Piece((k[1][0], k[1][1]), (k[0][0], k[0][1]), len(set(text)) == 1, bool(_LETTERS.search(text)), bool(_STAND_INS.search(text)))
+
+
 class Decoder:
-    """Restores obfuscated spans of a lower-cased text."""
+    """Restores obfuscated spans of a lower-cased text.
+
+    Spans are words with stand-ins, words with repeated letters and stretches of short pieces with any separators. A stretch goes
+    over gaps that may hide a word: between single characters, beside a piece with stand-ins, or where the character model
+    prefers the joined letters; a repeated letter counts where the model prefers it single. The lattice of the whole span decides.
+    """
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
         self.known: dict[str, str] = {}
-
-    def _options(self, ch: str, before: str) -> list[tuple[str, float]]:
-        if ch in _GAPS:
-            return [("", DROP_GAP), (" ", KEEP_GAP)]
-        options = [(c, SWAP) for c in LEET.get(ch, "")]
-        options.append((ch, KEEP_MARK if options else 0.0))
-        if ch == before:
-            options.append(("", DROP_REPEAT))
-        return options
+        self.runs: dict[str, str] = {}
+        self.gaps: dict[tuple[str, str], bool] = {}
+
+    def steps(self, span: str) -> Iterator[list[tuple[str, float]]]:
+        """The lattice: for each character, and each gap as a whole, what may come out and its cost."""
+        parts = _PARTS.findall(span)
+        unit = [len(set(p)) == 1 for p in parts]
+        gap = re.compile(f"[{_G}]").match
+        before = ""
+        for i, part in enumerate(parts):
+            if gap(part):
+                tight = 0 < i < len(parts) - 1 and unit[i - 1] and unit[i + 1]
+                yield [("", DROP_GAP), (" ", KEEP_GAP)] if tight else [(" ", 0.0), ("", DROP_PIECE)]
+                continue
+            for at, ch in enumerate(part):
+                options = [(c, SWAP) for c in LEET.get(ch, "")]
+                options.append((ch, KEEP_MARK if options else 0.0))
+                if ch == before:
+                    pair = at > 0 and not unit[i] and part[at - 2:at - 1] != ch and part[at + 1:at + 2] != ch
+                    options.append(("", DROP_PAIR if pair else DROP_REPEAT))
+                yield options
+                before = ch
 
     def best(self, span: str) -> str:
-        """The cheapest path through the lattice of a span: channel costs and the costs of the characters that come out."""
-        costs = self.costs
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for ch in span:
-            options = [(c, cost, int(_classes(c)[0]) if c else -1) for c, cost in self._options(ch, before)]
-            further: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, text) in paths.items():
+        """The cheapest path through the lattice of a span: channel costs and the costs of the characters that come out.
+
+        The frontier holds one path for each pair of last characters, as links back; what all paths share is written out where
+        they meet in one.
+        """
+        costs, out = self.costs, []
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+
+        def letters(node: tuple | None) -> str:
+            found = []
+            while node is not None:
+                found.append(node[1])
+                node = node[0]
+            return "".join(reversed(found))
+
+        for step in self.steps(span):
+            options = [(c, cost, _class(c) if c else -1) for c, cost in step]
+            further: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (total, node) in paths.items():
                 for c, cost, k in options:
                     state, sum_ = ((a, b), total + cost) if k < 0 else ((b, k), total + cost + costs[a][b][k])
                     if state not in further or sum_ < further[state][0]:
-                        further[state] = (sum_, text + c)
+                        further[state] = (sum_, (node, c) if c else node)
             paths = further
-            if ch not in _GAPS:
-                before = ch
-        return min((total + costs[a][b][0], text) for (a, b), (total, text) in paths.items())[1]
+            if len(paths) == 1:
+                (state, (_, node)), = paths.items()
+                out.append(letters(node))
+                paths = {state: (0.0, None)}
+        _, _, node = min(((total + costs[a][b][0], (a, b), node) for (a, b), (total, node) in paths.items()), key=lambda p: p[:2])
+        return "".join(out) + letters(node)
+
+    def _hides(self, left: str, right: str) -> bool:
+        """Whether a gap between two pieces may have been put into a word."""
+        a, b = _piece(left[:5]), _piece(right[:5])
+        if a.unit and b.unit or a.letters and a.stand_ins or b.letters and b.stand_ins:
+            return True
+        if a.stand_ins or b.stand_ins:
+            return False
+        c, (p, q), (r, s) = self.costs, a.tail, b.head
+        return c[p][q][0] + c[q][0][r] + c[0][r][s] > c[p][q][r] + c[q][r][s] + DROP_PIECE
+
+    def _known(self, memory: dict, key, found: Callable, size: int):
+        """What ``found`` says of a key, remembered unless the text is long."""
+        if size > LONGEST_KNOWN:
+            return found(key)
+        if key not in memory:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            memory[key] = found(key)
+        return memory[key]
+
+    def _decoded(self, span: str) -> str:
+        return self._known(self.known, span, self.best, len(span))
+
+    def _joined(self, match: re.Match) -> str:
+        return self._known(self.runs, match[0], self.join, len(match[0]))
+
+    def join(self, run: str) -> str:
+        """A run of short pieces, with its stretches over gaps that may hide a word decoded."""
+        parts = _PARTS.findall(run)
+        names, gaps = parts[::2], self.gaps
+        out, first = [], 0
+        for last, name in enumerate(names):
+            if last + 1 < len(names):
+                pair = name, names[last + 1]
+                hides = gaps.get(pair)
+                if hides is None:
+                    hides = self._known(gaps, pair, lambda p: self._hides(*p), len(name) + len(pair[1]))
+                if hides:
+                    continue
+            if first == last:
+                out.append(name)
+            else:
+                stretch = [_piece(n[:5]) for n in names[first:last + 1]]
+                # two single characters are an initial or a unit of measure; digits alone are numbers
+                hidden = (len(stretch) > 2 or not all(p.unit for p in stretch)) and any(p.letters for p in stretch)
+                text = "".join(parts[2 * first:2 * last + 1])
+                out.append(self._decoded(text) if hidden else text)
+            out += parts[2 * last + 1:2 * last + 2]
+            first = last + 1
+        return "".join(out)
 
     def _restored(self, match: re.Match) -> str:
         span = match[0]
-        if span not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[span] = "".join(self.best(span[at:at + LATTICE]) for at in range(0, len(span), LATTICE))
-        return self.known[span]
+        if not _STAND_INS.search(span):
+            c, padded = self.costs, f" {span} "
+            for m in _PAIR.finditer(padded):
+                p, q, r = _class(padded[m.start() - 1]), _class(m[1]), _class(padded[m.end()])
+                if q == r or c[p][q][q] + c[q][q][r] > c[p][q][r] + DROP_PAIR:
+                    break
+            else:
+                return span
+        return self._decoded(span)
 
     def restore(self, text: str) -> str:
-        return _ODD.sub(self._restored, text.lower())
+        return _ODD.sub(self._restored, _PIECES.sub(self._joined, text.lower()))
 
 
 def words(restored: str) -> list[bytes]:

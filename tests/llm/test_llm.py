@@ -1,6 +1,7 @@
 """The training-data operators against SQL, brute force, round trips and held-out labels, and on odd inputs."""
 
 import hashlib
+import itertools
 import random
 import re
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from footfall.llm import components, dedup, knn, language, mixing, packing, preference, queries, secret_scan, sharding, simhash, toxicity
+from footfall.llm import common, components, dedup, knn, language, mixing, packing, preference, queries, secret_scan, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long"
@@ -26,7 +27,7 @@ ODD = [
     (2, "alpha BETA  gamma \n delta", None, None, None, None, None), (3, None, None, None, None, None, None), (4, "", "en", "b", 0, "y", 2),
     (5, " \t\n", "en", "b", 3, "y", 2), (None, "alpha beta", "en", "b", 3, "y", 2), (None, None, None, None, None, None, None),
     (6, "été à l'école   ß <|endoftext|>  x", "fr", "b", 3, "y", 2), (7, "token = abcdef0123456789abcdef0123456789 AKIA" + "Q7" * 10, "en", "c", 1, "z", 3),
-    (8, "lorem ipsum dolor sit amet " * 4000, "en", "c", 1, "z", 3), (9, "1d10t 1d10t", "en", "c", 1, "z", 3),
+    (11, "<|endoftext|><|endoftext|> a <|endoftext|>b\n<|endoftext|>", "en", "c", 1, "z", 3), (8, "lorem ipsum dolor sit amet " * 4000, "en", "c", 1, "z", 3), (9, "1d10t 1d10t", "en", "c", 1, "z", 3),
 ]
 
 
@@ -112,8 +113,36 @@ def test_language_odd(spark):
 def test_decoder_restores(spark):
     decoder = toxicity.Decoder(toxicity.char_model(toxicity.char_counts(documents(spark, "/root/testdata/sf0.01"))))
     for odd_text, plain in {"an 1d10t!": "an idiot!", "i d i o t": "idiot", "m.o.r.o.n": "moron", "stuuuupid": "stupid", "tr4sh": "trash", "l0s3r": "loser",
+                            "i-d.i-o t": "idiot", "i  d  i  o  t": "idiot", "i\td/i,o\nt": "idiot", "id iot": "idiot", "id-iot": "idiot", "iddiott": "idiot",
+                            "iidiioott": "idiot", "ii dd ii oo tt": "idiot", "1d1 0t": "idiot", "iii d i o t": "idiot", "1 2 3 4": "1 2 3 4",
                             "the 1999 was": "the 1999 was", "plain words": "plain words"}.items():
-        assert decoder.restore(odd_text) == plain
+        assert decoder.restore(odd_text) == plain, odd_text
+
+
+def path_cost(decoder, letters):
+    total, a, b = 0.0, 0, 0
+    for ch in letters:
+        k = toxicity._class(ch)
+        total, a, b = total + decoder.costs[a][b][k], b, k
+    return total + decoder.costs[a][b][0]
+
+
+def test_decoding_is_the_cheapest_path(spark):
+    decoder = toxicity.Decoder(toxicity.char_model(toxicity.char_counts(documents(spark))))
+    rng = random.Random(3)
+    for _ in range(150):
+        span = "".join(rng.choice("aadiiot1003 .-") for _ in range(rng.randint(1, 9)))
+        costs = {}
+        for path in itertools.product(*decoder.steps(span)):
+            text = "".join(c for c, _ in path)
+            costs[text] = min(costs.get(text, 1e9), sum(x for _, x in path) + path_cost(decoder, text))
+        assert costs[decoder.best(span)] < min(costs.values()) + 1e-6, span
+
+
+def test_long_spans_decode_as_short_ones(spark):
+    decoder = toxicity.Decoder(toxicity.char_model(toxicity.char_counts(documents(spark, "/root/testdata/sf0.01"))))
+    one = "i d i o t  "
+    assert set(decoder.restore(", the, " + one * 3000).replace("the", "").replace(",", "").split()) == set(decoder.restore(one * 50).split())
 
 
 def test_character_counts_cover_all(spark):
@@ -215,7 +244,6 @@ def test_a_very_long_text_is_hashed_in_blocks(monkeypatch):
 
 def check_packed(rows, docs, window=1024):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = defaultdict(list)
     for r in docs:
         ids[r.doc_id].append(np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4"))
@@ -250,7 +278,6 @@ def test_packing_round_trip(spark, which):
 def test_packed_sequences_hold_the_tokens(spark):
     docs = documents(spark).limit(60)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
     sequences, got = defaultdict(list), defaultdict(dict)
     for r in corpus_pipeline.pack_sequences(spark, docs, SF).collect():
@@ -394,9 +421,40 @@ def test_preference_odd_turns(spark):
     turns = spark.createDataFrame([
         (0, 0, None, None), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, None, "user", "q"), (1, 2, "assistant", None), (2, 0, "user", "z"),
         (3, 0, "assistant", "z"), (None, 0, "assistant", "n"), (6, 0, "assistant", "lone")], "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: r for r in preference.format_pairs(preference.borrowed_replies(turns)).collect()}
-    assert set(out) == {0, 1} and out[0].shared_turns == 2 and out[1].chosen_mask == "14:21"
-    assert preference.borrowed_replies(turns.limit(0)).count() == 0
+    out = {r.conv_id: r for r in preference.format_pairs(preference.parted(turns)).collect()}
+    # all with a reply, each against the next one; the last against the first
+    assert set(out) == {0, 1, 3, 6}
+    assert out[0].shared_turns == 1 and out[0].chosen_mask == "14:22,37:45" and out[0].rejected_mask == "14:21"
+    assert out[1].shared_turns == 1 and out[1].chosen_mask == "14:21" and out[1].rejected == "<|assistant|>\nz<|end|>\n"
+    assert out[6].prompt == "" and out[6].rejected.count("<|assistant|>") == 2
+    assert preference.parted(turns.limit(0)).count() == 0
+    lone = preference.format_pairs(preference.parted(turns.filter("conv_id = 6"))).first()
+    assert (lone.shared_turns, lone.chosen, lone.rejected) == (1, "", "")
+
+
+def test_every_conversation_with_a_reply_makes_a_pair(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    pairs = preference.parted(turns).collect()
+    want = defaultdict(list)
+    for r in turns.filter("conv_id is not null").collect():
+        want[r.conv_id].append((r.turn is not None, r.turn or 0, r.role or "user", r.text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in want.items()}
+    usable = sorted(c for c, v in own.items() if any(role == "assistant" for role, _ in v))
+    assert sorted(p.conv_id for p in pairs) == usable
+    partner = dict(zip(usable, usable[1:] + usable[:1], strict=True))
+    replies = {c: [i for i, (role, _) in enumerate(own[c]) if role == "assistant"] for c in usable}
+    for p in pairs:
+        c, o = p.conv_id, partner[p.conv_id]
+        j = c % len(replies[c])
+        assert [tuple(t) for t in p.chosen] == own[c]
+        assert [tuple(t) for t in p.rejected] == own[c][:replies[c][j]] + own[o][replies[o][min(j, len(replies[o]) - 1)]:]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 99, 100, 101, 5000])
+def test_running_sums(spark, n):
+    numbers = [(7 * i) % 13 for i in range(n)]
+    out = spark.createDataFrame([(numbers,)], "x array<int>").select(common.running_sums(F.col("x")).alias("s")).first().s
+    assert out == [sum(numbers[:i]) for i in range(n)] if n < 200 else out[-1] == sum(numbers[:-1])
 
 
 # --- top-k

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import stored
+from footfall.llm.common import running_sums, stored
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns (fixed values) and the least lengths of their matches (of the value, for an assignment).
@@ -34,33 +34,51 @@ def _matches(text: Column, pattern: str, hint: Column, group: int = 0) -> Column
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     # what splitting leaves between the matches gives their places
     lengths = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("length")))
-    placed = F.aggregate(
-        F.slice(lengths, F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, stop: int>>)").alias("spans")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["length"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(
-            (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["length"]).alias("stop")))).alias("spans")),
-        lambda acc: acc["spans"])
-    spans = F.zip_with(placed, values, lambda p, v: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), v.alias("value")))
+
+    def placed(x: Column) -> Column:
+        before = running_sums(F.transform(x, lambda l: l["gap"] + l["length"]))
+        return F.zip_with(before, x, lambda at, l: F.struct((at + l["gap"]).alias("start"), (at + l["gap"] + l["length"]).alias("stop")))
+
+    spans = F.zip_with(_bound(F.slice(lengths, F.lit(1), F.size(found)), placed), values,
+                       lambda p, v: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), v.alias("value")))
     return F.when(hint, spans).otherwise(F.expr("cast(array() as array<struct<start: int, stop: int, value: string>>)"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often (or inside of which loop) the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _meets(spans: Column, run: Column) -> Column:
+    """Whether a run overlaps one of ``spans``, which are in order and apart: the last one that starts before its end decides.
+
+    It is found by halving, so that a text costs its matches times the logarithm of their number.
+    """
+    last = F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, step: F.when(
+        (step <= F.size(spans) - at) & (F.try_element_at(spans, at + step)["start"] < run["stop"]), at + step).otherwise(at))
+    return (F.size(spans) > 0) & _bound(last, lambda at: (at > 0) & (F.try_element_at(spans, F.greatest(at, F.lit(1)))["stop"] > run["start"]))
+
+
 def _of_kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["value"].alias("value")))
 
 
 def find_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``base`` spans (start, kind, stop, value) and ``runs`` outside of them (start, stop, value)."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit(""))).drop(text_column)
-    text = F.col("_text")
+    """``docs`` without the text, with ``base`` spans (start, kind, stop, value) and ``runs`` outside of them (start, stop, value).
+
+    Columns of ``docs`` named so are replaced. The work on a text is about linear in its length, also where all of it matches.
+    """
+    text = F.coalesce(F.col(text_column), F.lit(""))
     assign = F.filter(_matches(text, ASSIGN, text.rlike(ASSIGN_HINT), 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
     access = _matches(text, ACCESS, text.contains("AKIA"))
     hexes = _matches(text, HEX, text.rlike(HEX))
-    rows = rows.select("*", assign.alias("_assign"), access.alias("_access"), hexes.alias("_hex"), _matches(text, RUN, text.rlike(RUN)).alias("_runs"))
-    base = F.concat(*[_of_kind(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])])
-    rows = rows.withColumn("base", F.array_sort(base))
-    outside = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-    return rows.withColumn("runs", outside).drop("_text", "_assign", "_access", "_hex", "_runs")
+    runs = _matches(text, RUN, text.rlike(RUN))
+    found = _bound(F.struct(assign.alias("assign"), access.alias("access"), hexes.alias("hex"), runs.alias("runs")), lambda m: F.struct(
+        F.array_sort(F.concat(*[_of_kind(m[k], i) for i, k in enumerate(KINDS[:3])])).alias("base"),
+        F.filter(m["runs"], lambda r: ~(_meets(m["assign"], r) | _meets(m["access"], r) | _meets(m["hex"], r))).alias("runs")))
+    kept = F.struct(*[F.col(c) for c in docs.columns if c not in (text_column, "base", "runs")])
+    return docs.select(kept.alias("kept"), found.alias("found")).select("kept.*", "found.base", "found.runs")
 
 
 def _steps(value: Column) -> Column:
@@ -70,15 +88,18 @@ def _steps(value: Column) -> Column:
     return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * CODES + b)
 
 
-def train(found: DataFrame) -> list[float] | None:
-    """Log ratios of all character steps, random against ordinary, from all rows of ``find_spans``.
+def train(found: DataFrame, labelled: DataFrame | None = None) -> list[float] | None:
+    """Log ratios of all character steps, random against ordinary, from all rows of ``find_spans``, or from ``labelled``.
 
-    Samples labelled random are the values of base spans, those labelled ordinary the runs outside of them. What reaches the
+    ``labelled`` has ``value`` (a string) and ``random`` (whether it is a key); rows with a null in either are left out. Without it,
+    samples labelled random are the values of base spans, those labelled ordinary the runs outside of them. What reaches the
     driver is a count for each step and label, bounded by the alphabet. None if one label has no sample.
     """
-    random = found.select(F.explode("base.value").alias("value"), F.lit(True).alias("random"))
-    ordinary = found.select(F.explode("runs.value").alias("value"), F.lit(False).alias("random"))
-    steps = random.union(ordinary).select("random", F.explode(_steps(F.col("value"))).alias("step"))
+    if labelled is None:
+        random = found.select(F.explode("base.value").alias("value"), F.lit(True).alias("random"))
+        labelled = random.union(found.select(F.explode("runs.value").alias("value"), F.lit(False).alias("random")))
+    labelled = labelled.filter("value is not null and random is not null")
+    steps = labelled.select("random", F.explode(_steps(F.col("value"))).alias("step"))
     counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect():
         counts[r["random"]][r["step"]] = r["n"]
@@ -111,14 +132,14 @@ def judge(found: DataFrame, ratios: list[float] | None) -> DataFrame:
     return found.withColumn("spans", F.array_sort(F.concat("base", added))).drop("runs")
 
 
-def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text_column: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` without the text, with its secrets: ``base`` and ``spans``, both by start, then kind.
 
-    Models are trained on all documents given. A null text is an empty one; texts without a match have empty lists; every row
+    Models are trained on ``labelled`` (see ``train``) or on all documents given. Columns named base, runs or spans are replaced. A null text is an empty one; texts without a match have empty lists; every row
     is scanned on its own, so repeated rows and null ids do no harm; an empty table gives an empty result.
     """
     found = stored(find_spans(docs, text_column), "spans")
-    return judge(found, train(found))
+    return judge(found, train(found, labelled))
 
 
 def as_text(spans: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -88,6 +89,53 @@ def test_markov_adds_random_strings(spark):
     assert all(s.startswith("assign:0:") for d, s in spans.items() if d < 300)
 
 
+def test_runs_outside_of_base_spans(spark):
+    rng = random.Random(5)
+    parts = ["token=abcdefgh", "AKIA" + "B" * 16, "f" * 24, "f" * 20, "someIdentifierName", "-/+", " ", "=", "secret: ", "é😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, 7, "mine") for i, t in enumerate(texts)], "doc_id long, text string, base int, runs string")
+    for r in secret_scan.find_spans(docs).collect():
+        text = texts[r.doc_id]
+        base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in base_spans(text).split(",") if x)]
+        want = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+        want = [(a, b) for a, b in want if not any(c < b and a < d for c, d in base)]
+        assert [(x.start, x.stop) for x in r.runs] == want and [(x.start, x.stop) for x in r.base] == [x for x in base]
+
+
+def test_scan_time_is_about_linear_in_the_matches(spark):
+    def seconds(n):
+        text = " ".join(f"token=abcdef{i:06d} fooBarBazQuux{i:08d}x" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.monotonic()
+        row = secret_scan.find_spans(docs).select(F.size("base").alias("b"), F.size("runs").alias("r")).first()
+        assert (row.b, row.r) == (n, n)
+        return time.monotonic() - start
+
+    seconds(1000)
+    assert seconds(64000) < 3 * seconds(32000) + 2
+
+
+def test_labelled_strings_recall_and_false_alarms(spark):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = "load file name user account order total parse stream token buffer index node value merge table query column batch session cluster".split()
+    key = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 48)))
+
+    def name():
+        picked = [rng.choice(words) for _ in range(rng.randrange(4, 7))]
+        return rng.choice([lambda: "_".join(picked), lambda: "".join(w.title() for w in picked), lambda: "-".join(picked), lambda: "/".join(picked)])() + rng.choice(["", "2", "_v10"])
+
+    rows = [(key(), True) for _ in range(800)] + [(name(), False) for _ in range(800)] + [(None, True), ("x", None)]
+    labelled = spark.createDataFrame(rows, "value string, random boolean")
+    held = [(i, (key() if i % 2 else name()), i % 2 == 1) for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"see {v} here") for i, v, _ in held], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(docs, labelled=labelled).collect()}
+    judged = [(i, v, is_key) for i, v, is_key in held if len(v) >= 16]
+    recall = np.mean([bool(spans[i]) for i, _, is_key in judged if is_key])
+    false = np.mean([bool(spans[i]) for i, _, is_key in judged if not is_key])
+    assert recall > 0.95 and false < 0.02, (recall, false)
+
+
 # --- language
 
 def test_language_held_out(spark):

@@ -152,7 +152,7 @@ MIX = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 @query("op7_soft_mixing")
 def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated, names = mixing.mix(docs.select("doc_id", "text"), mixing.labelled_rows(docs, labels), MIX)
+    rated, names = mixing.mix(docs.select("doc_id", "text"), mixing.labelled_rows(docs, labels), MIX, keep=True)
     p = {d: F.element_at("p", i + 1) for i, d in enumerate(names)}
     return rated.select("doc_id", "tokens", *[F.round(p.get(d, F.lit(0.0)), 6).alias(f"p_{d}") for d in MIX], F.round("rate", 6).alias("rate"))
 

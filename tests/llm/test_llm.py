@@ -414,6 +414,29 @@ def test_the_fit_ends_only_at_its_targets_or_best(spark, which):
         assert np.allclose(list(mixing.reached(rates, sorted(targets)).values()), totals / totals.sum())
 
 
+def test_posteriors_brute_force(spark):
+    rng = random.Random(2)
+    usual = [f"w{i}" for i in range(60)]
+    marks = {"high": ["fine", "sound"], "low": ["spam", "junk"], "toxic": ["vile"]}
+
+    def text(d):
+        return rng.choice([" ", "\n", " \t"]).join(rng.choices(usual, k=rng.randrange(1, 30)) + rng.choices(marks[d] + usual[:3], k=4))
+
+    rows = [(text(d), d) for d in marks for _ in range(200)]
+    model = mixing.train(spark.createDataFrame([*rows, ("x", None), (None, "low")], "text string, domain string"), "domain")
+    texts = [text(d) for d in marks for _ in range(40)] + ["", None, " \n "]
+    got = mixing.memberships(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    right = 0
+    for t, r in zip(texts, got, strict=True):
+        words = [w for w in re.split("[ \t-\r]+", t or "") if w]
+        seen = {np.int64(np.uint64(xxhash.xxh64_intdigest(w, 42))).item() % mixing.BUCKETS for w in words}
+        x = [prior + factor / max(len(seen), 1) ** power * sum(logs[b] for b in seen) for prior, logs, (factor, power) in (model[d] for d in sorted(model))]
+        e = np.exp(np.array(x) - max(x))
+        assert r.tokens == len(words) and np.allclose(r.p, e / e.sum())
+        right += r.doc_id < 120 and sorted(marks)[int(np.argmax(r.p))] == list(marks)[r.doc_id // 40]
+    assert right > 100
+
+
 def test_mixing_odd(spark):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for marks in (labels, labels.limit(0)):

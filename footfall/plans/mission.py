@@ -1,6 +1,6 @@
 """The processing chain for all recordings at once: streams -> synced -> metrics -> slopes -> patches.
 
-Every stage writes its table (partitioned by recording) and the next one reads it back, as the stages are also useful on
+Every stage writes its table (in folders of recordings) and the next one reads it back, as the stages are also useful on
 their own: a stage can be rerun, and no stage drags the lineage of the ones before it.
 """
 
@@ -19,7 +19,7 @@ from footfall.operators import alignment as al, metrics as me, ordered as o, pat
 from footfall.operators.ordered import Axis
 from footfall.operators.orientation import quaternion_blocks
 from footfall.sources.signals import signal_scan
-from footfall.sources.storage import manifest, write_metrics, write_patches, write_table
+from footfall.sources.storage import manifest, read_table, write_metrics, write_patches, write_table
 
 
 @dataclass(frozen=True)
@@ -115,16 +115,16 @@ def run(spark: SparkSession, signals: Mapping[str, DataFrame], out: str, cfg: Ma
     """
     hz = int(settings.hz)
     write_metrics(sync(signals, settings), f"{out}/synced", hz, separate=False)
-    synced = spark.read.parquet(f"{out}/synced").where(f"kind = 'synced' AND hz = {hz}").drop("kind", "hz")
+    synced = read_table(spark, f"{out}/synced").where(f"kind = 'synced' AND hz = {hz}").drop("kind", "hz")
     manifest(synced, {"hz": hz, "tolerance_s": settings.tolerance_s, "direction": settings.direction}).write.mode(
         "overwrite").parquet(f"{out}/manifest")
     axis = Axis(("mission",), "t", settings.chunk_s)
     write_metrics(me.compute(synced, metric_names, cfg, axis), f"{out}/metrics", hz)
-    table = spark.read.parquet(f"{out}/metrics").drop("kind", "hz")
+    table = read_table(spark, f"{out}/metrics").drop("kind", "hz")
     terrain = {k: patch_options.get(k) for k in ("cells", "georef", "rasters")}
     if all(v is not None for v in terrain.values()) and {"lat", "lon"} <= set(table.columns) and quaternion_blocks(table):
         write_table(slopes(table, **terrain), f"{out}/slopes", overwrite=True)
-        table = spark.read.parquet(f"{out}/slopes")
+        table = read_table(spark, f"{out}/slopes")
     found, _ = patches(table, cfg, metrics=metric_names, chunk_s=settings.chunk_s, **patch_options)
     write_patches(found, {"hz": hz, **{k: v for k, v in patch_options.items() if isinstance(v, (int, float))}}, f"{out}/patches")
-    return spark.read.parquet(f"{out}/patches")
+    return read_table(spark, f"{out}/patches")

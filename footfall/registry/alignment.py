@@ -63,7 +63,7 @@ LARGEST_SEQ = " QUALIFY row_number() OVER (PARTITION BY mission, t ORDER BY seq
 
 
 def _register_asof(direction):
-    exact = direction == "backward"
+    exact = direction != "nearest"
 
     @query(f"C3_asof_{direction}", sql(
         f"SELECT mission, i, {r('t', 'v')} FROM ({_asof_sql('click', direction, TOLERANCE, last=LARGEST_SEQ if exact else '')})",

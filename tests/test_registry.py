@@ -32,7 +32,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("direction", ["backward"])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
 def test_asof_matches_sql_on_long_recordings(spark, tmp_path, direction):
     """Samples thirty days apart meet ticks exactly, and some times have two samples: both sides take the same one."""
     con = duckdb.connect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ BLOCK_ROWS, FANOUT = 65_536, 64  # rows of one block of path, and blocks that ar
 CHUNK_S = 3600.0  # seconds of one chunk where patches are scanned by time
 DISTANCE_SHARE = 0.9  # fixed value: a patch must be walked for this share of its size
 TIME_SLACK_S = 1e-3  # fixed value: tolerance of the time-containment rule
+DISTANCE_SLACK_M = 1e-6  # fixed value: distances along a path are sums, whose last digits depend on their order
 TRIM = (0.05, 0.95)  # fixed values: percentiles of the robust summaries
 
 
@@ -73,8 +75,30 @@ def travelled(df: DataFrame, axis: Axis, coordinates: Sequence[str], distance: s
     return based.withColumn(out, F.col("_max") - F.col("_d0")).drop("_d0", "_max")
 
 
-def _next_targets(d: np.ndarray, stride: float) -> np.ndarray:
-    return np.searchsorted(d, d + stride, side="left")
+class Chains:
+    """Rows of a block in path order; every entry row is followed to the target it leaves with. Chains that meet go on as one."""
+
+    def __init__(self, first: float, stride: float):
+        self.reach, self.stride, self.entering = first + stride, stride, True
+        self.entries, self.joined, self.targets, self.live = [], [], [], deque()
+
+    def add(self, d: float) -> None:
+        enters, self.entering = self.entering, self.entering and d < self.reach
+        if not enters and self.targets[self.live[0]] > d:
+            return
+        here = len(self.joined)
+        while self.live and self.targets[self.live[0]] <= d:
+            self.joined[self.live.popleft()] = here
+        self.joined.append(here)
+        self.targets.append(d + self.stride)
+        self.live.append(here)
+        if enters:
+            self.entries.append((d, here))
+
+    def exits(self) -> list[tuple[float, float]]:
+        for k in range(len(self.joined) - 1, -1, -1):
+            self.targets[k] = self.targets[self.joined[k]]
+        return [(d, self.targets[k]) for d, k in self.entries]
 
 
 @dataclass(frozen=True)
@@ -142,7 +166,8 @@ def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dis
 
     The rule is sequential. It is split into blocks of rows, however far apart these are: inside a block every possible
     entry row is followed to the target it leaves with (entries lie within one stride of the block's start). These maps are
-    composed in a tree (``_targets``), and the blocks are walked again from their real entries. Blocks run in parallel.
+    composed in a tree (``_targets``), and the blocks are walked again from their real entries. Blocks run in parallel, and a task
+    streams through many of them, as most recordings are one short block.
     """
     if stride <= 0:
         raise ValueError("the stride must be positive")
@@ -151,35 +176,45 @@ def patch_centers(df: DataFrame, axis: Axis, stride: float, distance: str = "dis
     first_rows = df.groupBy(*keys, distance).agg(F.min(axis.position()).alias("_at"))
     numbered = o.positions(first_rows, Axis(axis.keys, distance, stride * STRIDES_PER_CHUNK), "_row")
     first_rows = materialize(numbered.withColumn("_blk", F.floor(F.col("_row") / block_rows)).drop("_row"))
-    lean = first_rows.select(*keys, "_blk", F.col(distance).alias("_d"))
+    lean = first_rows.select(*keys, "_blk", F.col(distance).alias("_d")).dropna(subset=keys)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema.fields if f.name in keys)
+    names = [*keys, "_blk", "_d"]
 
-    def exits(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_d")
-        d = block["_d"].to_numpy()
-        jump, itself = _next_targets(d, stride), np.arange(len(d))
-        last = np.where(jump < len(d), jump, itself)
-        while True:  # pointer doubling: last row of the chain from each row
-            twice = last[last]
-            if (twice == last).all():
-                break
-            last = twice
-        reach = min(np.searchsorted(d, d[0] + stride, side="left") + 1, len(d))
-        return block.iloc[:reach].assign(_exit=d[last[:reach]] + stride)
-
-    entries = materialize(lean.groupBy(*keys, "_blk").applyInPandas(exits, f"{key_schema}, _blk bigint, _d double, _exit double"))
-    entered = _targets(entries, keys, key_schema, stride, fanout)
-
-    def walk(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_d").reset_index(drop=True)
-        d = block["_d"].to_numpy()
-        jump, row, rows = _next_targets(d, stride), int(np.searchsorted(d, block["_target"].iloc[0])), []
-        while row < len(d):
-            rows.append(row)
-            row = int(jump[row])
-        return block.loc[rows, [*keys, "_d"]]
-
-    walked = lean.join(entered, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(walk, f"{key_schema}, _d double")
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, chains = None, None
+        for batch in batches:
+            found = []
+            for *at, d in zip(*[batch[c].tolist() for c in names], strict=True):
+                if at != block:
+                    found += [(*block, *e) for e in chains.exits()] if chains else []
+                    block, chains = at, Chains(d, stride)
+                chains.add(d)
+            yield pd.DataFrame(found, columns=[*names, "_exit"])
+        yield pd.DataFrame([(*block, *e) for e in chains.exits()] if chains else [], columns=[*names, "_exit"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, target = None, None
+        for batch in batches:
+            found = []
+            for row, (*at, d, start) in enumerate(zip(*[batch[c].tolist() for c in (*names, "_target")], strict=True)):
+                if at != block:
+                    block, target = at, start
+                if d >= target:
+                    found.append(row)
+                    target = d + stride
+            yield batch.iloc[found][[*keys, "_d"]]
+
+    def in_path_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*keys, "_blk").sortWithinPartitions(*names)
+
+    # a recording of one block is entered at its first row; only longer ones need to know what they are entered with
+    long = materialize(lean.groupBy(*keys).agg(F.max("_blk").alias("_top")).where("_top > 0").drop("_top"))
+    wanted = lean.withColumn("_target", F.lit(-math.inf))
+    if not long.isEmpty():
+        entries = materialize(in_path_order(lean.join(long, keys)).mapInPandas(exits, f"{key_schema}, _blk bigint, _d double, _exit double"))
+        entered = _targets(entries, keys, key_schema, stride, fanout)
+        wanted = lean.join(entered, [*keys, "_blk"], "left").withColumn("_target", F.coalesce("_target", F.lit(-math.inf)))
+    walked = in_path_order(wanted).mapInPandas(walk, f"{key_schema}, _d double")
     at = first_rows.select(*keys, F.col(distance).alias("_d"), "_at")
     located = walked.join(at, [*keys, "_d"]).select(
         *keys, F.col("_d").alias("center_dist"), *[F.col(f"_at.{c}").alias(c) for c in (axis.order, *axis.ties)])
@@ -221,12 +256,15 @@ def members_in_square(rows: DataFrame, centers: DataFrame, keys: Sequence[str],
 
 def members_in_distance(rows: DataFrame, centers: DataFrame, keys: Sequence[str], size: float, distance: str = "dist_run",
                         order: str = "t", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Without coordinates: rows within half a patch of the centre along the path (``centers`` has center_dist)."""
+    """Without coordinates: rows within half a patch of the centre along the path (``centers`` has center_dist).
+
+    A row at just half a patch belongs to it, whatever the last digits of the summed distances are.
+    """
     side = F.lit(float(size))
     placed = rows.where(F.col(distance).isNotNull()).withColumn("_b", F.floor(F.col(distance) / side))
     spread = centers.select(*keys, "patch_id", "center_dist").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("center_dist") / side) - 1, F.floor(F.col("center_dist") / side) + 1)))
-    inside = F.abs(F.col(distance) - F.col("center_dist")) <= side / 2
+    inside = F.abs(F.col(distance) - F.col("center_dist")) <= side / 2 + F.lit(DISTANCE_SLACK_M)
     return _bucket_join(placed, spread, [*keys, "_b"], order, rows_per_task).where(inside).select(*rows.columns, "patch_id")
 
 

@@ -99,7 +99,7 @@ def _(spark, sf):
 
 
 @query("H6_distance_members", psql(
-    "SELECT run.mission, patch_id, run.seq FROM run JOIN centers ON run.mission = centers.mission AND abs(dist_run - center_dist) <= 10.0"))
+    "SELECT run.mission, patch_id, run.seq FROM run JOIN centers ON run.mission = centers.mission AND abs(dist_run - center_dist) <= 10.0 + 1e-6"))
 def _(spark, sf):
     walked = _walked(spark, sf)
     return pa.members_in_distance(walked, _centers(walked), ["mission", "segment_id"], SIZE).select(*PATCH, "seq")

@@ -162,6 +162,25 @@ def test_patch_centers_do_not_depend_on_blocks(spark, block_rows, fanout):
         assert sorted(got[got.g == g].center_dist) == pytest.approx(expected)
 
 
+def test_short_recordings_share_a_task(spark):
+    """Many recordings of one block: a task streams through them, and Python is not called once for each."""
+    rng = np.random.default_rng(12)
+    frame = pd.DataFrame({"g": np.repeat(np.arange(700), 20), "t": np.tile(np.arange(20.0), 700), "dist_run": np.round(rng.random(14_000) * 3, 2)})
+    frame["dist_run"] = frame.groupby("g").dist_run.cumsum().round(2)
+    found = pa.patch_centers(spark.createDataFrame(frame), Axis(("g",), "t", 50.0), 2.5)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = found.toPandas().groupby("g").center_dist.apply(sorted)
+    for g, rows in frame.groupby("g"):
+        assert got[g] == greedy_centers(rows.dist_run.to_numpy(), 2.5)
+
+
+def test_a_row_at_half_a_patch_is_a_member(spark):
+    """Ten metres from the centre in sums that were added up in different orders."""
+    rows = spark.createDataFrame([(1, 0.0, 1103.1 - 1e-12), (1, 1.0, 1113.1 + 1e-12), (1, 2.0, 1113.1 + 1e-5)], "m int, t double, dist_run double")
+    centers = spark.createDataFrame([(1, 7, 1103.1)], "m int, patch_id int, center_dist double")
+    assert sorted(r.t for r in pa.members_in_distance(rows, centers, ["m"], 20.0).collect()) == [0.0, 1.0]
+
+
 def test_one_recording_is_many_blocks(spark):
     """A million distances of one recording: no task gets more rows than a block has."""
     n = 1_000_000

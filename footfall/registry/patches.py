@@ -194,9 +194,10 @@ def _(spark, sf):
 
 
 # ---- robot ----
-def stats_sql(value, name, digits=6):
-    return (f"round(avg({value}), {digits}) + 0.0 AS {name}_mean, round(quantile_cont({value}, 0.05), {digits}) + 0.0 AS {name}_min, "
-            f"round(quantile_cont({value}, 0.95), {digits}) + 0.0 AS {name}_max")
+def stats_sql(value, name, digits=6, shown="{}"):
+    mean, low, high = (shown.format(v) for v in (f"avg({value})", f"quantile_cont({value}, 0.05)", f"quantile_cont({value}, 0.95)"))
+    return (f"round({mean}, {digits}) + 0.0 AS {name}_mean, round({low}, {digits}) + 0.0 AS {name}_min, "
+            f"round({high}, {digits}) + 0.0 AS {name}_max")
 
 
 def stat_names(*names):
@@ -219,11 +220,17 @@ BEARING = ("round(CASE WHEN avg(sg*qw_WB) < 0 THEN -1 ELSE 1 END * avg(sg*qw_WB)
            "round(CASE WHEN avg(sg*qw_WB) < 0 THEN -1 ELSE 1 END * avg(sg*qz_WB) / sqrt(avg(sg*qw_WB)**2 + avg(sg*qz_WB)**2), 4) + 0.0 bearing_qz")
 
 
+STEADY = 9  # digits kept before the last rounding, so that a figure at half a unit does not follow the order of its sum
+STEADY_SQL = f"round({{}}, {STEADY})"
+
+
 @query("H13_robot_summary", psql(
-    f"SELECT mission, patch_id, {SPAN_SQL}, {stats_sql('power', 'metric_power', 3)}, {stats_sql('v_actual', 'speed', 4)}, {stats_sql('v_cmd', 'v_cmd', 4)}, "
+    f"SELECT mission, patch_id, {SPAN_SQL}, {stats_sql('power', 'metric_power', 3, STEADY_SQL)}, {stats_sql('v_actual', 'speed', 4, STEADY_SQL)}, "
+    f"{stats_sql('v_cmd', 'v_cmd', 4, STEADY_SQL)}, "
     f"{BEARING} FROM ({SIGN}) GROUP BY 1, 2"))
 def _(spark, sf):
     out = pa.robot_summary(_members(spark, sf), PATCH, ["power"], "t", ("seq",))
+    out = out.withColumns({n: F.round(n, STEADY) for n in stat_names("metric_power", "speed", "v_cmd")})
     power = [(F.round(n, 3) + F.lit(0.0)).alias(n) for n in stat_names("metric_power")]
     return rounded(out, [*PATCH, "samples", *power], [*SPAN, *stat_names("speed", "v_cmd"), "bearing_qw", "bearing_qz"], 4)
 

@@ -70,11 +70,21 @@ def unwrap(df: DataFrame, axis: Axis, column: str, out: str | None = None, origi
     return summed.withColumn(out or column, value).drop("_turns", "_first")
 
 
+def smooth_angles(df: DataFrame, axis: Axis, columns: Sequence[str], median_rows: int = 1, mean_rows: int = 1) -> DataFrame:
+    """Unwrap, rolling median, rolling mean, wrap again, in place; all columns share the shuffles."""
+    def turns(c: str) -> o.Running:
+        return o.pairwise(lambda here, prev: unwrap_jump_sql(f"({here('a')} - {prev('a')})"), "0.0D", {"a": F.col(c).cast("double")}, total=True)
+
+    flat = o.running(df, axis, **{f"_turns_{c}": turns(c) for c in columns}, _row=o.row_index())
+    flat = flat.withColumns({c: F.col(c) + F.col(f"_turns_{c}") for c in columns}).drop(*[f"_turns_{c}" for c in columns])
+    chain = [{"type": "moving_median", "window": median_rows}, {"type": "moving_average", "window": mean_rows}]
+    flat = filters.apply_chains(flat, axis, {c: chain for c in columns}, pos="_row")
+    return flat.withColumns({c: wrap_pi(F.col(c)) for c in columns}).drop("_row")
+
+
 def smooth_angle(df: DataFrame, axis: Axis, column: str, out: str | None = None,
                  median_rows: int = 1, mean_rows: int = 1) -> DataFrame:
-    """Unwrap, rolling median, rolling mean, wrap again."""
+    """One angle smoothed, by default in place."""
     target = out or column
-    flat = unwrap(df, axis, column, target, position="_row")
-    flat = filters.apply_chain(flat, axis, target, [
-        {"type": "moving_median", "window": median_rows}, {"type": "moving_average", "window": mean_rows}], pos="_row")
-    return flat.withColumn(target, wrap_pi(F.col(target))).drop("_row")
+    source = df if target == column else df.withColumn(target, F.col(column))
+    return smooth_angles(source, axis, [target], median_rows, mean_rows)

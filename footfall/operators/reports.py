@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from footfall.functions.angles import circular_rmse
 from footfall.operators import filters, ordered as o
 from footfall.operators.ordered import Axis
-from footfall.operators.orientation import smooth_angle
+from footfall.operators.orientation import smooth_angles
 from footfall.operators.quantiles import quantiles
 from footfall.operators.raster import local_coordinates
-from footfall.session import materialize
 
 QUARTER_TURNS = (0, 90, 180, 270)
 LEAST_MOVING = 10  # fixed value: moving rows a heading comparison needs
@@ -122,18 +121,16 @@ def best_quarter_turn(df: DataFrame, axis: Axis, heading: str = "heading", media
     Recordings with fewer than ``least`` moving rows have their count and no turn.
     """
     dx, dy = F.col("dx"), F.col("dy")
-    turns = ((dx, dy), (-dy, dx), (-dx, -dy), (dy, -dx))
-    turned = df.select(*axis.keys, axis.order, *axis.ties, heading, "moving", F.inline(F.array(
-        *[F.struct(F.lit(rot).alias("rot"), x.alias("rx"), y.alias("ry")) for rot, (x, y) in zip(QUARTER_TURNS, turns)])))
-    yaw = materialize(turned.withColumn("yaw", F.atan2(F.col("ry") + 0.0, F.col("rx") + 0.0)).drop("rx", "ry"))
-    smooth = smooth_angle(yaw, axis.by("rot"), "yaw", median_rows=median_rows, mean_rows=mean_rows)
-    scored = smooth.where("moving").groupBy(*axis.keys, "rot").agg(
-        circular_rmse(F.col(heading), F.col("yaw")).alias("rmse"), F.count("*").alias("_n"))
-    best = scored.groupBy(*axis.keys).agg(F.max("_n").alias("_n"), F.min(F.struct("rmse", "rot")).alias("_b"))
-    enough = F.col("_n") >= least
-    return df.select(*axis.keys).distinct().join(best, list(axis.keys), "left").select(
-        *axis.keys, F.when(enough, F.col("_b.rot")).alias("rot"), F.when(enough, F.col("_b.rmse")).alias("rmse"),
-        F.coalesce("_n", F.lit(0)).alias("n_moving"))
+    turns = dict(zip(QUARTER_TURNS, ((dx, dy), (-dy, dx), (-dx, -dy), (dy, -dx))))
+    # the four directions travel in one row
+    yaw = df.select(*axis.keys, axis.order, *axis.ties, heading, "moving", *[
+        F.atan2(y + 0.0, x + 0.0).alias(f"_yaw_{rot}") for rot, (x, y) in turns.items()])
+    smooth = smooth_angles(yaw, axis, [f"_yaw_{rot}" for rot in turns], median_rows, mean_rows)
+    scored = smooth.groupBy(*axis.keys).agg(F.count_if("moving").alias("n_moving"), F.array_min(F.array(*[
+        F.struct(circular_rmse(F.when(F.col("moving"), F.col(heading)), F.col(f"_yaw_{rot}")).alias("rmse"), F.lit(rot).alias("rot"))
+        for rot in turns])).alias("_b"))
+    enough = F.col("n_moving") >= least
+    return scored.select(*axis.keys, F.when(enough, F.col("_b.rot")).alias("rot"), F.when(enough, F.col("_b.rmse")).alias("rmse"), "n_moving")
 
 
 def difference_histogram(df: DataFrame, keys: Sequence[str], value: str, min_bins: int = 20, max_bins: int = 120) -> DataFrame:

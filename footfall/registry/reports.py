@@ -114,7 +114,7 @@ PATH_SQL = f"""SELECT mission, i, dx, dy, (l_orderkey % 63) / 10.0::DOUBLE - 3.1
 
 
 def _path(spark, sf):
-    rows = fx.geo(spark, sf).withColumn("heading", (F.col("l_orderkey") % 63) / 10.0 - 3.1)
+    rows = fx.geo(spark, sf).withColumn("heading", (F.col("l_orderkey") % 63) / 10.0 - 3.1).drop("v", "l_orderkey")
     return rp.path_motion(rows, GEO_AXIS, 20.0)
 
 
@@ -140,7 +140,7 @@ BEST_SQL = f"""SELECT mission, rot, sqrt(avg(({WRAP.format(a='(heading - s)')})*
     FROM (SELECT DISTINCT mission FROM fx_geo) LEFT JOIN (
     SELECT mission, min_by(rot, {{'e': rmse, 'r': rot}}) rot, round(min(rmse), 4) + 0.0 rmse, max(n) n FROM ({BEST_SQL}) GROUP BY 1) USING (mission)""", "fx_geo"))
 def _(spark, sf):
-    best = rp.best_quarter_turn(materialize(_path(spark, sf)), GEO_AXIS, mean_rows=5)
+    best = rp.best_quarter_turn(_path(spark, sf), GEO_AXIS, mean_rows=5)
     return rounded(best, ["mission", "rot", "n_moving"], ["rmse"], 4)
 
 

@@ -47,3 +47,13 @@ def test_a_slow_average_remembers_everything(spark, monkeypatch, adjust):
     ({"actuator": {"R": 2, "k_t": 0, "G": 4}}, None), ({"motor": {"R": -1, "k_t": 1, "G": 4}}, None), ({}, None)])
 def test_heat_factor(cfg, factor):
     assert me.heat_factor(cfg) == factor and me.mass_and_gravity({"robot": {"mass_kg": 30}}) == (30.0, me.DEFAULT_GRAVITY)
+
+
+def test_quarter_turns_travel_in_one_row(spark):
+    """The path of a robot whose heading is a quarter turn ahead; rows are not repeated for each turn."""
+    rows = spark.range(40).selectExpr("1 AS g", "double(id) AS t", "pmod(atan2(sin(id * 0.3D), cos(id * 0.3D)) + pi() / 2 + pi(), 2 * pi()) - pi() AS heading",
+                                      "id > 5 AS moving", "cos(id * 0.3D) AS dx", "sin(id * 0.3D) AS dy")
+    found = rp.best_quarter_turn(rows, Axis(("g",), "t", 7.0), median_rows=3)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    [row] = found.collect()
+    assert (row.rot, row.n_moving) == (90, 34) and row.rmse < 0.05

@@ -418,7 +418,8 @@ def patch_cost_of_transport(members: DataFrame, axis: Axis, cfg: Mapping, power:
     work = work.withColumns({"_ok": ok, "_idle": F.coalesce(F.col("_c") < max(least, 0.0), F.lit(False)), "_turn": turning})
     work = me.dilate(work.select(*keys, t, *axis.ties, "_p", "dist_m", "_ok", "_idle", "_turn"), axis, {
         "_idle": float(p.get("min_cmd_speed_pad_s", 0.0)), "_turn": float(p.get("turn_only_pad_s", 0.0))})
-    work = work.withColumn("_ok", F.col("_ok") & ~F.col("_idle") & ~F.col("_turn")).drop("_idle", "_turn")
+    # read by every pass of the quantiles and by the join with them
+    work = materialize(work.withColumn("_ok", F.col("_ok") & ~F.col("_idle") & ~F.col("_turn")).drop("_idle", "_turn"))
     ends = quantiles(work.where("_ok"), keys, "_p", TRIM, ["_lo", "_hi"])
     work = work.join(ends, keys, "left").withColumn(
         "_core", F.coalesce(F.col("_ok") & (F.col("_p") >= F.col("_lo")) & (F.col("_p") <= F.col("_hi")), F.lit(False)))

@@ -80,7 +80,7 @@ def _centers(walked):
 def _members(spark, sf):
     walked = _walked(spark, sf)
     centers = _centers(walked)
-    return pa.members_in_square(walked, centers, ["mission", "segment_id"], SIZE, "x", "y")
+    return materialize(pa.members_in_square(walked, centers, ["mission", "segment_id"], SIZE, "x", "y"))
 
 
 @query("H3_running_distance", sql(f"SELECT mission, seq, {r('dist_run')} FROM run", "fx_motion", run=RUN_SQL))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.ordered import Axis
+from footfall.session import parts_for
 
 # five days: a recording of the event log spans several chunks
 CHUNK_SECONDS = 432_000.0
@@ -119,9 +120,16 @@ def transforms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def joint_messages(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").join(
-        table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def joint_parts(spark: SparkSession, sf: str) -> int:
+    """Parts for the joint messages, by the rows they are made of (known from the footers of the files)."""
+    return parts_for(spark, table(spark, sf, "orders").count() + table(spark, sf, "lineitem").count())
+
+
+def joint_messages(spark: SparkSession, sf: str, parts: int) -> DataFrame:
+    # joined, collected and sorted in one stage: parts by rows keep its tasks small (a sort-merge join takes the
+    # session's number of parts where that is larger)
+    lines = table(spark, sf, "lineitem").repartition(parts, "l_orderkey").join(
+        table(spark, sf, "orders").repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.groupBy(F.col("o_custkey").alias("mission"), F.col("o_orderkey").alias("seq")).agg(
         F.sort_array(F.collect_list(F.concat(F.lit("j"), F.col("l_linenumber").cast("string")))).alias("names"),
         F.sort_array(F.collect_list(F.col("l_quantity").cast("double"))).alias("pos"),

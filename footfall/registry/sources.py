@@ -107,17 +107,16 @@ JOINTS_SQL = """SELECT mission, seq, t, joint, q, qd, tau FROM (SELECT mission,
     unnest(list_transform(pos, lambda p: CASE WHEN p > 25 THEN p END)) tau FROM fx_joints) WHERE coalesce(q, qd, tau) IS NOT NULL"""
 
 
-def _joints(spark, sf):
-    shaped = fx.joint_messages(spark, sf).select(
+def _joint_messages(spark, sf, parts):
+    return fx.joint_messages(spark, sf, parts).select(
         "mission", "seq", "t", F.col("names").alias("name"), F.col("pos").alias("position"),
         F.slice("pos", F.lit(2), F.greatest(F.size("pos") - 1, F.lit(0))).alias("velocity"),
         F.transform("pos", lambda p: F.when(p > 25, p)).alias("effort"))
-    return ms.flatten_joints(shaped)
 
 
 @query("A8_joint_flatten", sql(f"SELECT mission, seq, joint, {r('q', 'qd', 'tau')} FROM ({JOINTS_SQL})", "fx_joints"))
 def _(spark, sf):
-    return rounded(_joints(spark, sf), ["mission", "seq", "joint"], ["q", "qd", "tau"])
+    return rounded(ms.flatten_joints(_joint_messages(spark, sf, fx.joint_parts(spark, sf))), ["mission", "seq", "joint"], ["q", "qd", "tau"])
 
 
 NAMES = [f"j{k}" for k in range(1, 8)]
@@ -130,8 +129,10 @@ WIDE = [f"{kind}_{j}" for kind in ("q", "qd", "tau") for j in NAMES]
     "fx_joints"))
 def _(spark, sf):
     # several messages share a time, so the last value counts
-    tall = _joints(spark, sf).withColumns({"t": F.floor(F.col("t") / 3).cast("double"),
-                                           "seq": F.col("seq") * 10 + F.substring("joint", 2, 9).cast("int")})
+    parts = fx.joint_parts(spark, sf)
+    timed = _joint_messages(spark, sf, parts).withColumn("t", F.floor(F.col("t") / 3).cast("double"))
+    tall = ms.flatten_joints(ms.place_messages(timed, parts))
+    tall = tall.withColumn("seq", F.col("seq") * 10 + F.substring("joint", 2, 9).cast("int"))
     return rounded(ms.pivot_joints(tall, NAMES), ["mission", "t"], WIDE)
 
 

@@ -39,6 +39,16 @@ def ship_package(spark: SparkSession) -> None:
     context._footfall_shipped = True
 
 
+# input rows of one task that sorts or groups them in memory; with smaller parts, map tasks would sooner (from 200 parts on)
+# have to sort what they write, which takes more memory than the parts save
+TASK_ROWS = 1_500_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Parts for a shuffle whose number follows the rows, so that the memory of a task does not."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names; only a session without one gets a scratch folder."""
     context = spark.sparkContext

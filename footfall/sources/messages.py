@@ -86,6 +86,14 @@ def flatten_transforms(df: DataFrame, keep: Sequence[str] = ("mission",)) -> Dat
     return named.where("parent <> '' AND child <> '' AND qw IS NOT NULL")
 
 
+def place_messages(df: DataFrame, parts: int, keys: Sequence[str] = ("mission",)) -> DataFrame:
+    """Joint messages of one time in one of ``parts`` parts; flattened from there, ``pivot_joints`` needs no shuffle.
+
+    A message travels whole, which is less than its wide row, and with parts by the number of messages a task of the pivot holds few.
+    """
+    return df.repartition(parts, *keys, "t")
+
+
 def flatten_joints(df: DataFrame, keep: Sequence[str] = ("mission",)) -> DataFrame:
     """One row per joint and message from parallel arrays; a shorter array gives nulls, rows without any value are dropped."""
     zipped = df.select(*keep, "t", "seq", F.explode(F.arrays_zip("name", "position", "velocity", "effort")).alias("_j"))
@@ -103,5 +111,6 @@ def pivot_joints(tall: DataFrame, joints: Sequence[str], keys: Sequence[str] = (
     def last(kind: str, joint: str) -> Column:
         return F.max_by(kind, F.when((F.col("joint") == joint) & F.col(kind).isNotNull(), F.col("seq"))).alias(f"{kind}_{joint}")
 
-    # values and numbers of fixed width: aggregated before the shuffle, which moves one row per time and input part
+    # values and numbers of fixed width: aggregated before the shuffle, which moves one row per time and input part;
+    # rows of placed messages are not shuffled again
     return tall.groupBy(*keys, "t").agg(*[last(k, j) for k in ("q", "qd", "tau") for j in joints])

@@ -5,10 +5,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from footfall import session
 from footfall.operators import alignment as al, filters as fl, frames as fr, ordered as o, patches as pa
 from footfall.operators import quantiles as qu
 from footfall.operators.ordered import Axis
 from footfall.operators.quantiles import quantiles
+from footfall.registry import load_all
+from footfall.registry.base import QUERIES
+from footfall.sources import messages as ms
 
 WIDTHS = (3.0, 1e9)
 
@@ -276,3 +280,34 @@ def test_a_chain_of_nested_patches_takes_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == sorted(kept_patches(frame, in_space)) and len(got) == n // 2
     assert len(jobs) < 40
+
+
+@pytest.mark.parametrize("name, most", [("A9_joint_pivot", 2_000), ("A8_joint_flatten", 8_000)])
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_tasks_on_joint_messages_do_not_follow_the_input(spark, monkeypatch, name, most, threshold):
+    load_all()
+    monkeypatch.setattr(session, "TASK_ROWS", 10**9, raising=False)
+    whole = QUERIES[name](spark, "/root/testdata/sf0.01").persist()
+    monkeypatch.setattr(session, "TASK_ROWS", 5_000, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        dealt = QUERIES[name](spark, "/root/testdata/sf0.01")
+        tasks = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) == 15 and max(tasks) < most  # 75,000 rows
+        assert dealt.exceptAll(whole).isEmpty() and sum(tasks) == whole.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        whole.unpersist()
+
+
+def test_placed_messages_are_not_shuffled_again(spark):
+    rows = [(g, None if i % 40 == 0 else float(i % 7), i, ["a", "b"][:1 + i % 2], [i * 1.0, None if i % 3 else i * 2.0], [i * 3.0], [None, i * 1.0])
+            for g in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "mission long, t double, seq long, name array<string>, position array<double>, "
+                                     "velocity array<double>, effort array<double>").repartition(3)
+    placed = ms.pivot_joints(ms.flatten_joints(ms.place_messages(df, 5)), ["a", "b"])
+    free = ms.pivot_joints(ms.flatten_joints(df), ["a", "b"])
+    assert placed.count() == free.count() == 16 and placed.exceptAll(free).isEmpty()
+    for out in (placed, free):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1

@@ -39,7 +39,7 @@ def ship_package(spark: SparkSession) -> None:
     context._footfall_shipped = True
 
 
-# input rows of one task that sorts or groups them in memory; with smaller parts, map tasks would sooner (from 200 parts on)
+# input rows of one task that sorts or groups them in memory; with smaller parts, map tasks would sooner (beyond 200 parts)
 # have to sort what they write, which takes more memory than the parts save
 TASK_ROWS = 1_500_000
 

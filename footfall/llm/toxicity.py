@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Channel costs in nats: a stand-in character, and a digit or mark kept as it is; a gap between single characters dropped and kept;
 #: a gap next to a longer piece dropped (kept for nothing); a repeat dropped where a letter comes three times or stands alone, and else.
 SWAP, KEEP_MARK, DROP_GAP, KEEP_GAP, DROP_PIECE, DROP_REPEAT, DROP_PAIR = 1.0, 9.0, 0.5, 4.0, 4.0, 1.0, 3.0
-#: Spans, runs and pairs of pieces remembered by a worker, and the longest of them.
+#: Words and stretches, and pairs of pieces, remembered by a worker, and the longest of them.
 REMEMBERED, LONGEST_KNOWN = 100_000, 64
 #: Labelled rows that the classifier is fitted on, about; traits it may use; toxic rows of the sample that a trait must occur in.
 SAMPLE, TRAITS, LEAST_ROWS = 20_000, 200, 5
@@ -37,6 +38,7 @@ _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[224:256] = np.arange(27, 59)
 _CLASS[247] = 0
+_CLASSES = _CLASS.tolist()
 
 _L = "a-zà-öø-ÿ"
 _M = re.escape("".join(LEET))
@@ -45,6 +47,7 @@ _G = r"\s.,:;/\\_*~\-"
 _PIECE = rf"(?:([{_L}{_M}])\%d{{4,}}|[{_L}{_M}]{{1,4}})(?![{_L}{_M}0-9])"
 _PIECES = re.compile(rf"(?<![{_L}{_M}0-9]){_PIECE % 1}(?:[{_G}]++{_PIECE % 2})+")
 _PARTS = re.compile(rf"[{_G}]+|[^{_G}]+")
+_GAPS = re.compile(rf"[{_G}]+")
 _ODD = re.compile(
     # a word with stand-ins among its letters
     rf"(?<![{_L}{_M}])(?:[{_L}]++(?:[0-9@$]|[!|+]++[{_L}])|[{_M}]++[{_L}])[{_L}{_M}]*(?<![!|+])"
@@ -92,7 +95,7 @@ def char_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
 
 
 def _class(ch: str) -> int:
-    return int(_CLASS[ord(ch)]) if ch and ord(ch) < 256 else 0
+    return _CLASSES[ord(ch)] if ch and ord(ch) < 256 else 0
 
 
 @dataclass(frozen=True)
@@ -112,6 +115,22 @@ def _piece(text: str) -> Piece:
     return Piece((k[1][0], k[1][1]), (k[0][0], k[0][1]), len(set(text)) == 1, bool(_LETTERS.search(text)), bool(_STAND_INS.search(text)))
 
 
+class Memory(dict):
+    """What ``found`` says of a key, remembered unless its text is long."""
+
+    def __init__(self, found: Callable, size: Callable = len):
+        super().__init__()
+        self.found, self.size = found, size
+
+    def __missing__(self, key):
+        value = self.found(key)
+        if self.size(key) <= LONGEST_KNOWN:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Decoder:
     """Restores obfuscated spans of a lower-cased text.
 
@@ -122,9 +141,9 @@ class Decoder:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
-        self.known: dict[str, str] = {}
-        self.runs: dict[str, str] = {}
-        self.gaps: dict[tuple[str, str], bool] = {}
+        self.known = Memory(self.best)
+        self.words = Memory(self._restored)
+        self.gaps = Memory(lambda pair: self._hides(*pair), lambda pair: len(pair[0]) + len(pair[1]))
 
     def steps(self, span: str) -> Iterator[list[tuple[str, float]]]:
         """The lattice: for each character, and each gap as a whole, what may come out and its cost."""
@@ -163,6 +182,12 @@ class Decoder:
             return "".join(reversed(found))
 
         for step in self.steps(span):
+            if len(paths) == len(step) == 1:
+                # one path and one way on
+                ((_, b),), c = paths, step[0][0]
+                out.append(c)
+                paths = {(b, _class(c)): (0.0, None)}
+                continue
             options = [(c, cost, _class(c) if c else -1) for c, cost in step]
             further: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (total, node) in paths.items():
@@ -188,35 +213,18 @@ class Decoder:
         c, (p, q), (r, s) = self.costs, a.tail, b.head
         return c[p][q][0] + c[q][0][r] + c[0][r][s] > c[p][q][r] + c[q][r][s] + DROP_PIECE
 
-    def _known(self, memory: dict, key, found: Callable, size: int):
-        """What ``found`` says of a key, remembered unless the text is long."""
-        if size > LONGEST_KNOWN:
-            return found(key)
-        if key not in memory:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            memory[key] = found(key)
-        return memory[key]
-
-    def _decoded(self, span: str) -> str:
-        return self._known(self.known, span, self.best, len(span))
-
     def _joined(self, match: re.Match) -> str:
-        return self._known(self.runs, match[0], self.join, len(match[0]))
-
-    def join(self, run: str) -> str:
         """A run of short pieces, with its stretches over gaps that may hide a word decoded."""
-        parts = _PARTS.findall(run)
-        names, gaps = parts[::2], self.gaps
+        run = match[0]
+        hides = list(map(self.gaps.__getitem__, pairwise(_GAPS.split(run))))
+        return self._stretches(_PARTS.findall(run), hides) if True in hides else run
+
+    def _stretches(self, parts: list[str], hides: list[bool]) -> str:
+        names = parts[::2]
         out, first = [], 0
         for last, name in enumerate(names):
-            if last + 1 < len(names):
-                pair = name, names[last + 1]
-                hides = gaps.get(pair)
-                if hides is None:
-                    hides = self._known(gaps, pair, lambda p: self._hides(*p), len(name) + len(pair[1]))
-                if hides:
-                    continue
+            if last < len(hides) and hides[last]:
+                continue
             if first == last:
                 out.append(name)
             else:
@@ -224,13 +232,12 @@ class Decoder:
                 # two single characters are an initial or a unit of measure; digits alone are numbers
                 hidden = (len(stretch) > 2 or not all(p.unit for p in stretch)) and any(p.letters for p in stretch)
                 text = "".join(parts[2 * first:2 * last + 1])
-                out.append(self._decoded(text) if hidden else text)
+                out.append(self.known[text] if hidden else text)
             out += parts[2 * last + 1:2 * last + 2]
             first = last + 1
         return "".join(out)
 
-    def _restored(self, match: re.Match) -> str:
-        span = match[0]
+    def _restored(self, span: str) -> str:
         if not _STAND_INS.search(span):
             c, padded = self.costs, f" {span} "
             for m in _PAIR.finditer(padded):
@@ -239,10 +246,11 @@ class Decoder:
                     break
             else:
                 return span
-        return self._decoded(span)
+        return self.best(span)
 
     def restore(self, text: str) -> str:
-        return _ODD.sub(self._restored, _PIECES.sub(self._joined, text.lower()))
+        words = self.words
+        return _ODD.sub(lambda match: words[match[0]], _PIECES.sub(self._joined, text.lower()))
 
 
 def words(restored: str) -> list[bytes]:
@@ -301,16 +309,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def _trait_counts(rows: DataFrame, decoder_costs, wanted=None) -> DataFrame:
-    """(trait, n): rows that each trait occurs in; only ``wanted`` ones if given."""
+def _restored(rows: DataFrame, decoder_costs) -> DataFrame:
+    """``rows`` (toxic, text) with their texts restored."""
+
+    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = Decoder(decoder_costs.value)
+        for batch in batches:
+            yield batch.assign(text=[decoder.restore(t) for t in batch["text"]])
+
+    rows = rows.select("toxic", "text")
+    return rows.mapInPandas(restore, rows.schema)
+
+
+def _trait_counts(rows: DataFrame, wanted=None) -> DataFrame:
+    """(trait, n): rows of restored texts that each trait occurs in; only ``wanted`` ones if given."""
     schema = StructType([StructField("trait", StringType()), StructField("n", LongType())])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, total = Decoder(decoder_costs.value), Counter()
+        total = Counter()
         keep = wanted.value if wanted is not None else None
         for batch in batches:
             for text in batch["text"]:
-                seen = {t for w in set(words(decoder.restore(text))) for t in traits(w)}
+                seen = {t for w in set(words(text)) for t in traits(w)}
                 total.update(seen if keep is None else seen & keep)
         names, counts = [t.hex() for t in total], list(total.values())
         for at in range(0, len(names), 20_000):
@@ -341,15 +361,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     if not n:
         return model
     drawn = marks.filter(sampling_hash(F.col("doc_id")) < min(1.0, sample_rows / n))
-    rows = stored(docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text"), "labelled")
+    shared = spark.sparkContext.broadcast(costs)
+    # a text is restored once; counts and design read it stored
+    rows = stored(_restored(docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), shared), "labelled")
     sizes = {r["t"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return model
-    shared = spark.sparkContext.broadcast(costs)
-    often = _trait_counts(rows.filter("toxic > 0"), shared).filter(F.col("n") >= LEAST_ROWS)
+    often = _trait_counts(rows.filter("toxic > 0")).filter(F.col("n") >= LEAST_ROWS)
     toxic = {bytes.fromhex(r["trait"]): r["n"] for r in often.collect()}
     wanted = spark.sparkContext.broadcast(set(toxic))
-    clean = {bytes.fromhex(r["trait"]): r["n"] for r in _trait_counts(rows.filter("toxic <= 0"), shared, wanted).collect()}
+    clean = {bytes.fromhex(r["trait"]): r["n"] for r in _trait_counts(rows.filter("toxic <= 0"), wanted).collect()}
     ranked = sorted((-_surprise(a, clean.get(t, 0), sizes[True], sizes[False]), t) for t, a in toxic.items()
                     if a / sizes[True] > clean.get(t, 0) / sizes[False])
     model = Model(costs, {t: k for k, (_, t) in enumerate(ranked[:TRAITS])})
@@ -358,9 +379,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
                          StructField("traits", ArrayType(IntegerType())), StructField("counts", ArrayType(IntegerType()))])
 
     def design(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(fitted.value.costs)
         for batch in batches:
-            found = [words(decoder.restore(t)) for t in batch["text"]]
+            found = [words(t) for t in batch["text"]]
             hits = [fitted.value.counts(w) for w in found]
             yield pd.DataFrame({"toxic": (batch["toxic"] > 0).astype("int32"), "words": [len(w) for w in found],
                                 "traits": [list(h) for h in hits], "counts": [list(h.values()) for h in hits]})

@@ -193,6 +193,28 @@ def test_long_spans_decode_as_short_ones(spark):
     assert set(decoder.restore(", the, " + one * 3000).replace("the", "").replace(",", "").split()) == set(decoder.restore(one * 50).split())
 
 
+def test_words_are_judged_once(spark):
+    class Counted(toxicity.Decoder):
+        judged = 0
+
+        def _restored(self, span):
+            self.judged += 1
+            return super()._restored(span)
+
+    decoder = Counted(toxicity.char_model(toxicity.char_counts(documents(spark))))
+    text = "coffee, tr4sh; " * 300
+    assert decoder.restore(text) == decoder.restore("coffee, tr4sh; ") * 300 and decoder.judged == 2
+
+
+def test_labelled_rows_are_restored_once(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: kept.setdefault(name, common.stored(df, name)))
+    docs = spark.createDataFrame([(i, "An 1d10t, a moron " * i) for i in range(1, 9)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int"))
+    decoder = toxicity.Decoder(model.costs)
+    assert {r.text for r in kept["labelled"].collect()} == {decoder.restore(r.text) for r in docs.collect()}
+
+
 def test_character_counts_cover_all(spark):
     texts = [r.text for r in odd(spark).collect() if r.text is not None]
     counts = toxicity.char_counts(odd(spark).coalesce(1))

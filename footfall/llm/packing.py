@@ -35,6 +35,8 @@ Piece = tuple[int | None, int, bytes, int]
 _IRREGULAR = re.compile(r"[ \n](?:(?<=\s[ \n])|(?=\s))")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?"
+#: Marks before a piece, and the line breaks each stands for: the start of a text, a line break.
+_MARKS = {" ": 0, "\n": 1}
 #: How a byte-level vocabulary writes a space (a fixed value).
 _SPACE = "\u0120"
 _encoders: dict[str, Encoder] = {}
@@ -60,40 +62,48 @@ class Encoder:
         self.parts = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.apart = plain
         self.line = self._ids(["\n"])[0]
+        self.break_id = int(np.frombuffer(self.line, dtype="<u4")[0])
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[k for t, k in vocabulary.items() if t.startswith(_SPACE)]] = True
-        # pieces as they are, and pieces after a space (known by what follows it)
+        # pieces as they are; pieces after a space (known by what follows it), after a line break (with the break) and, marked
+        # by a space, at the start of a text
         self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.cut: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces after a space: many at once in one text, parted where a token opens with a space."""
-        out = []
+    def _parted_ids(self, pieces: list[str], before: str) -> list[bytes]:
+        """Ids of pieces after a space or line break: many at once in one text, parted where a token opens with it.
+
+        The break is no part of the ids, the space is.
+        """
+        out, skip = [], len(self.line) if before == "\n" else 0
         for at in range(0, len(pieces), TOGETHER):
             part = pieces[at:at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            starts = np.flatnonzero(self.opens[ids])
+            raw, = self._ids([before + before.join(part)])
+            ids = np.frombuffer(raw, dtype="<u4")
+            starts = np.flatnonzero(ids == self.break_id if skip else self.opens[ids])
             if len(starts) == len(part):
-                raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+                ends = [*(4 * starts[1:]).tolist(), len(raw)]
+                out += [raw[a:b] for a, b in zip((4 * starts + skip).tolist(), ends, strict=True)]
             else:
-                out += self._ids([" " + p for p in part])
+                out += self._ids([("" if skip else before) + p for p in part])
         return out
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
         new = pieces.difference(known)
         stems = {p: s for p in new if (s := p.rstrip(_TAIL)) != p and s.isalpha()}
-        for kind, wanted, lead in ((known, list({stems.get(p, p) for p in new}.difference(known)), before),
-                                   (self.plain, list({p[len(s):] for p, s in stems.items()}.difference(self.plain)), "")):
-            if lead:
-                simple = [p for p in wanted if p.split() == [p]]
-                kind.update(zip(simple, self._spaced_ids(simple), strict=True))
-                wanted = [p for p in wanted if p.split() != [p]]
-            kind.update(zip(wanted, self._ids([lead + p for p in wanted]), strict=True))
+        tails = {p[len(s):] for p, s in stems.items()}
+        for kind, unknown, lead in ((known, new.difference(stems).union(stems.values()), before), (self.plain, tails, "\n")):
+            wanted = list(unknown.difference(kind))
+            # as a rule no piece is empty or holds white space
+            simple = wanted if " ".join(wanted).split() == wanted else [p for p in wanted if p.split() == [p]]
+            kind.update(zip(simple, self._parted_ids(simple, lead), strict=True))
+            if len(simple) < len(wanted):
+                rest = list(set(wanted).difference(simple))
+                kind.update(zip(rest, self._ids([lead.strip("\n") + p for p in rest]), strict=True))
         known.update({p: known[s] + self.plain[p[len(s):]] for p, s in stems.items()})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -110,15 +120,19 @@ class Encoder:
                 yield from self._ids([t])
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [[_CUT.split(t)] if _IRREGULAR.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        for known in (self.plain, self.spaced):
+        cut = [_CUT.split(t) if _IRREGULAR.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        for c in cut:
+            c[0] = " " + c[0]
+        for known in (self.plain, self.cut):
             if len(known) > CACHED:
                 known.clear()
-        self._learn(self.plain, {line[0] for c in cut for line in c}, "")
-        self._learn(self.spaced, {p for c in cut for line in c for p in line[1:]}, " ")
-        plain, spaced = self.plain, self.spaced.__getitem__
+        new = set().union(*cut).difference(self.cut)
+        marked = [p for p in new if p[:1] in _MARKS]
+        self._learn(self.plain, {p[1:] for p in marked}, "\n")
+        self._learn(self.cut, new.difference(marked), " ")
+        self.cut.update({p: _MARKS[p[0]] * self.line + self.plain[p[1:]] for p in marked})
         for c in cut:
-            yield self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in c])
+            yield b"".join(map(self.cut.__getitem__, c))
 
 
 def _encoder(path: str) -> Encoder:

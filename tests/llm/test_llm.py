@@ -361,6 +361,18 @@ def test_packed_sequences_hold_the_tokens(spark):
     assert "ids" not in queries.QUERIES["op5_packing"](spark, SF).columns
 
 
+def test_new_pieces_are_encoded_together(monkeypatch):
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, sent, rng = encoder._ids, [], random.Random(5)
+    monkeypatch.setattr(encoder, "_ids", lambda texts: sent.extend(texts) or ids(texts))
+    text = "\n".join(f"start{k}. and{k}" for k in range(1000))
+    odd_texts = ["".join(rng.choice(["a", "Be", "'s", "é", "7", ".", ",!", " ", " ", "\n", "\n", "\t", "\r", "\u00a0", "<|endoftext|>"])
+                         for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    assert list(encoder.encode([text])) == ids([text]) and len(sent) < 20
+    for at in (0, 1000):
+        assert list(encoder.encode(odd_texts[at:at + 1000])) == ids(odd_texts[at:at + 1000])
+
+
 def test_packer_places_best_and_emits_the_fullest():
     p = packing.Packer(0, window=8, limit=2)
     ids = lambda n: bytes(4 * n)

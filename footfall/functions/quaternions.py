@@ -45,9 +45,9 @@ def normalize(q: Quat) -> Quat:
     return tuple(c / safe for c in q)
 
 
-def canonical(q: Quat) -> Quat:
-    """The representative with w >= 0."""
-    flip = F.when(q[0] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+def canonical(q: Quat, slack: float = 0.0) -> Quat:
+    """The representative with w >= 0; one that is no further than ``slack`` below 0 stays."""
+    flip = F.when(q[0] < -slack, F.lit(-1.0)).otherwise(F.lit(1.0))
     return tuple(c * flip for c in q)
 
 

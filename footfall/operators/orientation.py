@@ -24,11 +24,12 @@ def quaternion_blocks(df: DataFrame) -> list[tuple[str, ...]]:
 
 
 def average_quaternion(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                       names: Sequence[str] = ("qw", "qx", "qy", "qz")) -> DataFrame:
+                       names: Sequence[str] = ("qw", "qx", "qy", "qz"), slack: float = 0.0) -> DataFrame:
     """Mean orientation per group: rows turned to the hemisphere of the first one, averaged, normalised, w >= 0.
 
     The mean of the first block with any complete row is taken. The per-group base row comes from a partial
-    aggregate, so the rows of a group are never gathered. A row at a right angle to the base counts as its side.
+    aggregate, so the rows of a group are never gathered. A row at a right angle to the base counts as its side. A mean
+    whose w is no further than ``slack`` below 0 is not turned.
     """
     position = F.struct(*order)
     blocks = quaternion_blocks(df)
@@ -51,7 +52,7 @@ def average_quaternion(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     options = []
     for k in range(len(blocks)):
         m = tuple(F.col(f"_{n}{k}") for n in unit)
-        options.append(F.when(qf.norm(m) > 0, F.struct(*[c.alias(n) for c, n in zip(qf.canonical(qf.normalize(m)), names)])))
+        options.append(F.when(qf.norm(m) > 0, F.struct(*[c.alias(n) for c, n in zip(qf.canonical(qf.normalize(m), slack), names)])))
     return mean.withColumn("_m", F.coalesce(*options)).select(*keys, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 

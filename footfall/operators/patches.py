@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from footfall.functions import quaternions as qf
 from footfall.operators import metrics as me, ordered as o
 from footfall.operators.ordered import Axis
-from footfall.operators.orientation import average_quaternion, quaternion_blocks
+from footfall.operators.orientation import RIGHT_ANGLE_SLACK, average_quaternion, quaternion_blocks
 from footfall.operators.quantiles import quantiles
 from footfall.operators.raster import CELL, world_to_cell
 from footfall.session import materialize
@@ -395,7 +395,7 @@ def robot_summary(members: DataFrame, keys: Sequence[str], metrics: Sequence[str
         F.count("*").alias("samples"), F.min(t).alias("t_start"), F.max(t).alias("t_end"),
         (F.max(t) - F.min(t)).alias("time_span_s"),
         (F.max("dist_m") - F.min("dist_m")).alias("distance_traveled_m"))
-    bearing = average_quaternion(members, keys, [t, *ties], [f"bearing_q{n}" for n in "wxyz"])
+    bearing = average_quaternion(members, keys, [t, *ties], [f"bearing_q{n}" for n in "wxyz"], RIGHT_ANGLE_SLACK)
     return spans.join(robust_summary(members, keys, values), list(keys), "left").join(bearing, list(keys), "left")
 
 

@@ -194,10 +194,9 @@ def _(spark, sf):
 
 
 # ---- robot ----
-def stats_sql(value, name, digits=6, shown="{}"):
-    mean, low, high = (shown.format(v) for v in (f"avg({value})", f"quantile_cont({value}, 0.05)", f"quantile_cont({value}, 0.95)"))
-    return (f"round({mean}, {digits}) + 0.0 AS {name}_mean, round({low}, {digits}) + 0.0 AS {name}_min, "
-            f"round({high}, {digits}) + 0.0 AS {name}_max")
+def stats_sql(value, name, digits=6, shown="round({}, {})"):
+    mean, low, high = (shown.format(v, digits) for v in (f"avg({value})", f"quantile_cont({value}, 0.05)", f"quantile_cont({value}, 0.95)"))
+    return f"{mean} + 0.0 AS {name}_mean, {low} + 0.0 AS {name}_min, {high} + 0.0 AS {name}_max"
 
 
 def stat_names(*names):
@@ -216,12 +215,15 @@ SPAN_SQL = ("count(*) samples, round(min(t), 4) + 0.0 t_start, round(max(t), 4)
             "round(max(dist_m) - min(dist_m), 4) + 0.0 distance_traveled_m")
 SIGN = ("SELECT * REPLACE (uw AS qw_WB, uz AS qz_WB), CASE WHEN uw * first_value(uw) OVER o + uz * first_value(uz) OVER o < -1e-12 THEN -1 ELSE 1 END sg "
         "FROM (SELECT *, qw_WB / n uw, qz_WB / n uz FROM (SELECT *, sqrt(qw_WB * qw_WB + qz_WB * qz_WB) n FROM members)) WINDOW o AS (PARTITION BY mission, patch_id ORDER BY t, seq)")
-BEARING = ("round(CASE WHEN avg(sg*qw_WB) < 0 THEN -1 ELSE 1 END * avg(sg*qw_WB) / sqrt(avg(sg*qw_WB)**2 + avg(sg*qz_WB)**2), 4) + 0.0 bearing_qw, "
-           "round(CASE WHEN avg(sg*qw_WB) < 0 THEN -1 ELSE 1 END * avg(sg*qz_WB) / sqrt(avg(sg*qw_WB)**2 + avg(sg*qz_WB)**2), 4) + 0.0 bearing_qz")
+_LENGTH = "sqrt(avg(sg*qw_WB)**2 + avg(sg*qz_WB)**2)"
+# a mean at a right angle to the axis, to rounding, keeps the side of its first row
+BEARING = ", ".join(f"round(CASE WHEN avg(sg*qw_WB) / {_LENGTH} < -1e-12 THEN -1 ELSE 1 END * avg(sg*q{n}_WB) / {_LENGTH}, 4) + 0.0 bearing_q{n}" for n in "wz")
 
 
 STEADY = 9  # digits kept before the last rounding, so that a figure at half a unit does not follow the order of its sum
-STEADY_SQL = f"round({{}}, {STEADY})"
+# DuckDB rounds a double by multiplying it, which leaves half a unit (0.5005) to chance; its digits as a decimal go up, as in the query
+DECIMAL_SQL = "CAST(CAST(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, {})) AS VARCHAR) AS DOUBLE)"
+STEADY_SQL = DECIMAL_SQL.format(DECIMAL_SQL.format("{}", STEADY), "{}")
 
 
 @query("H13_robot_summary", psql(

@@ -159,3 +159,9 @@ def test_projection_head(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [1.0, None])], "k int, v array<double>")
     got = {r.k: r.u for r in df.select("k", vf.projection_head(F.col("v"), [(w1, b1), (w2, None)]).alias("u")).collect()}
     assert got == {1: [1.0], 2: None, 3: None, 4: None}
+
+
+def test_mean_orientation_at_a_right_angle_keeps_the_side_of_its_first_row(spark):
+    rows = spark.createDataFrame([(1, 0.0, -1e-17, 0.0, 0.0, 1.0), (2, 0.0, -1e-6, 0.0, 0.0, 1.0)], "g int, t double, qw double, qx double, qy double, qz double")
+    side = {r.g: r.qz for r in ori.average_quaternion(rows, ["g"], ["t"], slack=ori.RIGHT_ANGLE_SLACK).collect()}
+    assert side == {1: 1.0, 2: pytest.approx(-1.0)}

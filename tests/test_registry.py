@@ -42,3 +42,15 @@ def test_asof_matches_sql_on_long_recordings(spark, tmp_path, direction):
     df = entry.queries()[f"C3_asof_{direction}"](spark, str(tmp_path)).select("mission", "i", "t", "v")
     want = con.execute(f"SELECT mission, i, t, v FROM ({entry.oracle_sql()[f'C3_asof_{direction}']})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_robot_summary_matches_sql_at_half_a_unit(spark, tmp_path):
+    """These recordings have figures at just half a unit, or a mean bearing at a right angle: both sides round and turn them alike."""
+    con = duckdb.connect()
+    odd = [(100001, 4, 92), (100001, 1, 1427), (1000000, 5, 816), (100003, 4, 1239), (100003, 1, 478)]
+    con.execute(f"""COPY (SELECT event_id + s * k AS event_id, ts, user_id + 10000 * k AS user_id, event_type, value, props
+        FROM '/root/testdata/sf0.1/events.parquet' JOIN (VALUES {", ".join(map(str, odd))}) v(s, k, u) ON user_id = u) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = entry.queries()["H13_robot_summary"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['H13_robot_summary']})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))

@@ -29,6 +29,7 @@ BLOCK_ROWS, FANOUT = 65_536, 64  # rows of one block of path, and blocks that ar
 CHUNK_S = 3600.0  # seconds of one chunk where patches are scanned by time
 DISTANCE_SHARE = 0.9  # fixed value: a patch must be walked for this share of its size
 TIME_SLACK_S = 1e-3  # fixed value: tolerance of the time-containment rule
+BUCKET_SLACK = 1e-6  # share of a square by which it is searched further, so that no last digit loses a row at its edge
 DISTANCE_SLACK_M = 1e-6  # fixed value: distances along a path are sums, whose last digits depend on their order
 TRIM = (0.05, 0.95)  # fixed values: percentiles of the robust summaries
 
@@ -229,9 +230,11 @@ def _bucket_join(placed: DataFrame, spread: DataFrame, on: Sequence[str], order:
     many parts as that takes, by their ``order``; the centres near such a bucket, and only these, are repeated for each part.
     """
     sizes = placed.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_task)
-    # at most one in rows_per_task rows is a busy bucket; few of them are broadcast by their measured size
     busy = materialize(sizes.select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
+    if busy.isEmpty():
+        return placed.withColumn("_part", F.lit(0)).join(spread.withColumn("_part", F.lit(0)), [*on, "_part"])
+    # at most one bucket in rows_per_task rows is busy: broadcast, the rows are not shuffled for them
+    busy, parts = F.broadcast(busy), F.coalesce("_parts", F.lit(1))
     dealt = placed.join(busy, list(on), "left").withColumn("_part", F.pmod(F.xxhash64(order), parts).cast("int")).drop("_parts")
     repeated = spread.join(busy, list(on), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return dealt.join(repeated, [*on, "_part"])
@@ -241,15 +244,15 @@ def members_in_square(rows: DataFrame, centers: DataFrame, keys: Sequence[str],
                       order: str = "t", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pair every row with the patches of its trajectory whose square covers it.
 
-    ``centers`` has the keys, patch_id, center_e, center_n. Squares are matched by buckets of their own size.
+    ``centers`` has the keys, patch_id, center_e, center_n. Squares are matched by buckets of their own size, of which a square
+    meets two each way.
     """
-    side = F.lit(float(size))
+    side, reach = F.lit(float(size)), F.lit(size / 2 * (1 + BUCKET_SLACK))
     placed = rows.where(F.col(e).isNotNull() & F.col(n).isNotNull()).withColumns({
         "_be": F.floor(F.col(e) / side), "_bn": F.floor(F.col(n) / side)})
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     spread = centers.select(*keys, "patch_id", "center_e", "center_n")
     for bucket, value in (("_be", "center_e"), ("_bn", "center_n")):
-        spread = spread.withColumn(bucket, F.explode(F.transform(near, lambda d: F.floor(F.col(value) / side) + d)))
+        spread = spread.withColumn(bucket, F.explode(F.sequence(F.floor((F.col(value) - reach) / side), F.floor((F.col(value) + reach) / side))))
     inside = (F.abs(F.col(e) - F.col("center_e")) <= side / 2) & (F.abs(F.col(n) - F.col("center_n")) <= side / 2)
     return _bucket_join(placed, spread, [*keys, "_be", "_bn"], order, rows_per_task).where(inside).select(*rows.columns, "patch_id")
 
@@ -386,17 +389,27 @@ def robust_summary(df: DataFrame, keys: Sequence[str], values: Mapping[str, Colu
 def robot_summary(members: DataFrame, keys: Sequence[str], metrics: Sequence[str], t: str = "t",
                   ties: Sequence[str] = ()) -> DataFrame:
     """All robot features of a patch except its cost of transport."""
+    return patch_spans(members, keys, t).join(robot_features(members, keys, metrics, t, ties), list(keys), "left")
+
+
+def patch_spans(members: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
+    """Rows of a patch, their span of time and the distance walked between them."""
+    return members.groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.min(t).alias("t_start"), F.max(t).alias("t_end"),
+        (F.max(t) - F.min(t)).alias("time_span_s"),
+        (F.max("dist_m") - F.min("dist_m")).alias("distance_traveled_m"))
+
+
+def robot_features(members: DataFrame, keys: Sequence[str], metrics: Sequence[str], t: str = "t",
+                   ties: Sequence[str] = ()) -> DataFrame:
+    """Mean and percentiles of metrics, speeds and pitch, and the mean bearing."""
     values = {f"metric_{m}": F.col(m) if m in members.columns else F.lit(None).cast("double") for m in metrics}
     values["speed"], values["v_cmd"] = me.measured_speed(members), me.commanded_speed(members)
     blocks = quaternion_blocks(members)
     values["pitch_deg"] = (
         qf.euler_zyx_degrees(tuple(F.col(c) for c in blocks[0]), pitch_sign=-1.0)[1] if blocks else F.lit(None).cast("double"))
-    spans = members.groupBy(*keys).agg(
-        F.count("*").alias("samples"), F.min(t).alias("t_start"), F.max(t).alias("t_end"),
-        (F.max(t) - F.min(t)).alias("time_span_s"),
-        (F.max("dist_m") - F.min("dist_m")).alias("distance_traveled_m"))
     bearing = average_quaternion(members, keys, [t, *ties], [f"bearing_q{n}" for n in "wxyz"], RIGHT_ANGLE_SLACK)
-    return spans.join(robust_summary(members, keys, values), list(keys), "left").join(bearing, list(keys), "left")
+    return robust_summary(members, keys, values).join(bearing, list(keys), "left")
 
 
 def patch_cost_of_transport(members: DataFrame, axis: Axis, cfg: Mapping, power: str = "power") -> DataFrame:
@@ -551,48 +564,72 @@ def robot_reason(samples: Column, travelled_m: Column, min_samples: int, size: f
     return (F.coalesce(samples, F.lit(0)) < min_samples) | short
 
 
-def build_patches(rows: DataFrame, centers: DataFrame, axis: Axis, cfg: Mapping, size: float, stride: float,
-                  e: str, n: str, metrics: Sequence[str] = (), cells: DataFrame | None = None, georef: DataFrame | None = None,
-                  min_valid: float = 0.6, min_samples: int = 5, chunk_s: float = CHUNK_S) -> tuple[DataFrame, DataFrame]:
-    """(patches, skip counts). ``rows`` and ``centers`` share ``axis.keys`` (mission, segment_id); centres carry patch_id.
+def cut_patches(rows: DataFrame, centers: DataFrame, axis: Axis, size: float, stride: float, e: str, n: str,
+                cells: DataFrame | None = None, georef: DataFrame | None = None, min_valid: float = 0.6, min_samples: int = 5,
+                chunk_s: float = CHUNK_S) -> tuple[DataFrame, DataFrame]:
+    """(kept patches with centre, span and ``patch_index``, skip counts).
 
-    With a raster the centres also name their raster_id; without one the terrain columns are null. ``patch_index`` counts accepted patches before the reduction passes.
+    What decides on a patch is its window, its span and its place: only these are read, and its members are counted where they
+    are found, not stored.
     """
     keys, ids = list(axis.keys), [*axis.keys, "patch_id"]
-    members = materialize(members_in_square(rows, centers, keys, size, e, n, axis.order))
-    robot = robot_summary(members, ids, metrics, axis.order, axis.ties)
-    cot = patch_cost_of_transport(members, Axis(tuple(ids), axis.order, axis.width, axis.ties), cfg)
-    everything = centers.select(*ids, "center_dist", "center_e", "center_n", F.col(axis.order).alias("center_t"))
+    lean = rows.select(*keys, axis.order, e, n, "dist_m")
+    spans = patch_spans(members_in_square(lean, centers, keys, size, e, n, axis.order), ids, axis.order)
+    judged = centers.select(*ids, "center_dist", "center_e", "center_n", F.col(axis.order).alias("center_t"))
+    inside, known = F.lit(True), F.lit(None).cast("double")
     if cells is not None and georef is not None:
-        windows = terrain_windows(centers, cells, georef, keys, size)
-        everything = everything.join(windows, ids, "left")
-    else:
-        empty = ("height_valid_fraction", "slope_e", "slope_n", "slope_mag", "grad_orientation", "quad_xx", "quad_yy",
-                 "quad_xy", "quad_x", "quad_y", "quad_0", "k1", "k2", "curvature_mean", "curvature_abs")
-        everything = everything.withColumns({**{c: F.lit(None).cast("double") for c in empty},
-                                             "inside": F.lit(True), "patch_side_m_actual": F.lit(float(size))})
-    everything = everything.join(robot, ids, "left").join(cot, ids, "left")
-    reason = F.when(~F.col("inside"), "edges").when(F.col("height_valid_fraction") < min_valid, "height").when(
+        windows = terrain_windows(centers, cells, georef, keys, size).select(*ids, "inside", "height_valid_fraction")
+        judged, inside, known = judged.join(windows, ids, "left"), F.col("inside"), F.col("height_valid_fraction")
+    reason = F.when(~inside, "edges").when(known < min_valid, "height").when(
         robot_reason(F.col("samples"), F.col("distance_traveled_m"), min_samples, size), "robot")
-    judged = materialize(everything.withColumn("reason", reason))
-    accepted = judged.where(F.col("reason").isNull()).drop("reason", "inside")
+    judged = materialize(judged.join(spans, ids, "left").withColumn("reason", reason).drop("inside", "height_valid_fraction"))
+    accepted = judged.where(F.col("reason").isNull()).drop("reason")
     # segments follow one another; inside one the centres are in path order
     line = Axis(("mission",), "_line", stride * CENTRES_PER_CHUNK, ("patch_id",))
     far = F.lit(1e12)
     numbered = o.positions(accepted.withColumn("_line", F.col("segment_id") * far + F.col("center_dist")), line, "patch_index")
-    bearing = tuple(F.col(f"bearing_q{c}") for c in "wxyz")
-    p = cfg.get("params") or {}
-    shaped = add_heading_curvatures(numbered.withColumn("heading_yaw_rad", qf.heading(bearing))).withColumns({
-        "patch_size_m": F.lit(float(size)), "patch_stride_m": F.lit(float(stride)),
-        "cot_min_cmd_speed": F.lit(float(p.get("min_cmd_speed_for_power_norm", 0.0)))})
-    shaped = materialize(shaped.drop("_line", "center_dist", "quad_xx", "quad_yy", "quad_xy", "quad_x", "quad_y", "quad_0"))
-    unique = materialize(drop_exact_duplicates(shaped))
+    numbered = materialize(numbered.drop("_line", "center_dist"))
+    unique = materialize(drop_exact_duplicates(numbered))
     apart = materialize(drop_contained(unique, size, chunk_s))
     final = materialize(drop_time_subsets(apart, chunk_s))
-    stages = [("dupes", shaped, unique), ("contained", unique, apart), ("time_subset", apart, final)]
+    stages = [("dupes", numbered, unique), ("contained", unique, apart), ("time_subset", apart, final)]
     skipped = judged.where(F.col("reason").isNotNull()).groupBy("mission", "reason").agg(F.count("*").alias("patches"))
     for name, before, after in stages:
         lost = before.join(after.select("mission", "patch_index"), ["mission", "patch_index"], "left_anti")
         skipped = skipped.unionByName(lost.groupBy("mission").agg(F.count("*").alias("patches")).select(
             "mission", F.lit(name).alias("reason"), "patches"))
     return final, skipped
+
+
+def build_patches(rows: DataFrame, centers: DataFrame, axis: Axis, cfg: Mapping, size: float, stride: float,
+                  e: str, n: str, metrics: Sequence[str] = (), cells: DataFrame | None = None, georef: DataFrame | None = None,
+                  min_valid: float = 0.6, min_samples: int = 5, chunk_s: float = CHUNK_S) -> tuple[DataFrame, DataFrame]:
+    """(patches, skip counts). ``rows`` and ``centers`` share ``axis.keys`` (mission, segment_id); centres carry patch_id.
+
+    With a raster the centres also name their raster_id; without one the terrain columns are null. ``patch_index`` counts accepted patches
+    before the reduction passes. Patches are cut first, and only those that stay are described, from the columns that this takes.
+    """
+    keys, ids = list(axis.keys), [*axis.keys, "patch_id"]
+    final, skipped = cut_patches(rows, centers, axis, size, stride, e, n, cells, georef, min_valid, min_samples, chunk_s)
+    wanted = {axis.order, *axis.ties, "dist_m", "power", "w_cmd_z", *metrics, *[c for b in quaternion_blocks(rows) for c in b]}
+    for speed, components in (("v_cmd", {"v_cmd_x", "v_cmd_y"}), ("v_actual", {"vx", "vy"})):
+        wanted |= {speed} if speed in rows.columns else components
+    lean = rows.select(*keys, *[c for c in rows.columns if c not in keys and c in wanted | {e, n}])
+    members = members_in_square(lean, final, keys, size, e, n, axis.order)
+    members = materialize(members.select(*ids, *[c for c in lean.columns if c in wanted]))
+    robot = robot_features(members, ids, metrics, axis.order, axis.ties)
+    cot = patch_cost_of_transport(members, Axis(tuple(ids), axis.order, axis.width, axis.ties), cfg)
+    if cells is not None and georef is not None:
+        kept = centers.join(final.select(*ids), ids, "left_semi")
+        shaped = final.join(terrain_windows(kept, cells, georef, keys, size).drop("inside"), ids, "left")
+    else:
+        empty = ("height_valid_fraction", "slope_e", "slope_n", "slope_mag", "grad_orientation", "quad_xx", "quad_yy",
+                 "quad_xy", "quad_x", "quad_y", "quad_0", "k1", "k2", "curvature_mean", "curvature_abs")
+        shaped = final.withColumns({**{c: F.lit(None).cast("double") for c in empty}, "patch_side_m_actual": F.lit(float(size))})
+    shaped = shaped.join(robot, ids, "left").join(cot, ids, "left")
+    bearing = tuple(F.col(f"bearing_q{c}") for c in "wxyz")
+    p = cfg.get("params") or {}
+    shaped = add_heading_curvatures(shaped.withColumn("heading_yaw_rad", qf.heading(bearing))).withColumns({
+        "patch_size_m": F.lit(float(size)), "patch_stride_m": F.lit(float(stride)),
+        "cot_min_cmd_speed": F.lit(float(p.get("min_cmd_speed_for_power_norm", 0.0)))})
+    return shaped.drop("quad_xx", "quad_yy", "quad_xy", "quad_x", "quad_y", "quad_0"), skipped

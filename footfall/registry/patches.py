@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import alignment as al, metrics as me, ordered as o, patches as pa
 from footfall.operators.ordered import Axis
+from footfall.operators.orientation import WORLD_BASE_BLOCK
 from footfall.registry import fixtures as fx
 from footfall.registry.alignment import DIST_SQL
 from footfall.registry.base import query, r, rounded
@@ -43,9 +44,16 @@ def _(spark, sf):
     return pa.cut_segments(pa.select_ranges(fx.stream(spark, sf), ranges), ranges).select("mission", "seq", "segment_id")
 
 
-def _walked(spark, sf):
-    rows = al.planar_speeds(al.add_distance(fx.motion(spark, sf), STREAM_AXIS)).withColumn("segment_id", F.lit(0))
-    rows = me.compute(rows, ["power", "power_mech"], CFG, STREAM_AXIS)
+PLACE = ["mission", "segment_id", "t", "seq", "x", "y"]
+SUMMARY = ["power", "v_cmd", "v_actual", *WORLD_BASE_BLOCK]
+COST = ["power", "v_cmd", "w_cmd_z"]
+
+
+def _walked(spark, sf, *robot):
+    """The walk with those columns of the robot that are asked for: rows travel packed, so nothing else is taken along."""
+    rows = al.planar_speeds(fx.motion(spark, sf)).withColumn("segment_id", F.lit(0))
+    rows = me.compute(rows, ["power", "power_mech"], CFG, STREAM_AXIS).select(*PLACE, *robot)
+    rows = al.add_distance(rows, STREAM_AXIS).drop("dist_m_per_step")
     return materialize(pa.travelled(rows, SEGMENT_AXIS, ["x", "y"]))
 
 
@@ -71,16 +79,16 @@ def psql(body, **more):
 
 def _centers(walked):
     """Centres with an id in path order; the few centres of a path are numbered by their distance rank."""
-    found = materialize(pa.patch_centers(walked, SEGMENT_AXIS, STRIDE))
+    found = materialize(pa.patch_centers(walked.select(*PLACE, "dist_run"), SEGMENT_AXIS, STRIDE))
     named = found.withColumns({"center_e": F.col("x"), "center_n": F.col("y")})
     line = Axis(("mission", "segment_id"), "center_dist", STRIDE * pa.CENTRES_PER_CHUNK)
     return materialize(o.positions(named, line, "patch_id").withColumn("patch_id", F.col("patch_id") + 1))
 
 
-def _members(spark, sf):
-    walked = _walked(spark, sf)
+def _members(spark, sf, *robot):
+    walked = _walked(spark, sf, *robot)
     centers = _centers(walked)
-    return materialize(pa.members_in_square(walked, centers, ["mission", "segment_id"], SIZE, "x", "y"))
+    return materialize(pa.members_in_square(walked, centers, ["mission", "segment_id"], SIZE, "x", "y").drop("x", "y", "dist_run"))
 
 
 @query("H3_running_distance", sql(f"SELECT mission, seq, {r('dist_run')} FROM run", "fx_motion", run=RUN_SQL))
@@ -102,7 +110,7 @@ def _(spark, sf):
     "SELECT run.mission, patch_id, run.seq FROM run JOIN centers ON run.mission = centers.mission AND abs(dist_run - center_dist) <= 10.0 + 1e-6"))
 def _(spark, sf):
     walked = _walked(spark, sf)
-    return pa.members_in_distance(walked, _centers(walked), ["mission", "segment_id"], SIZE).select(*PATCH, "seq")
+    return pa.members_in_distance(walked.select("mission", "segment_id", "t", "seq", "dist_run"), _centers(walked), ["mission", "segment_id"], SIZE).select(*PATCH, "seq")
 
 
 # ---- terrain: one window per supplier and line number ----
@@ -231,7 +239,7 @@ STEADY_SQL = DECIMAL_SQL.format(DECIMAL_SQL.format("{}", STEADY), "{}")
     f"{stats_sql('v_cmd', 'v_cmd', 4, STEADY_SQL)}, "
     f"{BEARING} FROM ({SIGN}) GROUP BY 1, 2"))
 def _(spark, sf):
-    out = pa.robot_summary(_members(spark, sf), PATCH, ["power"], "t", ("seq",))
+    out = pa.robot_summary(_members(spark, sf, *SUMMARY), PATCH, ["power"], "t", ("seq",))
     out = out.withColumns({n: F.round(n, STEADY) for n in stat_names("metric_power", "speed", "v_cmd")})
     power = [(F.round(n, 3) + F.lit(0.0)).alias(n) for n in stat_names("metric_power")]
     return rounded(out, [*PATCH, "samples", *power], [*SPAN, *stat_names("speed", "v_cmd"), "bearing_qw", "bearing_qz"], 4)
@@ -261,18 +269,18 @@ MEMBER_AXIS = Axis(("mission", "patch_id"), "t", fx.CHUNK_SECONDS, ("seq",))
 
 @query("H14_patch_cost_of_transport", psql(f"SELECT mission, patch_id, {r('cot_patch', digits=4)} FROM ({COT_SQL})"))
 def _(spark, sf):
-    return rounded(pa.patch_cost_of_transport(_members(spark, sf), MEMBER_AXIS, CFG), PATCH, ["cot_patch"], 4)
+    return rounded(pa.patch_cost_of_transport(_members(spark, sf, *COST), MEMBER_AXIS, CFG), PATCH, ["cot_patch"], 4)
 
 
 @query("H15_trimmed_cost_of_transport", psql(f"SELECT mission, patch_id, {r('cot_patch_p95', digits=4)} FROM ({COT_SQL})"))
 def _(spark, sf):
-    return rounded(pa.patch_cost_of_transport(_members(spark, sf), MEMBER_AXIS, CFG), PATCH, ["cot_patch_p95"], 4)
+    return rounded(pa.patch_cost_of_transport(_members(spark, sf, *COST), MEMBER_AXIS, CFG), PATCH, ["cot_patch_p95"], 4)
 
 
 @query("H16_patch_mask_dilation", psql(
     f"SELECT mission, patch_id, seq, {wide('coalesce(v_cmd < 0.2, false)', 7200.0)} AS idle FROM members"))
 def _(spark, sf):
-    rows = _members(spark, sf).withColumn("idle", F.coalesce(F.col("v_cmd") < 0.2, F.lit(False)))
+    rows = _members(spark, sf, "v_cmd").withColumn("idle", F.coalesce(F.col("v_cmd") < 0.2, F.lit(False)))
     return me.dilate(rows, MEMBER_AXIS, {"idle": 7200.0}).select(*PATCH, "seq", "idle")
 
 
@@ -362,14 +370,15 @@ def asql(body, raster):
     return sql(body, "fx_motion", "fx_cells", recursive=True, **WITH_MEMBERS, **assembly(raster))
 
 
+def _terrain(spark, sf):
+    """Cells and their georeference: one metre cells, as the motion spans about 50 m."""
+    return fx.cells(spark, sf), fx.georef(spark, sf).withColumns({"a": F.lit(1.0), "e": F.lit(-1.0), "f": F.lit(48.0)})
+
+
 def _built(spark, sf, raster):
-    walked = _walked(spark, sf)
+    walked = _walked(spark, sf, *SUMMARY, "w_cmd_z")
     centers = _centers(walked).withColumn("raster_id", F.lit("dem"))
-    cells = fx.cells(spark, sf)
-    # one metre cells: the motion spans about 50 m
-    georef = fx.georef(spark, sf).withColumns({"a": F.lit(1.0), "e": F.lit(-1.0), "f": F.lit(48.0)})
-    return pa.build_patches(walked, centers, SEGMENT_AXIS, CFG, SIZE, STRIDE, "x", "y", ["power"],
-                            cells if raster else None, georef if raster else None)
+    return pa.build_patches(walked, centers, SEGMENT_AXIS, CFG, SIZE, STRIDE, "x", "y", ["power"], *(_terrain(spark, sf) if raster else ()))
 
 
 @query("H20_skip_accounting", asql(

@@ -387,7 +387,9 @@ def _built(spark, sf, raster):
        UNION ALL SELECT mission, 'contained', count(*) FROM uniq ANTI JOIN apart USING (mission, patch_index) GROUP BY 1
        UNION ALL SELECT mission, 'time_subset', count(*) FROM apart ANTI JOIN final USING (mission, patch_index) GROUP BY 1""", True))
 def _(spark, sf):
-    return _built(spark, sf, True)[1]
+    walked = _walked(spark, sf)
+    centers = _centers(walked).withColumn("raster_id", F.lit("dem"))
+    return pa.cut_patches(walked, centers, SEGMENT_AXIS, SIZE, STRIDE, "x", "y", *_terrain(spark, sf))[1]
 
 
 def _final(name, raster):

@@ -33,3 +33,8 @@ def test_only_members_of_kept_patches_are_stored(spark, stored):
     kept = QUERIES["H22_patch_table_without_raster"](spark, SF).agg(F.sum("samples")).first()[0]
     members = [t.count() for t in stored if {"patch_id", "power"} <= set(t.columns)]
     assert members == [kept]
+
+
+def test_counting_skipped_patches_takes_no_robot_along(spark, stored):
+    assert QUERIES["H20_skip_accounting"](spark, SF).count() > 0
+    assert stored and not any(ROBOT & set(t.columns) for t in stored)

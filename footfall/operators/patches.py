@@ -293,9 +293,10 @@ def terrain_windows(centers: DataFrame, cells: DataFrame, georef: DataFrame, key
     """Per patch: share of known cells, plane slopes, quadratic surface, curvatures; ``inside`` tells whether the window
     lies on the raster.
 
-    Windows are joined to the cells by (raster, row, col) and reduced to sums of moments, so no window is ever gathered.
+    Windows are joined to the cells by (raster, row, col) and reduced to sums of moments, so no window is ever gathered. Patches
+    around the same cell have the same window: it is read and fitted once, so there are no more windows than cells.
     """
-    ids = [*keys, "patch_id"]
+    ids, place = [*keys, "patch_id"], [*CELL, "_half"]
     placed = world_to_cell(centers, georef, "center_e", "center_n")
     half = F.greatest(F.lit(1), F.rint(F.lit(size / 2.0) / F.abs("a")).cast("int"))
     placed = placed.withColumn("_half", half)
@@ -304,9 +305,8 @@ def terrain_windows(centers: DataFrame, cells: DataFrame, georef: DataFrame, key
     placed = placed.withColumns({
         "inside": F.coalesce(inside, F.lit(False)),
         "patch_side_m_actual": (2 * F.col("_half") + 1) * F.abs("a")})
-    window = placed.where("inside").select(
-        *ids, "raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "_half",
-        F.explode(F.sequence(-F.col("_half"), F.col("_half"))).alias("_dr"))
+    window = placed.where("inside").select(*place).distinct().select(
+        "raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "_half", F.explode(F.sequence(-F.col("_half"), F.col("_half"))).alias("_dr"))
     window = window.withColumn("_dc", F.explode(F.sequence(-F.col("_half"), F.col("_half")))).withColumns(
         {"row": F.col("_r") + F.col("_dr"), "col": F.col("_c") + F.col("_dc")})
     z = window.join(cells.select(*CELL, "z"), CELL, "left").where(F.col("z").isNotNull())
@@ -320,7 +320,7 @@ def terrain_windows(centers: DataFrame, cells: DataFrame, georef: DataFrame, key
 
     moments = [F.sum(power(i, j)).alias(f"_m{i}{j}") for i in range(5) for j in range(5 - i)]
     rights = [F.sum(power(i, j) * F.col("z")).alias(f"_z{i}{j}") for i, j in ((2, 0), (0, 2), (1, 1), (1, 0), (0, 1), (0, 0))]
-    sums = z.groupBy(*ids).agg(*moments, *rights)
+    sums = z.groupBy("raster_id", F.col("_r").alias("row"), F.col("_c").alias("col"), "_half").agg(*moments, *rights)
     m, s = (lambda k: F.col(f"_m{k}")), (lambda k: F.col(f"_z{k}"))
     n = m("00")
     cov = {"xx": m("20") - m("10") ** 2 / n, "yy": m("02") - m("01") ** 2 / n, "xy": m("11") - m("10") * m("01") / n,
@@ -333,8 +333,8 @@ def terrain_windows(centers: DataFrame, cells: DataFrame, georef: DataFrame, key
         "_p": F.when(fits, (cov["xz"] * cov["yy"] - cov["yz"] * cov["xy"]) / det),
         "_q": F.when(fits, (cov["yz"] * cov["xx"] - cov["xz"] * cov["xy"]) / det),
         "_quad": quadratic, "_known": n,
-    }).select(*ids, "_p", "_q", "_quad", "_known")
-    out = placed.join(fitted, ids, "left").withColumns({
+    }).select(*place, "_p", "_q", "_quad", "_known")
+    out = placed.join(fitted, place, "left").withColumns({
         "height_valid_fraction": F.when(F.col("inside"), F.coalesce("_known", F.lit(0.0)) / F.pow(2 * F.col("_half") + 1, 2)),
         "slope_e": F.col("_p") / F.col("a"), "slope_n": F.col("_q") / F.col("e"),
         "quad_xx": F.col("_quad.a") / (F.col("a") * F.col("a")), "quad_yy": F.col("_quad.b") / (F.col("e") * F.col("e")),
